@@ -8,7 +8,7 @@ writer to any file system it knows, in ascending document order over shards and
 of text, so that one fits a task. The index, a table (doc_id, shard, offset, bytes, n_tokens), is written beside them.
 
 Texts are encoded through a table of distinct lower-cased words, which is exact for this tokenizer: it lower-cases,
-drops white space and never joins across it, and in plain ASCII words it splits letters, digits and other characters.
+drops white space and never joins across it, and in plain words it splits letters, digits and other characters.
 
 Edge cases: a null or empty text is a record of the end id alone; rows without id come first; repeated rows are
 repeated records, in order of their text; very long texts are one record; an empty table gives no shard and an empty
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from snapfold.llm.common import as_bytes
+from snapfold.llm.common import Words, as_bytes, slices
 
 MASK_SHIFT = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 CRC = struct.Struct("<I")
-_RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of these characters split by the rule of _RUNS; they neither compose with each other nor lower-case specially.
+_SIMPLE = re.compile("[\\x00-\\x7FÀ-ÖØ-öø-ÿ]*")
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 def masked(data: bytes) -> int:
@@ -71,41 +73,66 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 2 else doc_id, np.frombuffer(payload, "<u4" if flags & 1 else "<u2", offset=9)
 
 
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class WordTable:
-    """Ids of words as bytes, kept for at most `limit` words."""
+    """Ids of words as bytes, kept for the first words met: mostly the frequent ones. The limits bound memory."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, words: int = 500_000, runs: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.limit, self.words, self.runs = limit, {}, {}
+        self.max_words, self.max_runs, self.words, self.runs = words, runs, {}, {}
+
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def run(self, run: str) -> bytes:
+        """Ids of one run of letters, one digit, or one run of other characters."""
+        if (ids := self.runs.get(run)) is None:
+            if run.isascii() and not run.isprintable():
+                ids = self.whole(run)
+            else:
+                spelled = run if run.isascii() else "".join([_ALPHABET[b] for b in run.encode()])
+                ids = np.array([t.id for t in self.tok.model.tokenize(spelled)], self.dtype).tobytes()
+            if len(self.runs) < self.max_runs:
+                self.runs[run] = ids
+        return ids
 
     def segment(self, word: bytes) -> bytes:
-        if word.isascii() and b"'" not in word and b"<|" not in word:
-            out, runs = b"", self.runs
-            for run in _RUNS.findall(word.decode()):
-                if (ids := runs.get(run)) is None:
-                    # printable ASCII stands for itself in the byte-level alphabet
-                    got = [t.id for t in self.tok.model.tokenize(run)] if run.isprintable() else self.tok.encode(run, add_special_tokens=False).ids
-                    ids = np.array(got, self.dtype).tobytes()
-                    if len(runs) < self.limit:
-                        runs[run] = ids
-                out += ids
-            return out
-        return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+        text = word.decode()
+        if _SIMPLE.fullmatch(text) and "'" not in text and "<|" not in text:
+            ids = b"".join(map(self.run, _RUNS.findall(text.lower())))
+        else:
+            ids = self.whole(text)
+        if len(self.words) < self.max_words:
+            self.words[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        for text in texts:
-            # only ASCII words may be lower-cased before the tokenizer's own normalisation
-            words = (text.lower() if text.isascii() else b" ".join([w.lower() if w.isascii() else w for w in text.split()])).split()
-            found = [self.words.get(w) for w in words]
-            if None in found:
-                more = {w: self.segment(w) for w, f in zip(words, found) if f is None}
-                if len(self.words) < self.limit:
-                    self.words.update(more)
-                found = [more[w] if f is None else f for w, f in zip(words, found)]
-            yield np.frombuffer(b"".join(found), self.dtype)
+        """Ids of each text: every distinct word of a run of texts is looked up once and joined back by position."""
+        # lower-casing ASCII early is safe but for combining marks (lead bytes CC and CD), which may compose with a letter
+        texts = [t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        known, segment = self.words.get, self.segment
+        for lo, hi in slices(texts, 2 << 20):
+            w = Words(texts[lo:hi])
+            _, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
+            data = w.buf.tobytes()
+            ids = [known(word) or segment(word) for word in (data[i:j] for i, j in zip(w.start[first].tolist(), w.end[first].tolist()))]
+            size = np.array(list(map(len, ids)), np.int64) // self.dtype.itemsize
+            flat, base = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size
+            each = size[place]
+            ends = np.cumsum(each)
+            out = flat[np.repeat(base[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+            counts = np.bincount(w.text, weights=each, minlength=hi - lo).astype(np.int64)
+            at = 0
+            for n in counts.tolist():
+                yield out[at : at + n]
+                at += n
 
 
 _tables: dict[str, WordTable] = {}
