@@ -33,8 +33,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
-    tokens.write_records(load(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
-    return tokens.token_starts(tokens.read_records(spark, path))
+    return tokens.token_starts(tokens.write_records(load(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json")))
 
 
 def op5_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

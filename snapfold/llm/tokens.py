@@ -5,7 +5,8 @@ payload, and a newline that closes the frame; all numbers are little-endian. A c
 constant, so that one of data that itself holds checksums stays useful. A payload is a flag byte (bit 0: 32-bit ids
 instead of 16-bit; bit 1: the document has no id), the document id (i64) and the ids. Shards are written by Spark's own
 writer to any file system it knows, in ascending document order over shards and inside them, and shards are cut by size
-of text, so that one fits a task. The index, a table (doc_id, shard, offset, bytes, n_tokens), is written beside them.
+of text, so that one fits a task. The index, a table with the place,
+length and checksum of every record, is made by reading the shards back and written beside them.
 
 Texts are encoded through a table of distinct lower-cased words, which is exact for this tokenizer: it lower-cases,
 drops white space and never joins across it, and in plain words it splits letters, digits and other characters.
@@ -81,7 +82,7 @@ _ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate
 class WordTable:
     """Ids of words as bytes, kept for the first words met: mostly the frequent ones. The limits bound memory."""
 
-    def __init__(self, path: str, words: int = 500_000, runs: int = 400_000):
+    def __init__(self, path: str, words: int = 300_000, runs: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -115,11 +116,10 @@ class WordTable:
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text: every distinct word of a run of texts is looked up once and joined back by position."""
-        # lower-casing ASCII early is safe but for combining marks (lead bytes CC and CD), which may compose with a letter
-        texts = [t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
         known, segment = self.words.get, self.segment
-        for lo, hi in slices(texts, 2 << 20):
-            w = Words(texts[lo:hi])
+        for lo, hi in slices(texts, 1 << 20):
+            # lower-casing ASCII early is safe but for combining marks (lead bytes CC and CD), which may compose with a letter
+            w = Words([t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts[lo:hi]])
             _, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
             data = w.buf.tobytes()
             ids = [known(word) or segment(word) for word in (data[i:j] for i, j in zip(w.start[first].tolist(), w.end[first].tolist()))]
@@ -178,8 +178,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, s
 
     # the text writer puts out a value's bytes as they are, then the newline that closes the frame
     placed.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(f"{path}/shards")
-    index = read_records(spark, path).select("doc_id", "shard", "offset", "bytes", "n_tokens")
-    index.write.parquet(f"{path}/index")
+    # the index is what reading the files back gives, with all checksums compared
+    read_records(spark, path).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
