@@ -3,7 +3,7 @@
 The score of a word after its history is its relative count, or `alpha` times its score after a shorter history where the
 longer n-gram was not seen; every document is scored by counts of all *other* documents, so it cannot support itself.
 
-Documents are dealt to blocks of bounded size. For n = 1, 2, ... each block sends its distinct n-grams (64-bit hashes
+Documents are dealt to blocks of bounded size. For n = 1, 2, ... each block sends its distinct n-grams (56-bit hashes
 with counts, one packed row for each hash partition) to the count tables, which are partitioned by hash; a table adds
 up the counts and sends back to each block the n-grams that other blocks hold too. An n-gram can only be known elsewhere
 if both its shorter ones are, so longer n-grams are sent only where those came back or occur in another document of the
@@ -18,6 +18,7 @@ their own and support each other; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,30 @@ def n_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray
     for lo, hi in slices(texts, 2 << 20):
         w = Words(texts[lo:hi])
         number.append(w.text + lo)
-        last = w.hash | np.uint64(1)
+        last = np.maximum(w.hash >> np.uint64(8), np.uint64(1))
         grams[0].append(last)
         for n in range(2, order + 1):
             longer = np.zeros(len(last), np.uint64)
             with np.errstate(over="ignore"):
-                longer[1:] = mix64(last[:-1] * _STEP + w.hash[1:] + np.uint64(n)) | np.uint64(1)
+                longer[1:] = np.maximum(mix64(last[:-1] * _STEP + w.hash[1:] + np.uint64(n)) >> np.uint64(8), np.uint64(1))
             longer[1:][(last[:-1] == 0) | (w.text[1:] != w.text[:-1])] = 0
             last = longer
             grams[n - 1].append(last)
     return np.concatenate(number), [np.concatenate(g) for g in grams]
 
 
+def packed_hashes(ordered: np.ndarray) -> bytes:
+    """Sorted 56-bit hashes as seven planes of the bytes of their differences; the high planes are nearly constant."""
+    steps = np.diff(ordered.astype("<u8"), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T[:7].tobytes()
+
+
+def unpacked_hashes(data: bytes) -> np.ndarray:
+    planes = np.zeros((len(data) // 7, 8), np.uint8)
+    planes[:, :7] = np.frombuffer(data, np.uint8).reshape(7, -1).T
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
+
+
 def by_text(number: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of a block, their counts, the place of each word's n-gram among them, and its own text's count."""
     distinct, place, counts = np.unique(grams, return_inverse=True, return_counts=True)
@@ -63,7 +76,7 @@ class Known:
             rows = answers.select(["n", "grams", "counts"]).to_pydict()
             for n in set(rows["n"]):
                 at = [i for i, x in enumerate(rows["n"]) if x == n]
-                grams = np.concatenate([np.frombuffer(rows["grams"][i], "<u8") for i in at])
+                grams = np.concatenate([unpacked_hashes(rows["grams"][i]) for i in at])
                 counts = np.concatenate([np.frombuffer(rows["counts"][i], "<i8") for i in at])
                 order = np.argsort(grams)
                 self.of[n] = grams[order], counts[order]
@@ -82,8 +95,30 @@ def others(known: Known, n: int, number: np.ndarray, grams: np.ndarray) -> np.nd
     return np.where(grams == 0, 0, (counts + known.elsewhere(n, distinct))[place] - own)
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [x for chunk in table["text"].chunks for x in as_bytes(chunk)]
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, text) as one compressed part for each block and batch."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        block = batch.column(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(block, kind="stable")
+        edge = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+        blocks, parts = [], []
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            sink = pa.BufferOutputStream()
+            rows = batch.select(["doc_id", "text"]).take(pa.array(order[lo:hi]))
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_batch(rows)
+            blocks.append(int(block[order[lo]]))
+            parts.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["block", "part"])
+
+
+def unpack(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["part"].to_pylist()])
+
+
+def _texts(rows: pa.Table) -> list[bytes]:
+    return [x for chunk in rows["text"].chunks for x in as_bytes(chunk)]
 
 
 def _before(values: np.ndarray) -> np.ndarray:
@@ -93,18 +128,18 @@ def _before(values: np.ndarray) -> np.ndarray:
 
 def requests(table: pa.Table, known: Known, n: int, parts: int) -> pa.Table:
     """The block's distinct n-grams that may occur in other blocks, with counts, packed by hash partition."""
-    _, grams = n_grams(_texts(table), n)
+    _, grams = n_grams(_texts(unpack(table)), n)
     wanted = grams[-1] != 0
     if n > 1:
         shorter = known.elsewhere(n - 1, grams[-2]) > 0
         wanted &= shorter & _before(shorter)
     distinct, counts = np.unique(grams[-1][wanted], return_counts=True)
-    edge = np.append(np.searchsorted(distinct, np.array([(p << 64) // parts for p in range(parts)], np.uint64)), len(distinct))
+    edge = np.append(np.searchsorted(distinct, np.array([(p << 56) // parts for p in range(parts)], np.uint64)), len(distinct))
     full = np.flatnonzero(edge[:-1] < edge[1:]).tolist()
     return pa.table({
         "block": pa.array([table["block"][0].as_py()] * len(full), pa.int64()),
         "part": pa.array(full, pa.int32()),
-        "grams": pa.array([distinct[edge[p] : edge[p + 1]].astype("<u8").tobytes() for p in full], pa.binary()),
+        "grams": pa.array([packed_hashes(distinct[edge[p] : edge[p + 1]]) for p in full], pa.binary()),
         "counts": pa.array([counts[edge[p] : edge[p + 1]].astype("<u4").tobytes() for p in full], pa.binary()),
     })
 
@@ -116,7 +151,7 @@ def _asking(n: int, parts: int):
 def answers(table: pa.Table) -> pa.Table:
     """From all requests of one hash partition: for each block, its n-grams that others hold, with their counts there."""
     blocks = table["block"].to_pylist()
-    grams = [np.frombuffer(x, "<u8") for x in table["grams"].to_pylist()]
+    grams = [unpacked_hashes(x) for x in table["grams"].to_pylist()]
     counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()]
     distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
@@ -125,7 +160,7 @@ def answers(table: pa.Table) -> pa.Table:
         more = total[place[at : at + len(g)]] - c
         at += len(g)
         if (more > 0).any():
-            out.append((block, g[more > 0].tobytes(), more[more > 0].astype("<i8").tobytes()))
+            out.append((block, packed_hashes(g[more > 0]), more[more > 0].astype("<i8").tobytes()))
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "grams": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
 
 
@@ -144,7 +179,7 @@ def log_scores(texts: list[bytes], known: Known, order: int, alpha: float, words
     return sizes, np.bincount(number, weights=np.log(score), minlength=len(texts)) if len(number) else np.zeros(len(texts))
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 4 << 20, part_words: int = 1 << 21) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 6 << 20, part_words: int = 1 << 21) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and perplexity of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -152,9 +187,10 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_by
     blocks, parts = max(1, -(-size[0] // block_bytes)), max(1, -(-size[1] // part_words))
     total, buckets = int(size[1]), max(1, -(-blocks // 4))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(blocks)))
+    packed = dealt.select("block", "doc_id", "text").mapInArrow(pack, "block long, part binary")
     # one table bucketed by block: no later step shuffles a text again
     name = f"snapfold_blocks_{uuid.uuid4().hex}"
-    dealt.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
     texts, got = spark.table(name), None
     fields = "block long, part int, grams binary, counts binary"
     for n in range(1, order + 1):
@@ -167,8 +203,9 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_by
         got = said if got is None else got.unionByName(said)
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        sizes, logs = log_scores(_texts(table), Known(known), order, alpha, total)
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(logs, pa.float64())})
+        rows = unpack(table)
+        sizes, logs = log_scores(_texts(rows), Known(known), order, alpha, total)
+        return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(logs, pa.float64())})
 
     scored = cut(texts.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double"), "scores")
     spark.sql(f"drop table {name}")
