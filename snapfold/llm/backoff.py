@@ -5,7 +5,7 @@ longer n-gram was not seen; every document is scored by counts of all *other* do
 
 Documents are dealt to blocks of bounded size. For n = 1, 2, ... each block sends its distinct n-grams (56-bit hashes
 with counts, one packed row for each hash partition) to the count tables, which are partitioned by hash; a table adds
-up the counts and sends back to each block the n-grams that other blocks hold too. An n-gram can only be known elsewhere
+up the counts and sends back to each block how often other blocks hold each of its n-grams. An n-gram can only be known elsewhere
 if both its shorter ones are, so longer n-grams are sent only where those came back or occur in another document of the
 block. At last each block joins its own n-grams to the counts it got and sums log scores for each document. A frequent
 n-gram is sent once for each block, never once for each document, so no key gathers rows of all documents.
@@ -18,6 +18,7 @@ their own and support each other; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,19 +68,28 @@ def by_text(number: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, counts, place, own[where]
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as compressed byte planes: most are 0 or small."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(planes).view("<u4").ravel().astype(np.int64)
+
+
 class Known:
-    """What a block knows of the counts of its n-grams in all other blocks."""
+    """What a block knows of the counts of its n-grams in all other blocks.
 
-    def __init__(self, answers: pa.Table | None):
+    Answers hold counts alone, in the order of the hashes that were asked for, which the block works out again.
+    """
+
+    def __init__(self, grams: list[np.ndarray], answers: pa.Table | None = None):
         self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if answers is not None and answers.num_rows:
-            rows = answers.select(["n", "grams", "counts"]).to_pydict()
-            for n in set(rows["n"]):
-                at = [i for i, x in enumerate(rows["n"]) if x == n]
-                grams = np.concatenate([unpacked_hashes(rows["grams"][i]) for i in at])
-                counts = np.concatenate([np.frombuffer(rows["counts"][i], "<i8") for i in at])
-                order = np.argsort(grams)
-                self.of[n] = grams[order], counts[order]
+            rows = sorted(zip(*(answers[c].to_pylist() for c in ("n", "part", "counts"))))
+            for n in sorted({r[0] for r in rows}):
+                self.of[n] = asked(grams, self, n)[0], np.concatenate([unpacked_counts(r[2]) for r in rows if r[0] == n])
 
     def elsewhere(self, n: int, distinct: np.ndarray) -> np.ndarray:
         grams, counts = self.of.get(n, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
@@ -89,6 +99,15 @@ class Known:
         return np.where(grams[at] == distinct, counts[at], 0)
 
 
+def asked(grams: list[np.ndarray], known: Known, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct n-grams that may occur in other blocks, sorted, and their counts."""
+    wanted = grams[n - 1] != 0
+    if n > 1:
+        shorter = known.elsewhere(n - 1, grams[n - 2]) > 0
+        wanted &= shorter & _before(shorter)
+    return np.unique(grams[n - 1][wanted], return_counts=True)
+
+
 def others(known: Known, n: int, number: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """For each word: how often its n-gram occurs in other documents."""
     distinct, counts, place, own = by_text(number, grams)
@@ -126,47 +145,39 @@ def _before(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(min(1, len(values)), values.dtype), values[:-1]])
 
 
-def requests(table: pa.Table, known: Known, n: int, parts: int) -> pa.Table:
-    """The block's distinct n-grams that may occur in other blocks, with counts, packed by hash partition."""
+def requests(table: pa.Table, answers: pa.Table | None, n: int, parts: int) -> pa.Table:
+    """What a block asks for at order n, packed by hash partition."""
     _, grams = n_grams(_texts(unpack(table)), n)
-    wanted = grams[-1] != 0
-    if n > 1:
-        shorter = known.elsewhere(n - 1, grams[-2]) > 0
-        wanted &= shorter & _before(shorter)
-    distinct, counts = np.unique(grams[-1][wanted], return_counts=True)
+    distinct, counts = asked(grams, Known(grams, answers), n)
     edge = np.append(np.searchsorted(distinct, np.array([(p << 56) // parts for p in range(parts)], np.uint64)), len(distinct))
     full = np.flatnonzero(edge[:-1] < edge[1:]).tolist()
     return pa.table({
         "block": pa.array([table["block"][0].as_py()] * len(full), pa.int64()),
         "part": pa.array(full, pa.int32()),
         "grams": pa.array([packed_hashes(distinct[edge[p] : edge[p + 1]]) for p in full], pa.binary()),
-        "counts": pa.array([counts[edge[p] : edge[p + 1]].astype("<u4").tobytes() for p in full], pa.binary()),
+        "counts": pa.array([packed_counts(counts[edge[p] : edge[p + 1]]) for p in full], pa.binary()),
     })
 
 
 def _asking(n: int, parts: int):
-    return lambda table, got: requests(table, Known(got), n, parts)
+    return lambda table, answers: requests(table, answers, n, parts)
 
 
-def answers(table: pa.Table) -> pa.Table:
-    """From all requests of one hash partition: for each block, its n-grams that others hold, with their counts there."""
-    blocks = table["block"].to_pylist()
+def replies(table: pa.Table) -> pa.Table:
+    """From all requests of one hash partition: for each block, how often the others hold each n-gram it asked for."""
     grams = [unpacked_hashes(x) for x in table["grams"].to_pylist()]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()]
-    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-    out, at = [], 0
-    for block, g, c in zip(blocks, grams, counts):
-        more = total[place[at : at + len(g)]] - c
-        at += len(g)
-        if (more > 0).any():
-            out.append((block, packed_hashes(g[more > 0]), more[more > 0].astype("<i8").tobytes()))
-    return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "grams": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
-
-
-def log_scores(texts: list[bytes], known: Known, order: int, alpha: float, words: int) -> tuple[np.ndarray, np.ndarray]:
+    counts = [unpacked_counts(x) for x in table["counts"].to_pylist()]
+    _, place = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+    ends = np.cumsum([len(g) for g in grams])
+    more = [packed_counts(total[place[end - len(c) : end]] - c) for c, end in zip(counts, ends)]
+    return pa.table({"block": table["block"], "part": table["part"], "counts": pa.array(more, pa.binary())})
+
+
+def log_scores(texts: list[bytes], answers: pa.Table | None, order: int, alpha: float, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Words and sum of natural log scores of each text."""
     number, grams = n_grams(texts, order)
+    known = Known(grams, answers)
     sizes = np.bincount(number, minlength=len(texts))
     rest = np.maximum(1, words - sizes)[number].astype(float) if len(number) else np.zeros(0)
     counts = [others(known, n, number, g) for n, g in enumerate(grams, 1)]
@@ -179,7 +190,7 @@ def log_scores(texts: list[bytes], known: Known, order: int, alpha: float, words
     return sizes, np.bincount(number, weights=np.log(score), minlength=len(texts)) if len(number) else np.zeros(len(texts))
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 6 << 20, part_words: int = 1 << 21) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, part_words: int = 1 << 21) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and perplexity of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -195,16 +206,16 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_by
     fields = "block long, part int, grams binary, counts binary"
     for n in range(1, order + 1):
         if got is None:
-            asked = texts.groupBy("block").applyInArrow(lambda t: requests(t, Known(None), 1, parts), fields)
+            sent = texts.groupBy("block").applyInArrow(lambda t: requests(t, None, 1, parts), fields)
         else:
-            asked = texts.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_asking(n, parts), fields)
-        said = asked.groupBy("part").applyInArrow(answers, "block long, grams binary, counts binary").withColumn("n", F.lit(n))
+            sent = texts.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_asking(n, parts), fields)
+        said = sent.groupBy("part").applyInArrow(replies, "block long, part int, counts binary").withColumn("n", F.lit(n))
         said = cut(said, "answers")
         got = said if got is None else got.unionByName(said)
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
         rows = unpack(table)
-        sizes, logs = log_scores(_texts(rows), Known(known), order, alpha, total)
+        sizes, logs = log_scores(_texts(rows), known, order, alpha, total)
         return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(logs, pa.float64())})
 
     scored = cut(texts.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double"), "scores")
