@@ -126,11 +126,11 @@ def merge_media(rows: DataFrame, members: DataFrame) -> tuple[Merged, DataFrame,
     members: owner_id, seq, member of each archive.
     """
     marked = resolve.first_wins(rows, "Hash")
-    taken = rows.filter("seq = 0").select("owner_id", F.col("FilePath").alias("_p")).union(members.filter("seq = 0").select("owner_id", F.col("member"))).distinct()
+    taken = rows.filter("seq = 0").select("owner_id", "FilePath").union(members.filter("seq = 0").select("owner_id", "member")).distinct()
     new = marked.filter("action = 'added'").withColumn("_nth", F.row_number().over(resolve.window("FilePath")))
-    new = new.join(taken.withColumn("_taken", F.lit(True)), (new["owner_id"] == taken["owner_id"]) & (F.col("FilePath") == F.col("_p")), "left").drop(taken["owner_id"])
+    new = new.join(taken.withColumn("_taken", F.lit(True)), ["owner_id", "FilePath"], "left")
     renamed = F.coalesce("_taken", F.lit(False)) | (F.col("_nth") > 1)
-    new = new.withColumn("renamed", renamed).withColumn("path", F.when(renamed, renamed_path(F.col("owner_id").cast("string"), "Hash", "FilePath")).otherwise(F.col("FilePath"))).drop("_p", "_taken", "_nth")
+    new = new.withColumn("renamed", renamed).withColumn("path", F.when(renamed, renamed_path(F.col("owner_id").cast("string"), "Hash", "FilePath")).otherwise(F.col("FilePath"))).drop("_taken", "_nth")
     there = members.filter("seq > 0").select("owner_id", "seq", F.col("member").alias("FilePath"), F.lit(True).alias("present")).distinct()
     new = new.join(there, ["owner_id", "seq", "FilePath"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
     base = marked.filter("action = 'base'").withColumns({"renamed": F.lit(False), "path": F.col("FilePath"), "present": F.lit(True)})

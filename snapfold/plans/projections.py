@@ -50,12 +50,12 @@ VIEWS: dict[str, str] = {
         case when k % 50 = 0 then null else pri end as Title, case when (k + d) % 3 = 0 then 'edit' || d when k % 7 = 0 then '' when k % 7 = 1 then null else 'v0' end as Content,
         cast(dy + cast((k * d) % 3 as int) as string) || 'T00:00:00Z' as LastModified, cast(dy as string) || 'T00:00:00Z' as Created,
         cast(0 as bigint) as BlockType, cast(null as bigint) as BlockIdentifier from ord""",
-    "bkm": """select owner_id, seq, row_ord, row_ord as BookmarkId, LocationId, PublicationLocationId, Slot - 1 as Slot, 'b' || row_ord as Title, cast(null as string) as Snippet,
+    "bkm": """select owner_id, seq, row_ord, row_ord as BookmarkId, LocationId, PublicationLocationId, rk - 1 as Slot, 'b' || row_ord as Title, cast(null as string) as Snippet,
         cast(0 as bigint) as BlockType, cast(null as bigint) as BlockIdentifier from (
-        select *, row_number() over (partition by owner_id, seq, PublicationLocationId order by row_ord) as Slot from (
+        select *, row_number() over (partition by owner_id, seq, PublicationLocationId order by row_ord) as rk from (
           select owner_id, seq, min(row_ord) as row_ord, LocationId, PublicationLocationId from (
             select owner_id, d as seq, k as row_ord, (k * 11) % 97 + 1000 * d as LocationId, c % 23 + 1000 * d as PublicationLocationId from ord where k % 3 = 0) a
-          group by owner_id, seq, LocationId, PublicationLocationId) b) e where Slot <= 10""",
+          group by owner_id, seq, LocationId, PublicationLocationId) b) e where rk <= 10""",
     "ans": """select owner_id, d as seq, min(k) as row_ord, c % 50 + 1000 * d as LocationId, pri as TextTag,
         'a' || (min(k) % 5) || case when (min(k) + d) % 3 = 0 then '-' || d else '' end as Value from ord group by owner_id, d, c % 50 + 1000 * d, pri""",
     "acc": "select distinct owner_id, d as seq, cast(sz % 7 as bigint) as row_ord, cast(sz % 7 as bigint) as PlaylistItemAccuracyId, 'accuracy ' || ((sz % 7 + d) % 9) as Description from prt",

@@ -261,7 +261,7 @@ BOOKMARKS = """with r as (select b.*, case when b.seq = 0 then b.LocationId else
     left join id_map m on m.owner_id = b.owner_id and m.seq = b.seq and m.src_id = b.LocationId left join id_map p on p.owner_id = b.owner_id and p.seq = b.seq and p.src_id = b.PublicationLocationId),
     f as (select *, row_number() over (partition by owner_id, pub, place order by seq, row_ord) as n, min(seq) over (partition by owner_id, pub, place) as first_seq from r where place is not null and pub is not null),
     s as (select *, row_number() over (partition by owner_id, pub order by seq, row_ord) as rk from f where n = 1 and seq > 0),
-    free as (select u.owner_id, u.pub, k.slot, row_number() over (partition by u.owner_id, u.pub order by k.slot) as rk from (select distinct owner_id, pub from s) u, (select p_partkey - 1 as slot from part where p_partkey <= 10) k
+    free as (select u.owner_id, u.pub, k.slot, row_number() over (partition by u.owner_id, u.pub order by k.slot) as rk from (select distinct owner_id, pub from s) u, (select p_partkey as slot from part where p_partkey between 0 and 9) k
       where not exists (select 1 from f b where b.seq = 0 and b.owner_id = u.owner_id and b.pub = u.pub and b.Slot = k.slot)),
     g as (select s.owner_id, s.pub, s.place, free.slot from s left join free on free.owner_id = s.owner_id and free.pub = s.pub and free.rk = s.rk),
     a as (select f.owner_id, f.seq, f.row_ord, case when f.seq = 0 then 'base' when first_seq = 0 then 'reused' when g.slot is null then 'skipped' when n = 1 then 'added' else 'reused' end as action,
@@ -433,9 +433,9 @@ _simple("v5_missing_media", "IndependentMedia", "media", "Hash", "OriginalFilena
 LOC_TEXT = " || '/' || ".join(f"coalesce('' || {c}, '~')" for c in LOCATION_IDENTITY)
 
 
-@query("v4_missing_locations", damaged_sql("loc", LOC_TEXT, "Title"))
+@query("v4_missing_locations", f"select owner_id, seq, description, count(*) as n from ({damaged_sql('loc', LOC_TEXT, 'Title')}) x group by owner_id, seq, description")
 def _(v):
-    return _with_row(verify.missing_locations(v.loc, _damaged(v.loc)), v.loc, keys.location_identity())
+    return verify.missing_locations(v.loc, _damaged(v.loc)).groupBy("owner_id", "seq", "description").agg(F.count("*").alias("n"))
 
 
 #: Places of small numbers, the same on every device, so that bookmarks and answers have an identity to compare.
