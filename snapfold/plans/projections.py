@@ -112,6 +112,8 @@ def with_views(text: str, engine: str = "duckdb") -> str:
     div = (lambda s: s.replace("(doc_id / 8)", "(doc_id div 8)")) if engine == "spark" else (lambda s: s.replace("(doc_id / 8)", "(doc_id // 8)"))
     views = ",\n".join(f"{v} as ({div(sha(VIEWS[v]))})" for v in needed((), text))
     body = text.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views},\n{body[15:]}" if views else body
     if body.lower().startswith("with "):
         return f"with {views},\n{body[5:]}" if views else body
     return f"with {views}\n{body}" if views else body

@@ -11,7 +11,8 @@ from snapfold.functions import keys
 from snapfold.operators import incremental, merge, ordering, playlist, report, resolve, verify
 from snapfold.plans import jobs
 from snapfold.plans.projections import Views, with_views
-from snapfold.schema import LOCATION_IDENTITY
+from snapfold.schema import LOCATION_IDENTITY, TABLES
+from snapfold.shared import cut
 from snapfold.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,9 +390,12 @@ def _tables(v) -> dict[str, DataFrame]:
     return {"Tag": v.tag, "Location": v.loc, "IndependentMedia": v.media, "grdb_migrations": v.mig, "PlaylistItemAccuracy": v.acc, "Note": v.note.withColumns({"UserMarkId": F.lit(None).cast("long"), "LocationId": F.lit(None).cast("long")})}
 
 
-def _merged(v) -> tuple[dict[str, DataFrame], jobs.Result]:
+def _merged(v, *names: str) -> tuple[dict[str, DataFrame], jobs.Result]:
+    """The whole merge; the merged tables named are written once, as a job would publish them."""
     t = _tables(v)
-    return t, jobs.merge_all(t, v.member, "2026-01-01T00:00:00Z", persist=False)
+    done = jobs.merge_all(t, v.member, "2026-01-01T00:00:00Z")
+    done.tables |= {n: cut(done.tables[n], n) for n in names}
+    return t, done
 
 
 WHOLE = "select owner_id, 'Tag' as tbl, count(*) as n from (select distinct owner_id, Type, Name from tag) a group by owner_id union all select owner_id, 'Note', count(*) from (select distinct owner_id, Guid from note) b group by owner_id union all select owner_id, 'grdb_migrations', count(*) from (select distinct owner_id, identifier from mig) c group by owner_id"
@@ -513,20 +517,21 @@ def _(v):
 
 @query("v14_self_verify", "select distinct owner_id, cast(0 as bigint) as missing, true as ok from tag")
 def _(v):
-    _, done = _merged(v)
-    own = {n: df.withColumn("seq", F.lit(0)) for n, df in done.tables.items()}
-    missing = [verify.missing_simple(n, own[n], done.tables[n]) for n in verify.SIMPLE] + [verify.missing_locations(own["Location"], done.tables["Location"])]
+    none = v.id_map.filter("false")
+    done = {"Tag": merge.merge_tags(v.tag), "Location": merge.merge_locations(v.loc), "IndependentMedia": _media(v)[0], "Note": merge.merge_notes(v.note, none, none)}
+    merged = {n: cut(m.rows, n) for n, m in done.items()}
+    own = {n: df.withColumn("seq", F.lit(0)) for n, df in merged.items()}
+    missing = [verify.missing_simple(n, own[n], merged[n]) for n in ("Tag", "IndependentMedia", "Note")] + [verify.missing_locations(own["Location"], merged["Location"])]
     return verify.verdicts(v.tag, report.conflict_list(*missing))
 
 
 @query("v15_idempotence", "select owner_id, 0 as again from tag where 1 = 0")
 def _(v):
-    t, done = _merged(v)
-    names = ("Tag", "Note", "PlaylistItemAccuracy")
-    base = jobs.as_base({n: done.tables[n] for n in names})
-    both = {n: base[n].unionByName(t[n].withColumn("seq", F.col("seq") + 1)) for n in names}
     none = v.id_map.filter("false")
-    again = [merge.merge_tags(both["Tag"]).decisions, merge.merge_accuracies(both["PlaylistItemAccuracy"]).decisions, merge.merge_notes(both["Note"], none, none).decisions]
+    merges = {"Tag": merge.merge_tags, "PlaylistItemAccuracy": merge.merge_accuracies, "Note": lambda rows: merge.merge_notes(rows, none, none)}
+    t = {"Tag": v.tag, "PlaylistItemAccuracy": v.acc, "Note": v.note}
+    base = jobs.as_base({n: cut(f(t[n]).rows, n) for n, f in merges.items()})
+    again = [f(base[n].unionByName(t[n].withColumn("seq", F.col("seq") + 1))).decisions for n, f in merges.items()]
     return verify.added_again(report.conflict_list(*again)).groupBy("owner_id").agg(F.count("*").cast("int").alias("again"))
 
 
@@ -551,7 +556,7 @@ def _(v):
     return report.totals(before, after).withColumnRenamed("table", "tbl")
 
 
-@query("a4_media_counts", f"""{NEW_MEDIA}, d as (select f.owner_id, f.seq, n = 1 as fresh, coalesce(z.present, false) as present, coalesce(z.renamed, false) as renamed from f left join z on z.owner_id = f.owner_id and z.seq = f.seq and z.row_ord = f.row_ord where f.seq > 0)
+@query("a4_media_counts", f"""{NEW_MEDIA}, d as (select f.owner_id, f.seq, f.n = 1 as fresh, coalesce(z.present, false) as present, coalesce(z.renamed, false) as renamed from f left join z on z.owner_id = f.owner_id and z.seq = f.seq and z.row_ord = f.row_ord where f.seq > 0)
     select owner_id, seq, count(case when fresh and present then 1 end) as media_added, count(case when not fresh then 1 end) as media_reused, count(case when renamed then 1 end) as media_renamed from d group by owner_id, seq""")
 def _(v):
     done = merge.merge_media(v.media, v.member)[0]
@@ -735,8 +740,8 @@ def _(v):
 
 @query("w2_verify_all")
 def _(v):
-    t, done = _merged(v)
-    sources = {n: t.get(n) if n in t else jobs.empty(v.spark, n) for n in done.tables if n != "LastModified"}
+    t, done = _merged(v, *(n for n in TABLES if n not in ("LastModified", "grdb_migrations", "BlockRange")))
+    sources = {n: t[n] if n in t else jobs.empty(v.spark, n) for n in TABLES}
     return jobs.verify_all(sources, done.tables).groupBy("owner_id", "table").agg(F.count("*").alias("missing"))
 
 
