@@ -117,11 +117,18 @@ def parse_manifest(payload: Column) -> Column:
     return F.struct(known["name"].alias("name"), known["creationDate"].alias("creation_date"), known["version"].alias("version"), known["type"].alias("type"), b["schemaVersion"].alias("schema_version"), b["databaseName"].alias("database_name"), b["deviceName"].alias("device_name"), b["lastModifiedDate"].alias("last_modified"), b["hash"].alias("hash"), rest(top, TOP_FIELDS).alias("extra"), rest(inner, BACKUP_FIELDS).alias("backup_extra"))
 
 
+def _spliced(known: Column, extra: Column) -> Column:
+    """JSON object `known` with the entries of the map `extra` behind its own."""
+    more = F.substring(F.to_json(extra), 2, 1 << 30)
+    return F.when(F.size(extra) > 0, F.concat(F.regexp_replace(known, r"\}$", ","), more)).otherwise(known)
+
+
 def write_manifest(m: Column) -> Column:
-    """JSON of a manifest struct; unknown string fields are written back."""
-    known = F.from_json(F.to_json(F.struct(m["last_modified"].alias("lastModifiedDate"), m["device_name"].alias("deviceName"), m["database_name"].alias("databaseName"), m["hash"].alias("hash"), m["schema_version"].alias("schemaVersion"))), "map<string,string>")
-    inner = F.map_concat(known, F.coalesce(m["backup_extra"], F.from_json(F.lit("{}"), "map<string,string>")))
-    return F.to_json(F.struct(m["name"].alias("name"), m["creation_date"].alias("creationDate"), m["version"].alias("version"), m["type"].alias("type"), inner.alias("userDataBackup"), m["extra"].alias("extra")))
+    """JSON of a manifest struct; unknown fields are written back as strings."""
+    backup = F.to_json(F.struct(m["last_modified"].alias("lastModifiedDate"), m["device_name"].alias("deviceName"), m["database_name"].alias("databaseName"), m["hash"].alias("hash"), m["schema_version"].alias("schemaVersion")))
+    top = F.to_json(F.struct(m["name"].alias("name"), m["creation_date"].alias("creationDate"), m["version"].alias("version"), m["type"].alias("type")))
+    whole = F.concat(F.regexp_replace(top, r"\}$", ',"userDataBackup":'), _spliced(backup, m["backup_extra"]), F.lit("}"))
+    return _spliced(whole, m["extra"])
 
 
 def snapshots(parsed: DataFrame) -> DataFrame:
