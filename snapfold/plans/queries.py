@@ -740,9 +740,12 @@ def _(v):
 
 @query("w2_verify_all")
 def _(v):
-    t, done = _merged(v, *(n for n in TABLES if n not in ("LastModified", "grdb_migrations", "BlockRange")))
-    sources = {n: t[n] if n in t else jobs.empty(v.spark, n) for n in TABLES}
-    return jobs.verify_all(sources, done.tables).groupBy("owner_id", "table").agg(F.count("*").alias("missing"))
+    none = v.id_map.filter("false")
+    t = {"Tag": v.tag, "Location": v.loc, "IndependentMedia": v.media, "Note": v.note}
+    done = {"Tag": merge.merge_tags(v.tag), "Location": merge.merge_locations(v.loc), "IndependentMedia": _media(v)[0], "Note": merge.merge_notes(v.note, none, none)}
+    empty = {n: jobs.empty(v.spark, n) for n in TABLES}
+    merged = {n: df.drop("seq", "row_ord") for n, df in empty.items()} | {n: cut(m.rows, n) for n, m in done.items()}
+    return jobs.verify_all(empty | t, merged).groupBy("owner_id", "table").agg(F.count("*").alias("missing"))
 
 
 @query("s8_report_json")
