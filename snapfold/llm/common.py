@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from snapfold.shared import cut, scratch_path
 from snapfold.shipping import ship
 
+__all__ = ["WORD", "Words", "as_bytes", "cut", "load", "mix64", "scratch_path", "slices"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 _SEED = 0x9E3779B97F4A7C15
 
@@ -21,46 +21,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session names none."""
-    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if checkpoints.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-        checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return checkpoints.get()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps neither recompute nor depend on an executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with one function call for each batch of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a binary column; null becomes empty."""
     return [x if x is not None else b"" for x in column.to_pylist()]
@@ -121,7 +81,3 @@ class Words:
             sums = np.zeros(len(buf) + 1, np.uint64)
             np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
             self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start])
-
-
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
