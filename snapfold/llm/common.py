@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snapfold.shared import cut, scratch_path
 from snapfold.shipping import ship
 
-__all__ = ["WORD", "Words", "as_bytes", "cut", "load", "mix64", "scratch_path", "slices"]
+__all__ = ["WORD", "Words", "as_bytes", "cut", "load", "mix64", "scratch_path", "slices", "text_key"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _SEED = 0x9E3779B97F4A7C15
@@ -21,6 +22,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def text_key() -> Column:
+    """128-bit digest of the text of a row; null counts as empty, as everywhere here."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a binary column; null becomes empty."""
     return [x if x is not None else b"" for x in column.to_pylist()]
