@@ -154,29 +154,50 @@ def calibrate(labelled: DataFrame, good_cost: float, bins: int = 4096) -> float:
     return float((run[0] + run[-1]) / 2 / bins)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_cost: float = 20.0, trees: int = 128) -> DataFrame:
-    """doc_id, the BASE counts, base_failed, score and kept of every row; fit_rows bounds the sample that grows the forest."""
-    spark = docs.sparkSession
-    stats = cut(rule_statistics(docs), "rule-statistics")
-    known = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    good = stats.join(known.filter("quality = 1"), "doc_id", "left_semi")
-    pick = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).select(*FEATURES).limit(fit_rows).toPandas().to_numpy()
-    rows, some = pick(good), pick(stats)
-    supervised = len(rows) >= 2
-    rows = rows if supervised else some
-    forest = Forest(rows, some.std(axis=0), trees) if len(rows) else Forest(np.zeros((1, len(FEATURES))), np.zeros(len(FEATURES)), 1)
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+
+
+def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
+    """stats without FEATURES, with score and base_failed."""
+    fields = [f for f in stats.schema.fields if f.name not in FEATURES]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in FEATURES])
-            base = [batch.column(n) for n in ("doc_id", *BASE)]
-            yield pa.RecordBatch.from_arrays([*base, pa.array(forest.scores(x))], ["doc_id", *BASE, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(forest.scores(x))], [*names, "score"])
 
-    scored = stats.mapInArrow(run, ", ".join(["doc_id long", *(f"{b} long" for b in BASE), "score double"]))
+    scored = stats.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "score double"]))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
-    top = calibrate(scored.filter(~failed).join(known, "doc_id").select("score", "quality"), good_cost) if supervised else float("inf")
-    return scored.withColumn("kept", ~failed & (F.col("score") < F.lit(top)))
+    return scored.withColumn("base_failed", failed)
+
+
+def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_cost: float = 20.0, trees: int = 128) -> tuple[Forest, float]:
+    """The forest and the score from which it rejects, of the rule statistics of a whole table."""
+    known = known_labels(labels)
+    good = stats.join(known.filter("quality = 1"), "doc_id", "left_semi")
+    pick = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).select(*FEATURES).limit(fit_rows).toPandas().to_numpy()
+    rows = pick(good)
+    supervised = len(rows) >= 2
+    rows = rows if supervised else pick(stats)
+    if not len(rows):
+        return Forest(np.zeros((1, len(FEATURES))), np.zeros(len(FEATURES)), 1), float("inf")
+    # of all rows: a statistic that only rare rows have must have a spread too
+    spread = np.array(stats.agg(*(F.stddev_pop(f) for f in FEATURES)).first(), float)
+    forest = Forest(rows, spread, trees)
+    if not supervised:
+        return forest, float("inf")
+    labelled = with_scores(stats.join(known.select("doc_id").distinct(), "doc_id", "left_semi"), forest)
+    return forest, calibrate(labelled.filter(~F.col("base_failed")).join(known, "doc_id").select("score", "quality"), good_cost)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, the BASE counts, base_failed, score and kept of every row; fit_rows bounds the sample that grows the forest."""
+    stats = cut(rule_statistics(docs), "rule-statistics")
+    forest, top = fit(stats, labels, **options)
+    scored = with_scores(stats, forest).select("doc_id", *BASE, "score", "base_failed")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

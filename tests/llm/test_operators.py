@@ -113,6 +113,20 @@ def test_rules_without_labels_keep_all_but_base(docs, labels):
     assert all(r["kept"] != r["base_failed"] for r in got)
 
 
+def test_spread_is_of_all_rows(spark):
+    prose = lambda n: " ".join("".join(RND.choice("abcdefgh") for _ in range(RND.randint(2, 9))) for _ in range(n))
+    data = [(i, prose(60), "s") for i in range(400)]
+    sampled = {r[0] for r in spark.createDataFrame([(i,) for i in range(1000, 1200)], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", ascending=False).limit(6).collect()}
+    # hashed last: a sample of the lowest hashes has no symbols at all
+    data += [(i, " ".join(f"{w}%#" for w in prose(60).split()), "s") for i in sampled]
+    table = frame(spark, data)
+    stats = rules.rule_statistics(table)
+    forest, _ = rules.fit(stats, spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int"), fit_rows=100)
+    want = stats.select(*rules.FEATURES).toPandas().to_numpy().std(axis=0)
+    assert np.allclose(forest.spread, want) and forest.spread[rules.FEATURES.index("f_symbols")] > 0
+    assert (forest.feature == rules.FEATURES.index("f_symbols")).any()
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\||<|", "", None, "a\nb", "<|nl|>", "日<|"]
     turns = [(c, t, ["user", "assistant", "sys\ntem", None, "<|x"][(c + t) % 5], nasty[(3 * c + t) % 8], "zz") for c in range(8) for t in range(6)]
