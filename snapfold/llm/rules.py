@@ -200,7 +200,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep; a row without id is judged by the rows without id together."""
-    verdict = quality_rules(docs, labels, **options).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("_id"))
+def keep_good(docs: DataFrame, labels: DataFrame, documents: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of docs that the rules keep; a row without id is judged by the rows without id together.
+
+    The forest and its threshold are of `documents`, the whole table of which docs is what earlier stages left; so they
+    don't depend on which labelled rows those stages kept.
+    """
+    stats = cut(rule_statistics(docs), "rule-statistics")
+    forest, top = fit(stats if documents is None else cut(rule_statistics(documents), "rule-statistics"), labels, **options)
+    judged = with_scores(stats, forest).withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top)))
+    verdict = judged.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("_id"))
     return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
