@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import as_bytes, cut
+from snapfold.llm.common import as_bytes, cut, text_key
 
 BLANK = bytes([0x20, *range(0x09, 0x0E)])
 NOT_CODE_POINT = BLANK + bytes(range(0x80, 0xC0))
@@ -75,16 +75,19 @@ def statistics(text: bytes) -> tuple:
     return (n, chars, symbols, dup, repeats, float(np.log1p(n)), chars / n, symbols / n, dup / len(lines), repeats / n, stutter / n, upper / chars, marks / n, float(np.log1p(len(counts)) / np.log1p(n)), int(counts.max()) / n, len(lines) / n)
 
 
-def rule_statistics(docs: DataFrame) -> DataFrame:
+def rule_statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, the BASE counts and FEATURES of every row; keyed: also text_key, which with doc_id names the text judged."""
     names = [x.split()[0] for x in STATS.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.float64()] * len(FEATURES)
+    more = ["text_key"] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(zip(*map(statistics, as_bytes(batch.column(1))))) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds)), *(batch.column(n) for n in more)], [*names, *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, STATS)
+    keys = [text_key().alias("text_key")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keys).mapInArrow(run, ", ".join([STATS, *(f"{n} binary" for n in more)]))
 
 
 def mean_path(n: float) -> float:
@@ -200,14 +203,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top)))
 
 
+def kept_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs whose own text, by doc_id and text_key, is kept in judged."""
+    good = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text_key", text_key())
+    return keyed.join(good, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi").drop("_text_key")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, documents: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of docs that the rules keep; a row without id is judged by the rows without id together.
+    """The rows of docs that the rules keep, each judged by its own text, also where ids are null or repeated.
 
     The forest and its threshold are of `documents`, the whole table of which docs is what earlier stages left; so they
     don't depend on which labelled rows those stages kept.
     """
-    stats = cut(rule_statistics(docs), "rule-statistics")
+    stats = cut(rule_statistics(docs, keyed=True), "rule-statistics")
     forest, top = fit(stats if documents is None else cut(rule_statistics(documents), "rule-statistics"), labels, **options)
-    judged = with_scores(stats, forest).withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top)))
-    verdict = judged.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return kept_rows(docs, with_scores(stats, forest).withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top))))
