@@ -68,16 +68,23 @@ def stored_summary(counts: DataFrame) -> DataFrame:
 
 
 def report_json(action_counts: DataFrame, conflicts: DataFrame, totals: DataFrame, limit: int = 1000) -> DataFrame:
-    """owner_id and one JSON report: sources with counters, totals, and up to `limit` conflicts with their full number."""
+    """owner_id, part and a JSON report, for every owner with counters, conflicts or totals.
+
+    Part 0 has sources with counters, totals, the number of conflicts and the first `limit` of them; each further part
+    has the next `limit`, so all conflicts are reported and no row is unbounded.
+    """
+    from pyspark.sql import Window as W
+
     per = action_counts.groupBy("owner_id", "seq").agg(F.array_sort(F.collect_list(F.struct("table", *ACTIONS))).alias("tables"))
     sources = per.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("seq", "tables"))).alias("sources"))
     sums = totals.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("table", "before", "after"))).alias("totals"))
-    from pyspark.sql import Window as W
-
-    ranked = conflicts.withColumn("_n", F.row_number().over(W.partitionBy("owner_id").orderBy("seq", "table", "detail"))).withColumn("_all", F.count("*").over(W.partitionBy("owner_id")))
-    listed = ranked.filter(F.col("_n") <= limit).groupBy("owner_id").agg(F.max("_all").alias("n_conflicts"), F.array_sort(F.collect_list(F.struct("seq", "table", "detail", "resolution"))).alias("conflicts"))
-    both = sums.join(sources, "owner_id", "left").join(listed, "owner_id", "left")
-    return both.select("owner_id", F.to_json(F.struct("sources", "totals", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), "conflicts")).alias("report"))
+    ranked = conflicts.withColumn("_n", F.row_number().over(W.partitionBy("owner_id").orderBy("seq", "table", "detail", "resolution")) - 1)
+    parts = ranked.groupBy("owner_id", F.floor(F.col("_n") / limit).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "table", "detail", "resolution"))).alias("conflicts"))
+    full = conflicts.groupBy("owner_id").agg(F.count("*").alias("n_conflicts"))
+    owners = reduce(DataFrame.union, (df.select("owner_id") for df in (sources, sums, full))).distinct()
+    first = owners.join(sums, "owner_id", "left").join(sources, "owner_id", "left").join(full, "owner_id", "left").join(parts.filter("part = 0").drop("part"), "owner_id", "left")
+    head = first.select("owner_id", F.lit(0).alias("part"), F.to_json(F.struct("sources", "totals", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), "conflicts")).alias("report"))
+    return head.union(parts.filter("part > 0").select("owner_id", "part", F.to_json(F.struct("conflicts")).alias("report")))
 
 
 def report_text(action_counts: DataFrame, totals: DataFrame) -> DataFrame:
