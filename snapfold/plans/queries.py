@@ -611,6 +611,13 @@ def _(v):
     return incremental.changed(now, state).filter("owner_id % 5 <> 0 and owner_id % 3 <> 0").select("owner_id")
 
 
+@query("i2_changed_whole", "select distinct owner_id from listing where owner_id % 3 <> 0 or owner_id % 5 = 1")
+def _(v):
+    now = incremental.fingerprints(v.listing)
+    state = now.withColumn("fingerprint", F.when(F.col("owner_id") % 3 == 0, F.col("fingerprint")).otherwise(F.lit("old"))).filter("owner_id % 5 <> 1")
+    return incremental.changed(now, state).select("owner_id")
+
+
 @query("i3_settle", """with recursive p as (select owner_id, poll, fingerprint, merge_ok, row_number() over (partition by owner_id order by poll) as n from polls),
     s as (select owner_id, n, poll, cast(null as string) as merged, fingerprint as candidate, false as merge from p where n = 1
       union all select p.owner_id, p.n, p.poll, case when s.merged is distinct from p.fingerprint and s.candidate is not distinct from p.fingerprint and p.merge_ok then p.fingerprint else s.merged end,
