@@ -51,39 +51,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEED))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 21, 1 << (n - 1).bit_length())
-        for key, base in (("up", _SEED), ("down", pow(_SEED, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+#: Of eight loaded bytes, those of a word with n left.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SHORT = 16
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a run of texts: byte buffer, start, end, text number and 64-bit hash of each."""
+    """Words `[^\\x20\\x09-\\x0D]+` of a run of texts: byte buffer, start, end, text number and 64-bit hash of each.
+
+    A word of up to 16 bytes is two numbers and its size, which name it exactly; of a longer one they are its XXH3.
+    """
 
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts) + b"\n"
-        self.buf = buf = np.frombuffer(joined, np.uint8)
+        padded = joined + bytes(SHORT)
+        self.buf = buf = np.frombuffer(padded, np.uint8)[: len(joined)]
         inside = np.ones(len(buf) + 1, bool)
         inside[0] = False
         np.logical_not(_SPACE[buf], out=inside[1:])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[::2], edge[1::2]
+        self.size = self.end - self.start
         self.text_start = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1] if texts else np.zeros(0, int)
-        self.text = np.searchsorted(self.text_start, self.start, "right") - 1
-        self.counts = np.bincount(self.text, minlength=len(texts))
-        up, down = _power(len(buf) + 1)
+        self.counts = np.diff(np.searchsorted(self.start, np.append(self.text_start, len(buf))))
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+        # eight bytes from any place on
+        eight = np.ndarray(len(joined) + 1, "<u8", padded, strides=(1,)) if len(joined) else np.zeros(1, np.uint64)
+        self.low = eight[self.start] & _FIRST[np.minimum(self.size, 8)]
+        self.high = eight[np.minimum(self.start + 8, len(joined))] & _FIRST[np.clip(self.size - 8, 0, 8)]
+        self.long = np.flatnonzero(self.size > SHORT)
+        if len(self.long):
+            import xxhash
+
+            both = [xxhash.xxh3_128_intdigest(joined[i:j]) for i, j in zip(self.start[self.long].tolist(), self.end[self.long].tolist())]
+            self.low[self.long] = np.array([x & (1 << 64) - 1 for x in both], np.uint64)
+            self.high[self.long] = np.array([x >> 64 for x in both], np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-            self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start])
+            self.hash = mix64(mix64(self.low * np.uint64(_SEED) + self.size.astype(np.uint64)) ^ self.high)
+
+    def word(self, i: int) -> bytes:
+        return self.buf[self.start[i] : self.end[i]].tobytes()
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each distinct word, and for every word its number among them.
+
+        Words with equal hashes are held against each other by their bytes, so different words never count as one.
+        """
+        _, first, place = np.unique(self.hash, return_index=True, return_inverse=True)
+        lead = first[place]
+        same = (self.low == self.low[lead]) & (self.high == self.high[lead]) & (self.size == self.size[lead])
+        if same.all() and all(lead[i] == i or self.word(i) == self.word(lead[i]) for i in self.long.tolist()):
+            return first, place
+        numbers: dict[bytes, int] = {}
+        place = np.array([numbers.setdefault(self.word(i), len(numbers)) for i in range(len(self.start))], np.int64)
+        return np.unique(place, return_index=True)[1], place

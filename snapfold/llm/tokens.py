@@ -4,15 +4,16 @@ A shard is a file of frames: payload length (u64), masked CRC-32 of those eight
 payload, and a newline that closes the frame; all numbers are little-endian. A checksum is rotated and shifted by a
 constant, so that one of data that itself holds checksums stays useful. A payload is a flag byte (bit 0: 32-bit ids
 instead of 16-bit; bit 1: the document has no id), the document id (i64) and the ids. Shards are written by Spark's own
-writer to any file system it knows, in ascending document order over shards and inside them, and shards are cut by size
-of text, so that one fits a task. The index, a table with the place,
+writer to any file system it knows, in ascending document order over shards and inside them. Shards are cut by size of
+text, and an id that fills more than one is cut too, so that a shard fits a task. The index, a table with the place,
 length and checksum of every record, is made by reading the shards back and written beside them.
 
 Texts are encoded through a table of distinct lower-cased words, which is exact for this tokenizer: it lower-cases,
-drops white space and never joins across it, and in plain words it splits letters, digits and other characters.
+drops white space and never joins across it, and in plain words it splits letters, digits and other characters. Words
+count as equal by their bytes alone.
 
 Edge cases: a null or empty text is a record of the end id alone; rows without id come first; repeated rows are
-repeated records, in order of their text; very long texts are one record; an empty table gives no shard and an empty
+repeated records, in an order that a rerun over the same files keeps; very long texts are one record; an empty table gives no shard and an empty
 index; other columns are ignored.
 """
 
@@ -21,16 +22,18 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from snapfold.llm.common import Words, as_bytes, slices
+from snapfold.llm.common import Words, as_bytes, cut, slices
 
 MASK_SHIFT = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -65,8 +68,8 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
-    wide = ids.dtype != np.dtype("<u2")
-    return struct.pack("<Bq", wide | (doc_id is None) << 1, doc_id or 0) + ids.tobytes()
+    wide = ids.dtype.itemsize != 2
+    return struct.pack("<Bq", wide | (doc_id is None) << 1, doc_id or 0) + ids.astype("<u4" if wide else "<u2", copy=False).tobytes()
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -82,15 +85,17 @@ _ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate
 class WordTable:
     """Ids of words as bytes, kept for the first words met: mostly the frequent ones. The limits bound memory."""
 
-    def __init__(self, path: str, words: int = 300_000, runs: int = 300_000):
+    def __init__(self, path: str, words: int = 400_000, runs: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenize = self.tok.model.tokenize
+        self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.max_words, self.max_runs, self.words, self.runs = words, runs, {}, {}
 
     def whole(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tok.encode(word, add_special_tokens=False).ids).tobytes()
 
     def run(self, run: str) -> bytes:
         """Ids of one run of letters, one digit, or one run of other characters."""
@@ -99,14 +104,17 @@ class WordTable:
                 ids = self.whole(run)
             else:
                 spelled = run if run.isascii() else "".join([_ALPHABET[b] for b in run.encode()])
-                ids = np.array([t.id for t in self.tok.model.tokenize(spelled)], self.dtype).tobytes()
+                ids = array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
             if len(self.runs) < self.max_runs:
                 self.runs[run] = ids
         return ids
 
     def segment(self, word: bytes) -> bytes:
         text = word.decode()
-        if _SIMPLE.fullmatch(text) and "'" not in text and "<|" not in text:
+        if word.isalpha():
+            # ASCII letters alone are one run
+            ids = array(self.code, [t.id for t in self.tokenize(text.lower())]).tobytes()
+        elif _SIMPLE.fullmatch(text) and "'" not in text and "<|" not in text:
             ids = b"".join(map(self.run, _RUNS.findall(text.lower())))
         else:
             ids = self.whole(text)
@@ -117,10 +125,10 @@ class WordTable:
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text: every distinct word of a run of texts is looked up once and joined back by position."""
         known, segment = self.words.get, self.segment
-        for lo, hi in slices(texts, 1 << 20):
+        for lo, hi in slices(texts, 2 << 20):
             # lower-casing ASCII early is safe but for combining marks (lead bytes CC and CD), which may compose with a letter
             w = Words([t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts[lo:hi]])
-            _, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
+            first, place = w.distinct()
             data = w.buf.tobytes()
             ids = [known(word) or segment(word) for word in (data[i:j] for i, j in zip(w.start[first].tolist(), w.end[first].tolist()))]
             size = np.array(list(map(len, ids)), np.int64) // self.dtype.itemsize
@@ -138,27 +146,40 @@ class WordTable:
 _tables: dict[str, WordTable] = {}
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_bytes: int = 12 << 20, max_boundaries: int = 1_000_000) -> DataFrame:
+_LEAST = -(1 << 63)
+
+
+def shard_cuts(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """Ids between shards, of sizes (at, size): a row counts once, and once more for every quarter of the average that it holds.
+
+    An id that fills several shards occurs as often as it ends one.
+    """
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-(total[0] + 64 * total[1]) // shard_bytes))
+    if shards == 1:
+        return []
+    step = max(64, total[0] // (4 * max(1, total[1])))
+    points = sizes.select("at", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / step).cast("int"))).alias("i"))
+    return sorted(points.agg(F.percentile_approx("at", [i / shards for i in range(1, shards)], max(10_000, 100 * shards))).first()[0])
+
+
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_bytes: int = 12 << 20) -> DataFrame:
     """Write docs (doc_id, text) as records under path/shards and the index under path/index; returns the index."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    shards = max(1, min(max_boundaries, -(-(total[0] + 64 * total[1]) // shard_bytes)))
-    # boundaries are few numbers, so each row knows its shard without the sampling pass of a range shuffle
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], min(100 * shards, 10_000_000))).first()[0] or []
-    cuts = sorted(set(cuts))
-    shard = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id"))) if len(cuts) < 8 else None
-    if shard is None:
-
-        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = np.searchsorted(cuts, batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], ["doc_id", "text", "shard"])
-
-        dealt = rows.mapInArrow(number, "doc_id long, text binary, shard int")
-    else:
-        dealt = rows.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard))
-    placed = dealt.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select("doc_id", "text")
+    at = F.coalesce(F.col("doc_id"), F.lit(_LEAST))
+    # the ids between shards are few numbers, so each row knows its shard without the sampling pass of a range shuffle
+    cuts = np.array(shard_cuts(cut(rows.select(at.alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "sizes"), shard_bytes), np.int64)
+
+    @F.pandas_udf("int")
+    def shard(at: pd.Series, spread: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(cuts, at.to_numpy(), "left"), np.searchsorted(cuts, at.to_numpy(), "right")
+        return pd.Series((low + (spread.to_numpy() * (high - low + 1) >> 20)).astype(np.int32))
+
+    # rows of one id are told apart by text and place in the table, so that an id of any size is cut too
+    spread = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20))
+    dealt = rows.withColumn("spread", spread).withColumn("shard", shard(at, F.col("spread")))
+    placed = dealt.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "spread").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _tables:

@@ -140,10 +140,40 @@ def test_chat_round_trip(spark):
 
 
 def test_layouts_by_fingerprint(spark):
-    records = ['{"prompt":"p","response":"r"}', '{"response":null,"prompt":"p"}', '{"messages":[{"content":"c","role":"user"},{"role":"assistant","content":"d"}]}', '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}', '{"instruction":"i","input":"n","output":"o"}', '{"other":1}']
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "id int, j string").selectExpr("id", "parse_json(j) as record")
-    got = [r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.canonical_turns(rows).orderBy("id").collect()]
-    assert got == [[("user", "p"), ("assistant", "r")], [("user", "p"), ("assistant", "")], [("user", "c"), ("assistant", "d")], [("user", "h"), ("assistant", "g")], [("user", "i\n\nn"), ("assistant", "o")], None]
+    records = {
+        '{"prompt":"p","response":"r"}': [("user", "p"), ("assistant", "r")],
+        '{"response":null,"prompt":"p"}': [("user", "p"), ("assistant", "")],
+        '{"messages":[{"content":"c","role":"user"},{"role":"assistant","content":"d"}]}': [("user", "c"), ("assistant", "d")],
+        '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}': [("user", "h"), ("assistant", "g")],
+        '{"instruction":"i","input":"n","output":"o"}': [("user", "i\n\nn"), ("assistant", "o")],
+        '{"instruction":"i","output":"o"}': [("user", "i"), ("assistant", "o")],
+        # fields that no layout names change nothing, at any depth
+        '{"id":7,"prompt":"p","meta":{"a":[1,{"b":2}],"prompt":"x"},"response":"r"}': [("user", "p"), ("assistant", "r")],
+        '{"messages":[{"content":"c","role":"user","name":"n","tags":["t"]}],"id":"x"}': [("user", "c")],
+        # nested paths are whole paths
+        '{"data":{"response":"r","prompt":"p"}}': [("user", "p"), ("assistant", "r")],
+        '{"prompt":{"x":"p","response":"r"}}': None,
+        '{"other":{"prompt":"p","response":"r"}}': None,
+        '{"prompt":["p","q"],"response":"r"}': None,
+        '{"messages":{"role":"user","content":"c"}}': None,
+        '{"conversation":{"turns":[{"speaker":"bot","text":"t"}]}}': [("assistant", "t")],
+        # paths of two layouts: the one with more
+        '{"prompt":"p","response":"r","system":"s"}': [("system", "s"), ("user", "p"), ("assistant", "r")],
+        '{"prompt":"p","response":"r","question":"q"}': [("user", "p"), ("assistant", "r")],
+        '{"other":1}': None,
+        '[]': None,
+        '"text"': None,
+    }
+    rows = spark.createDataFrame(list(enumerate(records)), "id int, j string").selectExpr("id", "parse_json(j) as record", "'mine' as paths")
+    got = chat.canonical_turns(rows).orderBy("id").collect()
+    assert [r["turns"] and [tuple(t) for t in r["turns"]] for r in got] == list(records.values())
+    assert {r["paths"] for r in got} == {"mine"}
+
+
+def test_field_paths(spark):
+    text = '{"a b":{"c":[[{"d":1.5,"e":null}]],"f`g":true},"h":[1,"x"],"i":{},"j":[],"k":"2024-01-01"}'
+    got = spark.createDataFrame([(text,)], "j string").selectExpr("parse_json(j) as r").select(chat.field_paths(chat.F.col("r")).alias("p")).first()["p"]
+    assert got == ["a b.c[][].d", "a b.c[][].e", "a b.f`g", "h[]", "j[]", "k"]
 
 
 def test_token_records_round_trip(spark, docs, rows):
@@ -163,6 +193,43 @@ def test_token_records_round_trip(spark, docs, rows):
     assert some and all(list(r["ids"]) == tok.encode(text[r["doc_id"]], add_special_tokens=False).ids + [1] for r in some)
 
 
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits[:n]), "".join("ab"[1 - b] for b in bits[:n])
+
+
+def test_words_are_told_apart_by_their_bytes():
+    from snapfold.llm.common import Words
+
+    a, b = thue_morse(1024)
+    texts = [f"{a} {b} {a} x", "", "é 0123456789abcdef 0123456789abcdeX 0123456789abcdefg", " "]
+    w = Words([t.encode() for t in texts])
+    words = [x for t in texts for x in t.split()]
+    assert [w.word(i).decode() for i in range(len(w.start))] == words and w.counts.tolist() == [4, 0, 4, 0] and w.text.tolist() == [0] * 4 + [2] * 4
+    w.hash[:] = 7  # even where all hashes are equal
+    first, place = w.distinct()
+    assert [words[first[k]] for k in place] == words
+    table = tokens.WordTable(tokenizer_path("word_bpe_49k.json"))
+    for n in (512, 1024, 4096):
+        text = " ".join([*thue_morse(n), thue_morse(n)[0]])
+        assert list(next(table.encode([text.encode()]))) == table.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_shards_are_cut_by_size_also_inside_an_id(spark):
+    long, one = sentence(3000), sentence(30)
+    rows = [(None, one, "s") for _ in range(300)] + [(5, sentence(300), "s") for _ in range(200)] + [(10 + i, long if i < 10 else one, "s") for i in range(400)]
+    index = tokens.write_records(frame(spark, rows), scratch_path(spark, "records"), tokenizer_path("word_bpe_49k.json"), shard_bytes=20_000).collect()
+    sizes = Counter()
+    for r in index:
+        sizes[r["shard"]] += r["bytes"]
+    assert len(index) == len(rows) and len(sizes) > 20 and max(sizes.values()) < 60_000
+    ordered = [r["doc_id"] for r in sorted(index, key=lambda r: (r["shard"], r["position"]))]
+    assert ordered == sorted(ordered, key=lambda i: -1 if i is None else i)
+    assert len({r["shard"] for r in index if r["doc_id"] is None}) > 2
+
+
 def test_damage_is_found():
     data = tokens.frame(tokens.pack(None, np.array([1, 70000], "<u4"))) + tokens.frame(b"xy")
     assert [tokens.unpack(p)[0] for _, p in itertools.islice(tokens.frames(data), 1)] == [None]
