@@ -1,8 +1,9 @@
 """Chat formatting with schema fingerprints, in DataFrame functions only.
 
-A record is a VARIANT of any layout. The nested field paths of each record (types and order left out) are hashed; the
-fingerprint selects a declarative mapping that says where the turns are: either fixed roles with the path of each text,
-or an array of turns with the names of its role and text fields. Canonical turns are written as
+A record is a VARIANT of any layout. The nested field paths of each record (order left out, objects, arrays and scalars told
+apart) are hashed, as far as some layout names them; the fingerprint selects a declarative mapping that says where the
+turns are: either fixed roles with the paths of each text, or an array of turns with the names of its role and text
+fields. Canonical turns are written as
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -18,47 +19,61 @@ what Spark stores in one.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TURNS = "array<struct<role:string,text:string>>"
 
-#: Layouts: field paths, then either ("fields", ((role, path), ...)) or ("array", path, role field, text field).
+#: Layouts: either ("fields", ((role, paths of its text, joined by an empty line), ...)) or ("array", path of the turns, role
+#: field, text field). The names are those of layouts in use.
 LAYOUTS = (
-    ("prompt,response", ("fields", (("user", "$.prompt"), ("assistant", "$.response")))),
-    ("completion,prompt", ("fields", (("user", "$.prompt"), ("assistant", "$.completion")))),
-    ("system,prompt,response", ("fields", (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")))),
-    ("answer,question", ("fields", (("user", "$.question"), ("assistant", "$.answer")))),
-    ("instruction,output", ("fields", (("user", "$.instruction"), ("assistant", "$.output")))),
-    ("input,instruction,output", ("fields", (("user", "$.instruction\\n\\n$.input"), ("assistant", "$.output")))),
-    ("messages[].content,messages[].role", ("array", "$.messages", "role", "content")),
-    ("messages[].role,messages[].text", ("array", "$.messages", "role", "text")),
-    ("conversations[].from,conversations[].value", ("array", "$.conversations", "from", "value")),
+    ("fields", (("user", ("prompt",)), ("assistant", ("response",)))),
+    ("fields", (("user", ("prompt",)), ("assistant", ("completion",)))),
+    ("fields", (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    ("fields", (("user", ("data.prompt",)), ("assistant", ("data.response",)))),
+    ("fields", (("user", ("question",)), ("assistant", ("answer",)))),
+    ("fields", (("user", ("instruction",)), ("assistant", ("output",)))),
+    ("fields", (("user", ("instruction", "input")), ("assistant", ("output",)))),
+    ("array", "messages", "role", "content"),
+    ("array", "messages", "role", "text"),
+    ("array", "conversations", "from", "value"),
+    ("array", "conversation.turns", "speaker", "text"),
 )
 
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def fingerprint_of(paths: str) -> Column:
-    return F.sha2(F.lit(",".join(sorted(paths.split(",")))), 256)
+def required(layout: tuple) -> list[str]:
+    """The field paths that a layout reads, sorted; "[]" stands for the elements of an array."""
+    if layout[0] == "fields":
+        return sorted({p for _, paths in layout[1] for p in paths})
+    return sorted(f"{layout[1]}[].{name}" for name in layout[2:])
 
 
 def field_paths(record: Column) -> Column:
-    """Nested field paths of a variant as one sorted text, such as "messages[].content,messages[].role".
+    """Sorted paths of all scalars of a variant, such as "data.prompt" or "messages[].content"; kinds of scalars are left out.
 
-    The schema text nests as OBJECT<a: T, b: ARRAY<OBJECT<c: U>>>; one array of objects below the top is told apart, which
-    is what the layouts need.
+    The tokens of the schema text, OBJECT<a: T, b: ARRAY<OBJECT<c: U>>>, are folded with a stack of open containers.
+    An array, an object and a scalar of the same name have different paths.
     """
-    schema = F.schema_of_variant(record)
-    inner = F.regexp_extract(schema, r"^OBJECT<(.*)>$", 1)
-    nested = F.regexp_extract(inner, r"(\w+): ARRAY<OBJECT<([^<>]*)>>", 1)
-    fields = F.regexp_extract(inner, r"(\w+): ARRAY<OBJECT<([^<>]*)>>", 2)
-    names = lambda text: F.transform(F.filter(F.split(text, ", "), lambda x: x != ""), lambda x: F.regexp_replace(x, r": .*$", ""))
-    flat = names(F.regexp_replace(inner, r"(\w+): ARRAY<OBJECT<[^<>]*>>(, )?", ""))
-    below = F.when(nested != "", F.transform(names(fields), lambda x: F.concat(nested, F.lit("[]."), x))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.array_sort(F.concat(flat, below)), ",")
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(`(?:[^`]|``)*`|[^<>:,`\s]+): |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9, ]*\))?"), F.lit(0))
+    kind = "struct<stack:array<string>,name:string,out:array<string>>"
+    start = F.struct(F.array(F.lit("")).alias("stack"), F.lit("").alias("name"), F.array().alias("out")).cast(kind)
+
+    def step(s: Column, token: Column) -> Column:
+        here = F.concat(F.element_at(s["stack"], -1), s["name"])
+        inside = F.concat(here, F.when(here == "", "").otherwise("."))
+        stack = F.when(token == "OBJECT<", F.concat(s["stack"], F.array(inside))).when(token == "ARRAY<", F.concat(s["stack"], F.array(here))).when(token == ">", F.slice(s["stack"], 1, F.greatest(F.lit(1), F.size(s["stack"]) - 1))).otherwise(s["stack"])
+        named = F.endswith(token, F.lit(": "))
+        name = F.when(named, F.replace(F.regexp_replace(token, "^`|`?: $", ""), F.lit("``"), F.lit("`"))).when(token == "ARRAY<", "[]").otherwise("")
+        scalar = ~named & ~token.isin("OBJECT<", "ARRAY<", ">")
+        return F.struct(stack.alias("stack"), name.alias("name"), F.when(scalar, F.concat(s["out"], F.array(here))).otherwise(s["out"]).alias("out")).cast(kind)
+
+    return F.array_sort(F.array_distinct(F.aggregate(tokens, start, step)["out"]))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -69,22 +84,33 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(known.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _mapped(record: Column, mapping: tuple) -> Column:
-    if mapping[0] == "fields":
-        texts = lambda path: F.concat_ws("\n\n", *(F.try_variant_get(record, p, "string") for p in path.split("\\n\\n")))
-        return F.array(*(_turn(F.lit(role), texts(path)) for role, path in mapping[1]))
-    _, path, role, text = mapping
-    rows = F.try_variant_get(record, path, f"array<struct<`{role}`:string,`{text}`:string>>")
+def _mapped(record: Column, layout: tuple) -> Column:
+    if layout[0] == "fields":
+        texts = lambda paths: F.concat_ws("\n\n", *(F.try_variant_get(record, f"$.{p}", "string") for p in paths))
+        return F.array(*(_turn(F.lit(role), texts(paths)) for role, paths in layout[1]))
+    _, path, role, text = layout
+    rows = F.try_variant_get(record, f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
     return F.transform(rows, lambda x: _turn(x[role], x[text]))
 
 
-def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
-    """Adds fingerprint and turns (null for unknown layouts) to rows with a variant column."""
-    out = records.withColumn("fingerprint", F.sha2(field_paths(F.col(record)), 256))
+def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple = LAYOUTS) -> DataFrame:
+    """Adds fingerprint (of the paths that any layout reads) and turns (null for unknown layouts) to rows with a variant.
+
+    A layout is selected by the fingerprint of its paths; a record that holds the paths of several is read by the one
+    with the most. Paths that no layout names play no part.
+    """
+    named = sorted({p for x in layouts for p in required(x)})
+    own = F.array_intersect(field_paths(F.col(record)), F.array(*map(F.lit, named)))
+    free = next(n for n in (f"paths{i or ''}" for i in range(len(records.columns) + 1)) if n not in records.columns)
+    out = records.withColumn(free, own).withColumn("fingerprint", F.sha2(F.array_join(free, ","), 256))
     turns = F.lit(None).cast(TURNS)
-    for paths, mapping in LAYOUTS:
-        turns = F.when(F.col("fingerprint") == fingerprint_of(paths), _mapped(F.col(record), mapping)).otherwise(turns)
-    return out.withColumn("turns", turns)
+    ordered = sorted(layouts, key=lambda x: len(required(x)))
+    # the last condition asked is the first to hold: exact fingerprints, then the layout with the most paths
+    for x in ordered:
+        turns = F.when(F.size(F.array_except(F.array(*map(F.lit, required(x))), F.col(free))) == 0, _mapped(F.col(record), x)).otherwise(turns)
+    for x in ordered:
+        turns = F.when(F.col("fingerprint") == hashlib.sha256(",".join(required(x)).encode()).hexdigest(), _mapped(F.col(record), x)).otherwise(turns)
+    return out.withColumn("turns", turns).drop(free)
 
 
 def escape(text: Column) -> Column:
