@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from snapfold.shared import cut, scratch_path
 from snapfold.shipping import ship
 
-__all__ = ["WORD", "Words", "as_bytes", "cut", "load", "mix64", "scratch_path", "slices", "text_key"]
+__all__ = ["WORD", "Words", "as_bytes", "cut", "free_names", "load", "mix64", "scratch_path", "slices", "text_key"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 _SEED = 0x9E3779B97F4A7C15
@@ -22,6 +22,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key() -> Column:
     """128-bit digest of the text of a row; null counts as empty, as everywhere here."""
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
