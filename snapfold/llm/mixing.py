@@ -20,12 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from snapfold.llm.common import WORD, cut
+from snapfold.llm.common import WORD, cut, free_names
 
 EPS = 1e-9
-STATE = "doc_id long, source string, size long, source_size long, target double, whole long, block long, p double"
+STATE = "row long, doc_id long, source string, size long, source_size long, target double, whole long, block long, p double"
 
 
 def targets_by_weight(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -102,7 +101,7 @@ def _round(seed: int, level: int, last: bool):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         size, p = rows["size"].to_numpy(), rows["p"].to_numpy()
         # large rows first, so that many rows are left to even them out; equal rows stand for each other
-        order = np.lexsort((p, rows["doc_id"].fill_null(-(1 << 63)).to_numpy(), -size))
+        order = np.lexsort((rows["row"].to_numpy(), p, rows["doc_id"].fill_null(-(1 << 63)).to_numpy(), -size))
         name = key[0].as_py()
         rng = np.random.default_rng([seed, level, zlib.crc32(b"\0" if name is None else b"s" + name.encode()), key[1].as_py()])
         moved = flight(p[order], size[order], rng, 12 if last else 6)
@@ -112,19 +111,30 @@ def _round(seed: int, level: int, last: bool):
     return run
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes_of(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row (a number of its own: the column of that name, else its place in the table), doc_id, source and size of every row."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, block_rows: int = 1024, fan_in: int = 256, max_sources: int = 1_000_000) -> DataFrame:
+def in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """rows dealt to `blocks` blocks of their source by id and size; where more than block_rows rows share both, by row too."""
+    alike = ("source", "doc_id", "size")
+    many = rows.groupBy(*alike).count().filter(F.col("count") > block_rows).select(*(F.col(c).alias(f"_{c}") for c in alike), F.lit(True).alias("_many"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]
+    salt = F.when(F.col("_many"), F.col("row")).otherwise(0)
+    return rows.join(many, same, "left").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", salt), F.col("blocks")))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, block_rows: int = 1024, fan_in: int = 256, max_sources: int = 1_000_000, row: str | None = None) -> DataFrame:
     """Decide how often each row of docs (doc_id, source, text) is taken.
 
-    Returns doc_id, source, size, source_size, target, copies and taken = size * copies. Sources are in code point
-    order, null last, and get `weights` in turn. The table of sources (not of rows) passes the driver and is checked
-    against max_sources.
+    Returns row, doc_id, source, size, source_size, target, copies and taken = size * copies; `row` names a column of docs
+    with a number for each row, if it has one. Sources are in code point order, null last, and get `weights` in turn. The
+    table of sources (not of rows) passes the driver and is checked against max_sources.
     """
     spark = docs.sparkSession
-    sizes = cut(sizes_of(docs), "sizes")
+    sizes = cut(sizes_of(docs, row), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -138,8 +148,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         plan.append((r["source"], r["source_size"], target, whole, 0.0 if rest < EPS else rest, math.ceil(r["n"] / block_rows)))
     known = spark.createDataFrame(plan, "key string, source_size long, target double, whole long, p double, blocks long")
     known = F.broadcast(known) if len(plan) <= 10_000 else known
-    rows = sizes.join(known, F.col("source").eqNullSafe(F.col("key"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "block", "p")
+    rows = in_blocks(sizes.join(known, F.col("source").eqNullSafe(F.col("key"))), block_rows)
+    rows = rows.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "block", "p")
     done, left = [rows.filter("p = 0")], rows.filter("p > 0")
     blocks, level = max([1, *(x[-1] for x in plan)]), 0
     while True:
@@ -154,14 +164,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     for more in done[1:]:
         out = out.unionByName(more)
     out = out.withColumn("copies", (F.col("whole") + F.col("p")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their own columns."""
-    turn = Window.partitionBy("doc_id").orderBy("source", "size")
-    taken = mix(docs, **options).withColumn("turn", F.row_number().over(turn)).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("turn").alias("_turn"), "copies")
-    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    own = own.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_size")))
-    both = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_turn")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows of docs as often as the mix takes them, with their own columns; rows are numbered and joined by number."""
+    number, copies, copy = free_names(docs, "mix_row", "mix_copies", "mix_copy")
+    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    taken = mix(rows, row=number, **options).filter("copies > 0").select(F.col("row").alias(number), F.col("copies").cast("int").alias(copies))
+    # the numbers are the narrow side: hashed, so that texts are not sorted
+    return rows.join(taken.hint("shuffle_hash"), number).withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.col(copies)))).drop(number, copies, copy)

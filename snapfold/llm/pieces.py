@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,12 +112,18 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
 
 
 def piece_ids(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids (with the end id) and decoded text of every row."""
+    """doc_id, n_tokens, ids (with the end id) and decoded text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_encoded(batch, model))
-            ids = [[int(i) for i in r[1].split(" ")] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                counts, ids, said = [0], [], []
+                for n, as_text, decoded in _encoded(part, model):
+                    counts.append(counts[-1] + n)
+                    ids.append(np.fromstring(as_text, np.int32, sep=" "))
+                    said.append(decoded)
+                rows = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(counts), pa.int64()), rows, pa.array(said, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -2,8 +2,9 @@
 
 Every document's rule statistics come from one pass over its whole text. A forest of random splits is grown on a bounded
 sample of labelled good rows; a document that few splits isolate, because its statistics are far from all of those,
-has a short mean path and a high score. The score from which documents are rejected is calibrated on all labelled
-rows, a good row rejected weighing `good_cost` bad rows kept. Base rules reject by themselves.
+has a short mean path and a high score. The score from which documents are rejected is calibrated on the labelled rows
+of one of two folds, a good row rejected weighing `good_cost` bad rows kept; `held_out` gives the figures of the other
+fold. Base rules reject by themselves.
 
 Edge cases: a null or blank text has no words and fails the base rules; repeated rows give repeated rows; without
 labelled good rows the forest is grown on a sample of all rows and only the base rules reject; labels without id or
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import as_bytes, cut, text_key
+from snapfold.llm.common import as_bytes, cut
 
 BLANK = bytes([0x20, *range(0x09, 0x0E)])
 NOT_CODE_POINT = BLANK + bytes(range(0x80, 0xC0))
@@ -27,9 +28,11 @@ SYMBOLS = b"#*$%&|<>"
 MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b not in SYMBOLS)
 UPPER = bytes(range(65, 91))
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = ("f_length", "f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_stutter", "f_upper", "f_marks", "f_variety", "f_top_word", "f_lines")
+#: Length is no fault, so no statistic of it takes part.
+FEATURES = ("f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_stutter", "f_upper", "f_marks", "f_variety", "f_top_word")
 STATS = ", ".join(["doc_id long", *(f"{b} long" for b in BASE), *(f"{f} double" for f in FEATURES)])
 WINDOW = 8
+RUN = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,25 +72,30 @@ def statistics(text: bytes) -> tuple:
     ids = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
     repeats = repeat_words(ids)
     _, counts = np.unique(ids, return_counts=True)
+    # distinct words in runs of the same size, so that long texts are measured as short ones
+    run = np.arange(n) // RUN
+    order = np.lexsort((ids, run))
+    fresh = n - int(((ids[order[1:]] == ids[order[:-1]]) & (run[order[1:]] == run[order[:-1]])).sum())
+    variety = np.log1p(fresh / (run[-1] + 1)) / np.log1p(n / (run[-1] + 1))
     stutter = int((ids[1:] == ids[:-1]).sum())
     upper = len(text) - len(text.translate(None, UPPER))
     marks = len(text) - len(text.translate(None, MARKS))
-    return (n, chars, symbols, dup, repeats, float(np.log1p(n)), chars / n, symbols / n, dup / len(lines), repeats / n, stutter / n, upper / chars, marks / n, float(np.log1p(len(counts)) / np.log1p(n)), int(counts.max()) / n, len(lines) / n)
+    return (n, chars, symbols, dup, repeats, chars / n, symbols / n, dup / len(lines), repeats / n, stutter / n, upper / chars, marks / n, float(variety), int(counts.max()) / n)
 
 
-def rule_statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    """doc_id, the BASE counts and FEATURES of every row; keyed: also text_key, which with doc_id names the text judged."""
-    names = [x.split()[0] for x in STATS.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.float64()] * len(FEATURES)
-    more = ["text_key"] if keyed else []
+def statistic_columns(texts: list[bytes]) -> list[pa.Array]:
+    columns = list(zip(*map(statistics, texts))) or [[]] * (len(BASE) + len(FEATURES))
+    return [pa.array(c, pa.int64() if i < len(BASE) else pa.float64()) for i, c in enumerate(columns)]
+
+
+def rule_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, the BASE counts and FEATURES of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*map(statistics, as_bytes(batch.column(1))))) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds)), *(batch.column(n) for n in more)], [*names, *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *statistic_columns(as_bytes(batch.column(1)))], ["doc_id", *BASE, *FEATURES])
 
-    keys = [text_key().alias("text_key")] if keyed else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keys).mapInArrow(run, ", ".join([STATS, *(f"{n} binary" for n in more)]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, STATS)
 
 
 def mean_path(n: float) -> float:
@@ -157,8 +165,29 @@ def calibrate(labelled: DataFrame, good_cost: float, bins: int = 4096) -> float:
     return float((run[0] + run[-1]) / 2 / bins)
 
 
-def known_labels(labels: DataFrame) -> DataFrame:
-    return labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+FOLDS = 2
+
+
+def known_labels(labels: DataFrame, rows: int | None = None, fold: int = 0) -> DataFrame:
+    """doc_id and quality of labels that have both, of one of two folds by id: thresholds are set on fold 0, and fold 1 is held out.
+
+    rows bounds a sample by id.
+    """
+    own = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) == fold)
+    if rows is None:
+        return own
+    n = own.count()
+    return own if n <= rows else own.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(n)) < rows)
+
+
+def held_out(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality, kept, rows: how judged rows (doc_id, kept) fare by labels that no threshold was set on."""
+    return judged.join(known_labels(labels, fold=1), "doc_id").groupBy("quality", "kept").agg(F.count("*").alias("rows"))
+
+
+def failed_base() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
@@ -172,18 +201,24 @@ def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(forest.scores(x))], [*names, "score"])
 
     scored = stats.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "score double"]))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed)
+    return scored.withColumn("base_failed", failed_base())
+
+
+def sampled(rows: DataFrame, limit: int) -> np.ndarray:
+    """The features of about `limit` different rows, chosen by hash; only those leave their partitions."""
+    own = rows.select("doc_id", *FEATURES)
+    n = own.count()
+    some = own if n <= limit else own.filter(F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(n)) < limit)
+    x = some.distinct().select(*FEATURES).toPandas().to_numpy(float)
+    return x[np.lexsort(x.T)]
 
 
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_cost: float = 20.0, trees: int = 128) -> tuple[Forest, float]:
-    """The forest and the score from which it rejects, of the rule statistics of a whole table."""
-    known = known_labels(labels)
-    good = stats.join(known.filter("quality = 1"), "doc_id", "left_semi")
-    pick = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).select(*FEATURES).limit(fit_rows).toPandas().to_numpy()
-    rows = pick(good)
+    """The forest and the score from which it rejects, of the rule statistics of a whole table and labels of fold 0."""
+    labelled = cut(stats.join(known_labels(labels), "doc_id"), "labelled")
+    rows = sampled(labelled.filter("quality = 1"), fit_rows)
     supervised = len(rows) >= 2
-    rows = rows if supervised else pick(stats)
+    rows = rows if supervised else sampled(stats, fit_rows)
     if not len(rows):
         return Forest(np.zeros((1, len(FEATURES))), np.zeros(len(FEATURES)), 1), float("inf")
     # of all rows: a statistic that only rare rows have must have a spread too
@@ -191,8 +226,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_cost: fl
     forest = Forest(rows, spread, trees)
     if not supervised:
         return forest, float("inf")
-    labelled = with_scores(stats.join(known.select("doc_id").distinct(), "doc_id", "left_semi"), forest)
-    return forest, calibrate(labelled.filter(~F.col("base_failed")).join(known, "doc_id").select("score", "quality"), good_cost)
+    return forest, calibrate(with_scores(labelled, forest).filter(~F.col("base_failed")).select("score", "quality"), good_cost)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -203,19 +237,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top)))
 
 
-def kept_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of docs whose own text, by doc_id and text_key, is kept in judged."""
-    good = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", text_key())
-    return keyed.join(good, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi").drop("_text_key")
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, documents: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of docs that the rules keep, each judged by its own text, also where ids are null or repeated.
+    """The rows of docs that the rules keep, each judged by its own text where it is read: no row is moved or joined.
 
     The forest and its threshold are of `documents`, the whole table of which docs is what earlier stages left; so they
     don't depend on which labelled rows those stages kept.
     """
-    stats = cut(rule_statistics(docs, keyed=True), "rule-statistics")
-    forest, top = fit(stats if documents is None else cut(rule_statistics(documents), "rule-statistics"), labels, **options)
-    return kept_rows(docs, with_scores(stats, forest).withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top))))
+    forest, top = fit(cut(rule_statistics(docs if documents is None else documents), "rule-statistics"), labels, **options)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        base = dict(zip((*BASE, *FEATURES), (c.to_numpy(zero_copy_only=False) for c in statistic_columns(as_bytes(texts)))))
+        failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
+        return pa.array(~failed & (forest.scores(np.column_stack([base[f] for f in FEATURES])) < top))
+
+    return docs.filter(good(F.col("text").cast("binary")))

@@ -20,9 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import as_bytes, cut
+from snapfold.llm.common import as_bytes, cut, free_names, text_key
 
 TREE_SEED = 11
 
@@ -132,8 +133,11 @@ def local_groups(points: np.ndarray, distance: int, small: int = 1024) -> Iterat
 def shard_edges(points: DataFrame, distance: int, leaf_rows: int, sample_rows: int, max_leaves: int) -> DataFrame:
     """Edges (a, b): within its shard, fingerprint a is linked to b, the smallest of its group there."""
     n = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
-    tree = build(sample, min(max_leaves, -(-n // leaf_rows)), distance)
+    leaves = min(max_leaves, -(-n // leaf_rows))
+    most = max(sample_rows, 16 * leaves)
+    some = points if n <= most else points.filter(F.pmod(F.xxhash64("fp"), F.lit(n)) < most)
+    sample = np.sort(some.select("fp").toPandas()["fp"].to_numpy().astype(np.int64)).view(np.uint64)
+    tree = build(sample, leaves, distance)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +175,12 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 3, leaf_rows: int = 1024, sample_rows: int = 20_000, max_leaves: int = 4096) -> DataFrame:
-    """doc_id, fp, component_id of every row; the sample only shapes the tree, every fingerprint is searched."""
+def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 3, leaf_rows: int = 1024, sample_rows: int = 20_000, max_leaves: int = 65_536) -> DataFrame:
+    """doc_id, fp, component_id of every row; every fingerprint is searched.
+
+    A sample of about sample_rows fingerprints, or 16 for each of at most max_leaves leaves, shapes the tree and passes the
+    driver; beyond that many leaves shards grow, and each is split further in its task.
+    """
     prints = cut(fingerprints(docs, shingle, seed), "fingerprints")
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
     labels = connected(shard_edges(points, distance, leaf_rows, sample_rows, max_leaves))
@@ -183,11 +191,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: the row with the smallest doc_id of each component stays, once."""
+    """docs without near-duplicates: the row with the smallest doc_id of each component stays, once.
+
+    Rows that share an id are one document; rows without an id are told apart by their text.
+    """
+    one, count, text, nth = free_names(docs, "kept_id", "kept_rows", "own_text", "nth")
     found = near_duplicates(docs, **options)
-    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if kept.filter("n > 1").isEmpty():
+    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(one)).agg(F.count("*").alias(count)), "kept")
+    own = F.col("doc_id").cast("long")
+    out = docs.join(kept.select(one), own.eqNullSafe(F.col(one)), "left_semi")
+    if kept.filter(F.col(count) > 1).isEmpty():
         return out
-    # rows that share an id are one document; rows without an id are told apart by their text
-    return out.withColumn("_text", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    out = out.withColumn(text, F.when(F.col("doc_id").isNull(), text_key()))
+    return out.withColumn(nth, F.row_number().over(W.partitionBy(own, text).orderBy("text"))).filter(F.col(nth) == 1).drop(text, nth)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from snapfold.llm import backoff, chat, licences, mixing, pieces, rules, simhash, tokens, topk, weak
+from snapfold.llm import backoff, chat, licences, mixing, pieces, rules, similar, simhash, tokens, topk, weak
 from snapfold.llm.common import scratch_path
 from snapfold.llm.queries import tokenizer_path
 
@@ -81,6 +81,28 @@ def test_mixed_rows_repeat_whole_rows(docs):
     assert Counter((r["doc_id"], r["source"]) for r in got.collect()) == Counter({k: n for k, n in decided.items() if n})
 
 
+def test_rows_alike_fill_several_blocks(spark):
+    rows = [(7, "a b c", "s")] * 90 + [(None, "a b", "s")] * 90 + [(i, "a", "s") for i in range(20)]
+    sizes = mixing.sizes_of(frame(spark, rows)).withColumn("blocks", mixing.F.lit(16))
+    blocks = mixing.in_blocks(sizes, block_rows=8).groupBy("doc_id", "block").count().collect()
+    assert all(len([1 for r in blocks if r["doc_id"] == i]) > 8 for i in (7, None)) and max(r["count"] for r in blocks) < 30
+    got = mixing.mix(frame(spark, rows), block_rows=8).collect()
+    assert len(got) == 200 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 3
+
+
+NAMES = ("_id", "copies", "_turn", "_row", "_size", "_text", "_key", "_text_key", "kept_id", "own_key", "mix_row", "nth", "row", "label", "Kept_Rows")
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, labels):
+    named = docs
+    for i, c in enumerate(NAMES):
+        named = named.withColumn(c, mixing.F.lit(700 + i))
+    for stage in (mixing.mixed_rows, simhash.keep_one, similar.keep_one, lambda d: rules.keep_good(d, labels), lambda d: weak.keep_good(d, labels)):
+        got = stage(named)
+        assert got.columns == named.columns
+        assert all([r[c] for c in NAMES] == list(range(700, 700 + len(NAMES))) for r in got.collect())
+
+
 def test_rule_statistics(docs, rows, labels):
     text = {i: t or "" for i, t, _ in rows}
     got = rules.quality_rules(docs, labels).collect()
@@ -116,17 +138,71 @@ def test_rules_without_labels_keep_all_but_base(docs, labels):
 def test_spread_is_of_all_rows(spark):
     prose = lambda n: " ".join("".join(RND.choice("abcdefgh") for _ in range(RND.randint(2, 9))) for _ in range(n))
     data = [(i, prose(60), "s") for i in range(400)]
-    sampled = {r[0] for r in spark.createDataFrame([(i,) for i in range(1000, 1200)], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", ascending=False).limit(6).collect()}
-    # hashed last: a sample of the lowest hashes has no symbols at all
-    data += [(i, " ".join(f"{w}%#" for w in prose(60).split()), "s") for i in sampled]
-    table = frame(spark, data)
-    stats = rules.rule_statistics(table)
+    data += [(1000 + i, " ".join(f"{w}%#" for w in prose(60).split()), "s") for i in range(6)]
+    stats = rules.rule_statistics(frame(spark, data))
     forest, _ = rules.fit(stats, spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int"), fit_rows=100)
     want = stats.select(*rules.FEATURES).toPandas().to_numpy().std(axis=0)
     assert np.allclose(forest.spread, want) and forest.spread[rules.FEATURES.index("f_symbols")] > 0
     assert (forest.feature == rules.FEATURES.index("f_symbols")).any()
 
 
+def test_forest_scores_as_plain_paths():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 3))
+    forest = rules.Forest(rows, rows.std(axis=0), trees=16, sample=64)
+    for x, got in zip(rows[:40], forest.scores(rows[:40])):
+        paths = []
+        for t in range(16):
+            node = 0
+            while forest.feature[t, node] >= 0:
+                node = 2 * node + 1 + int(x[forest.feature[t, node]] > forest.cut[t, node])
+            paths.append(forest.path[t, node])
+        assert math.isclose(got, 2 ** (-sum(paths) / 16 / rules.mean_path(64)))
+
+
+def test_threshold_costs_least(spark):
+    rnd = random.Random(1)
+    for cost in (1.0, 20.0):
+        data = [(rnd.random() * 0.7 + 0.3 * (q == 0), q) for q in (0, 1) for _ in range(60)]
+        top = rules.calibrate(spark.createDataFrame(data, "score double, quality int"), cost, bins=64)
+        price = lambda t: sum(cost if q else 0 for x, q in data if int(x * 64) / 64 >= t) + sum(not q for x, q in data if int(x * 64) / 64 < t)
+        assert price(top) == min(price(b / 64) for b in range(66))
+
+
+def test_expectation_maximisation_against_rows():
+    """Patterns with counts give what the same rounds over single rows give, and accuracies that votes were drawn by."""
+    rng = np.random.default_rng(4)
+    good = rng.random(6000) < 0.8
+    right = np.array([[0.99, 0.97, 0.95, 0.98], [0.9, 0.8, 0.7, 0.6]])
+    hit = rng.random((6000, 4)) < np.where(good[:, None], right[0], right[1])
+    votes = np.where(hit, 1, -1) * np.where(good[:, None], 1, -1) * (rng.random((6000, 4)) < 0.9)
+    patterns, place, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    p, accuracy, share = weak.expectation_maximisation(patterns, counts.astype(float))
+    q = [(0.9, 0.4, 0.1)[min(2, v.count(-1))] for v in votes.tolist()]
+    for _ in range(500):
+        prior, acc = (sum(q) + 1) / 6002, []
+        for cls in (1, -1):
+            w = np.array([x if cls == 1 else 1 - x for x in q])
+            a, b = (19, 20) if cls == 1 else (1, 2)
+            acc.append([((w * (votes[:, j] == cls)).sum() + a) / ((w * (votes[:, j] != 0)).sum() + b) for j in range(4)])
+        odds = np.full(6000, math.log(prior / (1 - prior)))
+        for j in range(4):
+            odds += np.where(votes[:, j] == 1, math.log(acc[0][j] / (1 - acc[1][j])), np.where(votes[:, j] == -1, math.log((1 - acc[0][j]) / acc[1][j]), 0))
+        q = (1 / (1 + np.exp(-odds))).tolist()
+    assert np.allclose(p[place.ravel()], q, atol=1e-6) and math.isclose(share, sum(q) / 6000, rel_tol=1e-3)
+    assert np.abs(accuracy[0] - right[0]).max() < 0.03 and np.abs(accuracy[1] - right[1]).max() < 0.12
+    # not the rule of any bad vote: single bad votes are often outvoted
+    assert ((p > 0.5) & (patterns == -1).any(axis=1)).sum() > 3
+
+
+def test_scorer_learns_soft_labels():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 6)).astype(np.float32)
+    w = weak.train(x, (x[:, 0] > x[:, 1]).astype(float))
+    z = x @ w[:-1] + w[-1]
+    assert ((z > 0) == (x[:, 0] > x[:, 1])).mean() > 0.95
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\||<|", "", None, "a\nb", "<|nl|>", "日<|"]
     turns = [(c, t, ["user", "assistant", "sys\ntem", None, "<|x"][(c + t) % 5], nasty[(3 * c + t) % 8], "zz") for c in range(8) for t in range(6)]
@@ -378,6 +454,10 @@ def test_weak_labels_find_planted_junk(spark):
     data = [(i, prose(120), "s") for i in range(200)] + [(1000 + i, " ".join(w.upper() + "%%%" for w in prose(80).split()), "s") for i in range(30)] + [(2000 + i, " ".join(["spam"] * 150), "s") for i in range(30)]
     data += [(3000, None, "s"), (3001, "", "s"), (None, prose(100), "s"), (5, data[5][1], "s")]
     frame_, labels = frame(spark, data), spark.createDataFrame([(i, int(i is not None and i < 1000), 0) for i, _, _ in data[::3]], "doc_id long, quality int, toxic int")
+    accuracy = {r["labeller"]: r for r in weak.labellers(frame_).collect()}
+    assert set(accuracy) == set(weak.LABELLERS) and accuracy["symbols"]["good_accuracy"] > 0.95
+    shares = Counter({(r["quality"], r["kept"]): r["rows"] for r in rules.held_out(weak.classify(frame_, labels), labels).collect()})
+    assert shares[1, True] > 20 and shares[0, False] > 5 and shares[1, False] + shares[0, True] == 0
     for known in (labels, labels.filter("false")):
         got = weak.classify(frame_, known).collect()
         assert len(got) == len(data)
