@@ -3,12 +3,17 @@
 The score of a word after its history is its relative count, or `alpha` times its score after a shorter history where the
 longer n-gram was not seen; every document is scored by counts of all *other* documents, so it cannot support itself.
 
-Documents are dealt to blocks of bounded size. For n = 1, 2, ... each block sends its distinct n-grams (56-bit hashes
-with counts, one packed row for each hash partition) to the count tables, which are partitioned by hash; a table adds
-up the counts and sends back to each block how often other blocks hold each of its n-grams. An n-gram can only be known elsewhere
-if both its shorter ones are, so longer n-grams are sent only where those came back or occur in another document of the
-block. At last each block joins its own n-grams to the counts it got and sums log scores for each document. A frequent
-n-gram is sent once for each block, never once for each document, so no key gathers rows of all documents.
+Documents are dealt to blocks of bounded size, and each block numbers its distinct words once. For n = 1, 2, ... each
+block explodes its texts into distinct n-grams with counts (the partial aggregation) and sends them to the count table
+of order n, which is partitioned by hash. The table groups equal n-grams, sums them, gives an id to each that several
+blocks hold, and joins counts and ids back to the blocks that asked. Words are equal by their bytes; a longer n-gram is
+the pair of the id of all its words but the last and the id of the last word, so no order rests on a hash being unique. An n-gram can only be
+known elsewhere if both its shorter ones are, so only those are asked for. At last each block sums log scores for each
+document. A frequent n-gram is sent once for each block, never once for each document, so no key gathers rows of all
+documents. What a block sends to one partition is one row of packed numbers: at most one row for each n-gram, and far
+fewer as long as partitions are few.
+
+Log scores of words are rounded to millionths and summed as integers, so a sum does not depend on its order.
 
 Edge cases: a null or blank text has no words, score 0 and perplexity null; documents of one or two words have
 shorter histories; words seen in no other document count as half an occurrence; repeated rows are documents of
@@ -20,98 +25,45 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import WORD, Words, as_bytes, cut, mix64, scratch_path, slices
+from snapfold.llm.common import Words, as_bytes, cut, mix64, scratch_path
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+MICRO = 1_000_000
 
 
-def n_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The text number of every word, and for n = 1 to order the hash of the n-gram that ends there (0: none does)."""
-    number, grams = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(order)]
-    for lo, hi in slices(texts, 2 << 20):
-        w = Words(texts[lo:hi])
-        number.append(w.text + lo)
-        last = np.maximum(w.hash >> np.uint64(8), np.uint64(1))
-        grams[0].append(last)
-        for n in range(2, order + 1):
-            longer = np.zeros(len(last), np.uint64)
-            with np.errstate(over="ignore"):
-                longer[1:] = np.maximum(mix64(last[:-1] * _STEP + w.hash[1:] + np.uint64(n)) >> np.uint64(8), np.uint64(1))
-            longer[1:][(last[:-1] == 0) | (w.text[1:] != w.text[:-1])] = 0
-            last = longer
-            grams[n - 1].append(last)
-    return np.concatenate(number), [np.concatenate(g) for g in grams]
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as compressed byte planes, as many as the largest needs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
 
 
-def packed_hashes(ordered: np.ndarray) -> bytes:
-    """Sorted 56-bit hashes as seven planes of the bytes of their differences; the high planes are nearly constant."""
-    steps = np.diff(ordered.astype("<u8"), prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T[:7].tobytes()
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
-def unpacked_hashes(data: bytes) -> np.ndarray:
-    planes = np.zeros((len(data) // 7, 8), np.uint8)
-    planes[:, :7] = np.frombuffer(data, np.uint8).reshape(7, -1).T
-    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
+def rising(x: np.ndarray) -> bytes:
+    """Numbers in rising order, as their differences."""
+    return packed(np.diff(x, prepend=0))
 
 
-def by_text(number: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block, their counts, the place of each word's n-gram among them, and its own text's count."""
-    distinct, place, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    pair, where, own = np.unique(number * len(distinct) + place, return_inverse=True, return_counts=True)
-    return distinct, counts, place, own[where]
-
-
-def packed_counts(counts: np.ndarray) -> bytes:
-    """Counts as compressed byte planes: most are 0 or small."""
-    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpacked_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T
-    return np.ascontiguousarray(planes).view("<u4").ravel().astype(np.int64)
-
-
-class Known:
-    """What a block knows of the counts of its n-grams in all other blocks.
-
-    Answers hold counts alone, in the order of the hashes that were asked for, which the block works out again.
-    """
-
-    def __init__(self, grams: list[np.ndarray], answers: pa.Table | None = None):
-        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        if answers is not None and answers.num_rows:
-            rows = sorted(zip(*(answers[c].to_pylist() for c in ("n", "part", "counts"))))
-            for n in sorted({r[0] for r in rows}):
-                self.of[n] = asked(grams, self, n)[0], np.concatenate([unpacked_counts(r[2]) for r in rows if r[0] == n])
-
-    def elsewhere(self, n: int, distinct: np.ndarray) -> np.ndarray:
-        grams, counts = self.of.get(n, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        if not len(grams):
-            return np.zeros(len(distinct), np.int64)
-        at = np.minimum(np.searchsorted(grams, distinct), len(grams) - 1)
-        return np.where(grams[at] == distinct, counts[at], 0)
-
-
-def asked(grams: list[np.ndarray], known: Known, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct n-grams that may occur in other blocks, sorted, and their counts."""
-    wanted = grams[n - 1] != 0
-    if n > 1:
-        shorter = known.elsewhere(n - 1, grams[n - 2]) > 0
-        wanted &= shorter & _before(shorter)
-    return np.unique(grams[n - 1][wanted], return_counts=True)
-
-
-def others(known: Known, n: int, number: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """For each word: how often its n-gram occurs in other documents."""
-    distinct, counts, place, own = by_text(number, grams)
-    return np.where(grams == 0, 0, (counts + known.elsewhere(n, distinct))[place] - own)
+def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, equal only for equal pairs of numbers from 0 on."""
+    top = int(b.max(initial=0)) + 1
+    if (int(a.max(initial=0)) + 1) * top < 1 << 63:
+        return a * top + b
+    _, a = np.unique(a, return_inverse=True)
+    _, b = np.unique(b, return_inverse=True)
+    return a * (int(b.max(initial=0)) + 1) + b
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,92 +84,222 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["block", "part"])
 
 
-def unpack(table: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["part"].to_pylist()])
-
-
-def _texts(rows: pa.Table) -> list[bytes]:
-    return [x for chunk in rows["text"].chunks for x in as_bytes(chunk)]
-
-
-def _before(values: np.ndarray) -> np.ndarray:
-    """The value of the word before."""
-    return np.concatenate([np.zeros(min(1, len(values)), values.dtype), values[:-1]])
-
-
-def requests(table: pa.Table, answers: pa.Table | None, n: int, parts: int) -> pa.Table:
-    """What a block asks for at order n, packed by hash partition."""
-    _, grams = n_grams(_texts(unpack(table)), n)
-    distinct, counts = asked(grams, Known(grams, answers), n)
-    edge = np.append(np.searchsorted(distinct, np.array([(p << 56) // parts for p in range(parts)], np.uint64)), len(distinct))
+BLOCK = "block long, docs binary, sizes binary, places binary, words binary"
+
+
+def index_block(table: pa.Table) -> pa.Table:
+    """The one row of a block: its ids, words of each text, number of the word at each place, and the distinct words."""
+    docs = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["part"].to_pylist()])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.select(["doc_id"]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(docs.select(["doc_id"]))
+    w = Words([x for chunk in docs["text"].chunks for x in as_bytes(chunk)])
+    first, place = w.distinct()
+    words = zlib.compress(b"\n".join([w.word(i) for i in first.tolist()]), 1)
+    return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "sizes": pa.array([packed(w.counts)], pa.binary()), "places": pa.array([packed(place)], pa.binary()), "words": pa.array([words], pa.binary())})
+
+
+@dataclass
+class Order:
+    """The n-grams of one order in a block: that of each place (-1: none ends there), and of each distinct one its count
+    elsewhere and its id in the count table (0: in no other block)."""
+
+    place: np.ndarray
+    elsewhere: np.ndarray
+    ids: np.ndarray
+
+
+class Block:
+    """A block's texts as numbers, with what the count tables said so far."""
+
+    def __init__(self, row: dict, answers: pa.Table | None, parts: int):
+        self.row, self.parts = row, parts
+        self.sizes, words = unpacked(row["sizes"]), unpacked(row["places"])
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.inner = np.ones(len(words), bool)  # places with a word of the same text before
+        self.inner[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = False
+        self.words = words
+        said: dict[int, list] = {}
+        if answers is not None:
+            for n, part, counts, ids in sorted(zip(*(answers[c].to_pylist() for c in ("n", "part", "counts", "ids")))):
+                said.setdefault(n, []).append((counts, ids))
+        self.orders: list[Order] = []
+        for n in range(1, len(said) + 1):
+            place, size = self.next_place()
+            asked, _, _ = self.wanted(place, size)
+            order = Order(place, np.zeros(size, np.int64), np.zeros(size, np.int64))
+            if n in said:
+                counts = np.concatenate([unpacked(c) for c, _ in said[n]])
+                order.elsewhere[asked] = counts
+                order.ids[asked[counts > 0]] = np.concatenate([unpacked(i) for _, i in said[n]])
+            self.orders.append(order)
+
+    def next_place(self) -> tuple[np.ndarray, int]:
+        """The n-gram of the next order that ends at each place, and how many distinct ones there are."""
+        if not self.orders:
+            return self.words, int(self.words.max(initial=-1)) + 1
+        before = np.concatenate([[-1], self.orders[-1].place[:-1]]) if len(self.words) else self.words
+        there = self.inner & (before >= 0)
+        _, number = np.unique(pairs(before[there], self.words[there]), return_inverse=True)
+        place = np.full(len(self.words), -1)
+        place[there] = number
+        return place, int(number.max(initial=-1)) + 1
+
+    def wanted(self, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Distinct n-grams to ask for, by partition and in rising order of their names there: their numbers, their
+        partitions and (beyond words) the names, pairs of ids."""
+        n = len(self.orders) + 1
+        if n == 1:
+            w = Words([zlib.decompress(self.row["words"])])
+            part = (w.hash % np.uint64(self.parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            return order, part[order], None
+        last, words = self.orders[-1], self.orders[0]
+        # any place of an n-gram tells its words
+        at = np.zeros(size, np.int64)
+        ends = np.flatnonzero(place >= 0)
+        at[place[ends]] = ends
+        known = (last.ids[last.place[at - 1]] > 0) & (last.ids[last.place[at]] > 0)
+        which = np.flatnonzero(known)
+        a, b = last.ids[last.place[at[which] - 1]], words.ids[words.place[at[which]]]
+        with np.errstate(over="ignore"):
+            part = (mix64(mix64(a.astype(np.uint64) * _STEP) ^ b.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
+        order = np.lexsort((b, a, part))
+        return which[order], part[order], np.stack([a[order], b[order]])
+
+
+def _block_of(table: pa.Table, answers: pa.Table | None, parts: int) -> Block:
+    return Block(table.to_pylist()[0], answers, parts)
+
+
+SENT = "block long, part int, names binary, more binary, counts binary"
+
+
+def requests(table: pa.Table, answers: pa.Table | None, parts: int) -> pa.Table:
+    """What a block asks of the count table of the next order: a row for each partition."""
+    block = _block_of(table, answers, parts)
+    place, size = block.next_place()
+    which, part, names = block.wanted(place, size)
+    counts = np.bincount(place[place >= 0], minlength=size)[which]
+    edge = np.searchsorted(part, np.arange(parts + 1))
     full = np.flatnonzero(edge[:-1] < edge[1:]).tolist()
+    cuts = [slice(edge[p], edge[p + 1]) for p in full]
+    if names is None:
+        words = zlib.decompress(block.row["words"]).split(b"\n")
+        first, more = [zlib.compress(b"\n".join([words[i] for i in which[c].tolist()]), 1) for c in cuts], [b""] * len(cuts)
+    else:
+        first, more = [rising(names[0][c]) for c in cuts], [packed(names[1][c]) for c in cuts]
     return pa.table({
-        "block": pa.array([table["block"][0].as_py()] * len(full), pa.int64()),
+        "block": pa.array([block.row["block"]] * len(full), pa.int64()),
         "part": pa.array(full, pa.int32()),
-        "grams": pa.array([packed_hashes(distinct[edge[p] : edge[p + 1]]) for p in full], pa.binary()),
-        "counts": pa.array([packed_counts(counts[edge[p] : edge[p + 1]]) for p in full], pa.binary()),
+        "names": pa.array(first, pa.binary()),
+        "more": pa.array(more, pa.binary()),
+        "counts": pa.array([packed(counts[c]) for c in cuts], pa.binary()),
     })
 
 
-def _asking(n: int, parts: int):
-    return lambda table, answers: requests(table, answers, n, parts)
+def replies(table: pa.Table, parts: int) -> pa.Table:
+    """One partition of a count table: groups equal n-grams, sums their counts, and joins back to each block how often the
+    others hold each of its n-grams, and the ids of those that are held elsewhere."""
+    names, more = table["names"].to_pylist(), table["more"].to_pylist()
+    counts = [unpacked(x) for x in table["counts"].to_pylist()]
+    if more[0]:
+        key = pairs(np.concatenate([np.cumsum(unpacked(x)) for x in names]), np.concatenate([unpacked(x) for x in more]))
+        _, place = np.unique(key, return_inverse=True)
+    else:
+        _, place = Words([zlib.decompress(x) for x in names]).distinct()
+    total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+    ids = np.arange(len(total)) * parts + table["part"][0].as_py() + 1
+    out_counts, out_ids, at = [], [], 0
+    for c in counts:
+        own = place[at : at + len(c)]
+        rest = total[own] - c
+        out_counts.append(packed(rest))
+        out_ids.append(packed(ids[own[rest > 0]]))
+        at += len(c)
+    return pa.table({"block": table["block"], "part": table["part"], "counts": pa.array(out_counts, pa.binary()), "ids": pa.array(out_ids, pa.binary())})
+
+
+def log_scores(block: Block, alpha: float, words: int) -> np.ndarray:
+    """Sum of the log scores of each text's words, in millionths."""
+    rest = np.maximum(1, words - block.sizes)[block.text].astype(float)
+    score, before = np.zeros(0), np.zeros(0)
+    for n, order in enumerate(block.orders, 1):
+        there = order.place >= 0
+        at = np.where(there, order.place, 0)
+        # an n-gram's count in its own text
+        _, which, own = np.unique(pairs(block.text[there], order.place[there]), return_inverse=True, return_counts=True)
+        counts = np.zeros(len(at), np.int64)
+        if there.any():
+            block_counts = np.bincount(order.place[there], minlength=len(order.elsewhere))
+            counts[there] = (block_counts + order.elsewhere)[at[there]] - own[which]
+        if n == 1:
+            score = np.maximum(counts, 0.5) / rest
+        else:
+            context = np.maximum(1, np.concatenate([[0], before[:-1]]))[: len(counts)]
+            score = np.where(counts > 0, counts / context, np.where(there, alpha * score, score))
+        before = counts
+    micro = np.rint(np.log(score) * MICRO).astype(np.int64)
+    ends = np.cumsum(block.sizes)
+    sums = np.concatenate([[0], np.cumsum(micro)])
+    return sums[ends] - sums[ends - block.sizes]
 
 
-def replies(table: pa.Table) -> pa.Table:
-    """From all requests of one hash partition: for each block, how often the others hold each n-gram it asked for."""
-    grams = [unpacked_hashes(x) for x in table["grams"].to_pylist()]
-    counts = [unpacked_counts(x) for x in table["counts"].to_pylist()]
-    _, place = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-    ends = np.cumsum([len(g) for g in grams])
-    more = [packed_counts(total[place[end - len(c) : end]] - c) for c, end in zip(counts, ends)]
-    return pa.table({"block": table["block"], "part": table["part"], "counts": pa.array(more, pa.binary())})
-
-
-def log_scores(texts: list[bytes], answers: pa.Table | None, order: int, alpha: float, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and sum of natural log scores of each text."""
-    number, grams = n_grams(texts, order)
-    known = Known(grams, answers)
-    sizes = np.bincount(number, minlength=len(texts))
-    rest = np.maximum(1, words - sizes)[number].astype(float) if len(number) else np.zeros(0)
-    counts = [others(known, n, number, g) for n, g in enumerate(grams, 1)]
-    score = np.maximum(counts[0], 0.5) / rest
-    for n in range(2, order + 1):
-        context = _before(counts[n - 2])
-        there = grams[n - 1] != 0
-        seen = there & (counts[n - 1] > 0)
-        score = np.where(seen, counts[n - 1] / np.maximum(1, context), np.where(there, alpha * score, score))
-    return sizes, np.bincount(number, weights=np.log(score), minlength=len(texts)) if len(number) else np.zeros(len(texts))
-
-
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, part_words: int = 1 << 21) -> DataFrame:
+def block_numbers(docs: DataFrame, blocks: int, buckets: int) -> np.ndarray:
+    """Numbers for blocks that Spark's hash deals evenly to buckets."""
+    spread = docs.sparkSession.range(8 * blocks + 64 * buckets).select("id", F.pmod(F.hash("id"), F.lit(buckets)).alias("bucket")).toPandas()
+    nth = spread.groupby("bucket").cumcount()
+    return spread.assign(nth=nth).sort_values(["nth", "bucket"])["id"].to_numpy()[:blocks].astype(np.int64)
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, part_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and perplexity of every row."""
     spark = docs.sparkSession
+    # the place in the table tells repeated rows apart, so that they are dealt to all blocks
+    deal = F.xxhash64("doc_id", F.monotonically_increasing_id())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.coalesce(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(WORD))), F.lit(0))).first()
-    blocks, parts = max(1, -(-size[0] // block_bytes)), max(1, -(-size[1] // part_words))
-    total, buckets = int(size[1]), max(1, -(-blocks // 4))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(blocks)))
-    packed = dealt.select("block", "doc_id", "text").mapInArrow(pack, "block long, part binary")
-    # one table bucketed by block: no later step shuffles a text again
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-size // part_bytes))
+    buckets = max(1, -(-blocks // 2))
+    numbers = block_numbers(docs, blocks, buckets)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which = numbers[(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(blocks)).astype(np.int64)]
+            yield from pack([pa.RecordBatch.from_arrays([pa.array(which), batch.column(1), batch.column(2)], ["block", "doc_id", "text"])])
+
+    dealt = rows.select(deal.alias("block"), "doc_id", "text").mapInArrow(number, "block long, part binary")
+    indexed = dealt.repartition(buckets, "block").groupBy("block").applyInArrow(index_block, BLOCK)
+    # one table bucketed by block: no later step shuffles texts
     name = f"snapfold_blocks_{uuid.uuid4().hex}"
-    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
-    texts, got = spark.table(name), None
-    fields = "block long, part int, grams binary, counts binary"
-    for n in range(1, order + 1):
-        if got is None:
-            sent = texts.groupBy("block").applyInArrow(lambda t: requests(t, None, 1, parts), fields)
-        else:
-            sent = texts.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_asking(n, parts), fields)
-        said = sent.groupBy("part").applyInArrow(replies, "block long, part int, counts binary").withColumn("n", F.lit(n))
-        said = cut(said, "answers")
-        got = said if got is None else got.unionByName(said)
-
-    def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        rows = unpack(table)
-        sizes, logs = log_scores(_texts(rows), known, order, alpha, total)
-        return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(sizes, pa.int64()), "log_score": pa.array(logs, pa.float64())})
-
-    scored = cut(texts.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double"), "scores")
-    spark.sql(f"drop table {name}")
-    return scored.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_score") / F.col("n_words"))))
+    try:
+        indexed.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
+        table, got = spark.table(name), None
+
+        def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([int(unpacked(x).sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+        words = table.select("sizes").mapInArrow(total_of, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        for n in range(1, order + 1):
+            if got is None:
+                sent = table.groupBy("block").applyInArrow(lambda t: requests(t, None, parts), SENT)
+            else:
+                sent = table.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lambda t, a: requests(t, a, parts), SENT)
+            said = sent.groupBy("part").applyInArrow(lambda t: replies(t, parts), "block long, part int, counts binary, ids binary").withColumn("n", F.lit(n))
+            said = cut(said, "answers")
+            got = said if got is None else got.unionByName(said)
+
+        def score(t: pa.Table, answers: pa.Table) -> pa.Table:
+            block = _block_of(t, answers, parts)
+            for _ in range(len(block.orders), order):  # orders of which nothing was asked
+                place, size_ = block.next_place()
+                block.orders.append(Order(place, np.zeros(size_, np.int64), np.zeros(size_, np.int64)))
+            docs_ = pa.ipc.open_stream(block.row["docs"]).read_all()
+            return pa.table({"doc_id": docs_["doc_id"], "n_words": pa.array(block.sizes, pa.int64()), "micro": pa.array(log_scores(block, alpha, words), pa.int64())})
+
+        scored = cut(table.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, micro long"), "scores")
+    finally:
+        spark.sql(f"drop table if exists {name}")
+    out = scored.select("doc_id", "n_words", (F.col("micro") / MICRO).alias("log_score"))
+    return out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.round(F.exp(-F.col("log_score") / F.col("n_words")), 3)))

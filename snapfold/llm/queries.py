@@ -104,5 +104,38 @@ with parts as (
   select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs
 )
 select query_id, rank, vec_id, score from ranked where rank <= 20
+""",
+    # n-grams of all documents as rows; counts of other documents are totals less the document's own
+    "op9_backoff_scores": r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), e as (
+  select r, unnest(w) as c, generate_subscripts(w, 1) as i from d
+), g as (
+  select r, i, c, lag(c) over t as b, lag(c, 2) over t as a from e window t as (partition by r order by i)
+), one as (select c, count(*) as n from g group by c),
+two as (select b, c, count(*) as n from g where b is not null group by b, c),
+three as (select a, b, c, count(*) as n from g where a is not null group by a, b, c),
+own1 as (select r, c, count(*) as n from g group by r, c),
+own2 as (select r, b, c, count(*) as n from g where b is not null group by r, b, c),
+own3 as (select r, a, b, c, count(*) as n from g where a is not null group by r, a, b, c),
+x1 as (select r, own1.c, one.n - own1.n as n from own1 join one on one.c = own1.c),
+x2 as (select r, own2.b, own2.c, two.n - own2.n as n from own2 join two on two.b = own2.b and two.c = own2.c),
+x3 as (select r, own3.a, own3.b, own3.c, three.n - own3.n as n from own3 join three on three.a = own3.a and three.b = own3.b and three.c = own3.c),
+s as (
+  select g.r, g.a, g.b, greatest(x1.n, 0.5) / greatest(1, (select count(*) from g) - len(d.w)) as p1,
+    coalesce(x2.n, 0) as n2, coalesce(h1.n, 0) as m1, coalesce(x3.n, 0) as n3, coalesce(h2.n, 0) as m2
+  from g join d on d.r = g.r join x1 on x1.r = g.r and x1.c = g.c
+  left join x2 on x2.r = g.r and x2.b = g.b and x2.c = g.c left join x1 h1 on h1.r = g.r and h1.c = g.b
+  left join x3 on x3.r = g.r and x3.a = g.a and x3.b = g.b and x3.c = g.c left join x2 h2 on h2.r = g.r and h2.b = g.a and h2.c = g.b
+), q as (
+  select r, a, n3, m2, case when b is null then cast(p1 as double) when n2 > 0 then n2 / cast(greatest(1, m1) as double) else 0.4::double * cast(p1 as double) end as p2 from s
+), z as (
+  select r, cast(sum(cast(round(ln(case when a is null then p2 when n3 > 0 then n3 / cast(greatest(1, m2) as double) else 0.4::double * p2 end) * 1000000) as bigint)) as bigint) as micro
+  from q group by r
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(z.micro, 0) / 1000000.0::double as log_score,
+  case when len(d.w) > 0 then round(exp(-(z.micro / 1000000.0::double) / len(d.w)), 3) end as perplexity
+from d left join z on z.r = d.r
 """,
 }

@@ -424,7 +424,7 @@ def test_piece_rows(docs, rows):
     assert {r["doc_id"]: r["ids"] for r in pieces.piece_ids(docs, model).collect()}[100] == [2]
 
 
-def test_backoff_against_plain_counts(docs, rows):
+def plain_backoff(rows):
     words = [(i, (t or "").encode().split()) for i, t, _ in rows]
     grams = [[Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for n in (1, 2, 3)] for _, w in words]
     total, size = [sum((g[n] for g in grams), Counter()) for n in range(3)], sum(len(w) for _, w in words)
@@ -432,19 +432,37 @@ def test_backoff_against_plain_counts(docs, rows):
     for (i, w), own in zip(words, grams):
         def others(g):
             return total[len(g) - 1][g] - own[len(g) - 1][g]
-        s = 0.0
+        s = 0
         for k in range(len(w)):
             n, a = min(3, k + 1), 1.0
             while n > 1 and not others(tuple(w[k - n + 1 : k + 1])):
                 n, a = n - 1, a * 0.4
             g = tuple(w[k - n + 1 : k + 1])
-            s += math.log(a * (others(g) / others(g[:-1]) if n > 1 else max(others(g), 0.5) / max(1, size - len(w))))
+            s += round(math.log(a * (others(g) / others(g[:-1]) if n > 1 else max(others(g), 0.5) / max(1, size - len(w)))) * 1e6)
         want[i] += s
-    for options in ({}, {"block_bytes": 2000, "part_words": 500}):
-        got = Counter()
-        for r in backoff.backoff_scores(docs, **options).collect():
-            got[r["doc_id"]] += r["log_score"]
-        assert all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+    return want
+
+
+def test_backoff_against_plain_counts(spark, docs, rows):
+    a, b = thue_morse(1024)
+    odd = [(200, f"{a} {b} x", "s"), (201, f"{a} y x", "s"), (202, f"{b} {b} y", "s"), (203, " ".join(rows[3][1].split()[:9]), "s")]
+    for data, options in ((rows, {}), (rows + odd, {"block_bytes": 2000, "part_bytes": 3000}), (rows[:3], {"block_bytes": 1})):
+        want, got = plain_backoff(data), Counter()
+        for r in backoff.backoff_scores(frame(spark, data), **options).collect():
+            got[r["doc_id"]] += round(r["log_score"] * 1e6)
+        assert all(abs(got[i] - want[i]) <= 1 for i in want), options
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("snapfold_blocks")]
+
+
+def test_pairs_stay_apart():
+    rng = np.random.default_rng(6)
+    for top in (100, 1 << 40):
+        a, b = rng.integers(0, top, 500), rng.integers(0, top, 500)
+        a, b = np.concatenate([a, a]), np.concatenate([b, b[::-1]])
+        key = backoff.pairs(a, b)
+        assert len(np.unique(key)) == len(set(zip(a.tolist(), b.tolist())))
+        assert (backoff.unpacked(backoff.packed(a)) == a).all() and (np.cumsum(backoff.unpacked(backoff.rising(np.sort(a)))) == np.sort(a)).all()
+    assert len(backoff.unpacked(backoff.packed(np.zeros(0, np.int64)))) == 0
 
 
 def test_weak_labels_find_planted_junk(spark):
