@@ -374,7 +374,7 @@ def test_top_k_against_all_pairs(spark):
     data += [(1000 + i, [0.5] * 6, "t") for i in range(60)]
     data += [(2000, None, "t"), (2001, [1.0, None, 1.0, 1.0, 1.0, 1.0], "t"), (2002, [float("nan")] * 6, "t"), (2003, [float("inf")] * 6, "t"), (2004, [], "t"), (None, [1.0] * 6, "t"), (2020, [1.0, 2.0], "t")]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, score string")
-    got = topk.top_k(frame, frame.filter("vec_id % 20 = 0"), k=7, block_rows=32, query_rows=4, grid=3).collect()
+    got = topk.top_k(frame, frame.filter("vec_id % 20 = 0"), k=7, block_rows=32, query_rows=4, group_bytes=400).collect()
     good = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v, _ in data if i is not None and v and None not in v and np.isfinite(v).all()}
     want = {}
     for q in good:
@@ -382,6 +382,18 @@ def test_top_k_against_all_pairs(spark):
             best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:7]
             want.update({(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)})
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
+    for bits in (1, 3, 8):
+        again = topk.top_k(frame, frame.filter("vec_id % 20 = 0"), k=7, bits=bits).collect()
+        assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in again} == want and len(again) == len(want)
+
+
+def test_two_vectors_of_one_id_are_two_queries(spark):
+    data = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0])] + [(i, [float(i), 9.0 - i]) for i in range(1, 9)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    lists = {}
+    for r in sorted(topk.top_k(frame, frame.filter("vec_id = 0"), k=3).collect(), key=lambda r: r["rank"]):
+        lists.setdefault(r["query"], []).append((r["vec_id"], r["score"]))
+    assert sorted(lists.values()) == [[(i, 4096 * x) for i, x in ids] for ids in ([(1, 8), (2, 7), (3, 6)], [(8, 8), (7, 7), (6, 6)])]
 
 
 def test_licences(spark):
