@@ -6,6 +6,7 @@ each input row with what was done (decisions), conflicts, and the map from sourc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,6 +21,14 @@ from snapfold.schema import LOCATION_IDENTITY
 CONFLICT = ("owner_id", "seq", "table", "detail", "resolution")
 
 
+#: How a step's result that several others use is held: not at all, or written once (snapfold.shared.cut).
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 @dataclass
 class Merged:
     rows: DataFrame
@@ -42,20 +51,20 @@ def merge_migrations(rows: DataFrame) -> Merged:
     return Merged(rows.select("owner_id", "identifier").distinct(), rows.limit(0).select("owner_id", "seq", F.lit("grdb_migrations").alias("table"), "row_ord", F.lit("").alias("action")))
 
 
-def _by_key(rows: DataFrame, table: str, id_column: str, *keys: str) -> Merged:
-    marked = resolve.first_wins(rows, *keys)
-    numbered = resolve.with_new_ids(marked, id_column)
+def _by_key(rows: DataFrame, table: str, id_column: str, *keys: str, keep: Keep = as_is) -> Merged:
+    marked = keep(resolve.first_wins(rows, *keys))
+    numbered = keep(resolve.with_new_ids(marked, id_column))
     names = [c for c in rows.columns if c not in ("seq", "row_ord", id_column)]
     final = numbered.select(F.col("target_id").alias(id_column), *names)
     return Merged(final, decisions_of(marked, table), ids=resolve.id_map(marked, numbered, id_column))
 
 
-def merge_accuracies(rows: DataFrame) -> Merged:
-    return _by_key(rows, "PlaylistItemAccuracy", "PlaylistItemAccuracyId", "Description")
+def merge_accuracies(rows: DataFrame, keep: Keep = as_is) -> Merged:
+    return _by_key(rows, "PlaylistItemAccuracy", "PlaylistItemAccuracyId", "Description", keep=keep)
 
 
-def merge_tags(rows: DataFrame) -> Merged:
-    return _by_key(rows, "Tag", "TagId", "Type", "Name")
+def merge_tags(rows: DataFrame, keep: Keep = as_is) -> Merged:
+    return _by_key(rows, "Tag", "TagId", "Type", "Name", keep=keep)
 
 
 def location_actions(rows: DataFrame) -> DataFrame:
@@ -112,30 +121,30 @@ def location_actions(rows: DataFrame) -> DataFrame:
     return fast.unionByName(slow.select(*rows.columns, "action", "lead", "clash"))
 
 
-def merge_locations(rows: DataFrame) -> Merged:
-    marked = location_actions(rows)
-    numbered = resolve.with_new_ids(marked, "LocationId")
+def merge_locations(rows: DataFrame, keep: Keep = as_is) -> Merged:
+    marked = keep(location_actions(rows))
+    numbered = keep(resolve.with_new_ids(marked, "LocationId"))
     final = numbered.select(F.col("target_id").alias("LocationId"), "owner_id", *LOCATION_IDENTITY, "Title")
     clash = conflicts_of(marked.filter("clash"), "Location", F.format_string("place %s", F.col("LocationId")), "mapped to the place that holds its key")
     return Merged(final, decisions_of(marked, "Location"), clash, resolve.id_map(marked, numbered, "LocationId"))
 
 
-def merge_media(rows: DataFrame, members: DataFrame) -> tuple[Merged, DataFrame, DataFrame]:
+def merge_media(rows: DataFrame, members: DataFrame, keep: Keep = as_is) -> tuple[Merged, DataFrame, DataFrame]:
     """Merged media, the map of paths (owner_id, seq, src_path, path) and the media plan (owner_id, member, seq, from_member).
 
     members: owner_id, seq, member of each archive.
     """
-    marked = resolve.first_wins(rows, "Hash")
+    marked = keep(resolve.first_wins(rows, "Hash"))
     taken = rows.filter("seq = 0").select("owner_id", "FilePath").union(members.filter("seq = 0").select("owner_id", "member")).distinct()
     new = marked.filter("action = 'added'").withColumn("_nth", F.row_number().over(resolve.window("FilePath")))
     new = new.join(taken.withColumn("_taken", F.lit(True)), ["owner_id", "FilePath"], "left")
     renamed = F.coalesce("_taken", F.lit(False)) | (F.col("_nth") > 1)
     new = new.withColumn("renamed", renamed).withColumn("path", F.when(renamed, renamed_path(F.col("owner_id").cast("string"), "Hash", "FilePath")).otherwise(F.col("FilePath"))).drop("_taken", "_nth")
     there = members.filter("seq > 0").select("owner_id", "seq", F.col("member").alias("FilePath"), F.lit(True).alias("present")).distinct()
-    new = new.join(there, ["owner_id", "seq", "FilePath"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    new = keep(new.join(there, ["owner_id", "seq", "FilePath"], "left").withColumn("present", F.coalesce("present", F.lit(False))))
     base = marked.filter("action = 'base'").withColumns({"renamed": F.lit(False), "path": F.col("FilePath"), "present": F.lit(True)})
     kept = new.unionByName(base)
-    numbered = resolve.with_new_ids(kept, "IndependentMediaId")
+    numbered = keep(resolve.with_new_ids(kept, "IndependentMediaId"))
     final = numbered.select(F.col("target_id").alias("IndependentMediaId"), "owner_id", "OriginalFilename", F.col("path").alias("FilePath"), "MimeType", "Hash")
     gone = conflicts_of(new.filter("not present"), "IndependentMedia", F.concat(F.col("FilePath"), F.lit(" is not in the archive")), "row kept, file missing")
     lead = numbered.select("owner_id", F.struct("seq", "row_ord").alias("lead"), "path")
@@ -148,16 +157,16 @@ def merge_media(rows: DataFrame, members: DataFrame) -> tuple[Merged, DataFrame,
     return out, paths, plan
 
 
-def merge_marks(marks: DataFrame, ranges: DataFrame, location_ids: DataFrame) -> tuple[Merged, Merged]:
+def merge_marks(marks: DataFrame, ranges: DataFrame, location_ids: DataFrame, keep: Keep = as_is) -> tuple[Merged, Merged]:
     """Highlights by guid, the strictly higher version winning, and their ranges: an update replaces all of them, otherwise
     ranges unite by extent. Highlights on unknown places are skipped before anything else."""
     placed = resolve.remap(marks.filter("seq > 0"), "LocationId", location_ids, "_loc").unionByName(marks.filter("seq = 0").withColumn("_loc", F.col("LocationId")))
     skipped = placed.filter("_loc is null").withColumn("action", F.lit("skipped"))
     known = resolve.highest_version(placed.filter("_loc is not null"), "Version", "UserMarkGuid")
     first = F.first(F.struct("seq", "row_ord")).over(resolve.window("UserMarkGuid"))
-    known = known.withColumn("lead", first)
+    known = keep(known.withColumn("lead", first))
     added = known.withColumn("_first", (F.col("lead.seq") == F.col("seq")) & (F.col("lead.row_ord") == F.col("row_ord")))
-    numbered = resolve.with_new_ids(added.filter("_first").withColumn("action", F.when(F.col("seq") == 0, "base").otherwise("added")), "UserMarkId")
+    numbered = keep(resolve.with_new_ids(added.filter("_first").withColumn("action", F.when(F.col("seq") == 0, "base").otherwise("added")), "UserMarkId"))
     ids = resolve.id_map(known.withColumn("action", F.when(F.col("seq") == 0, "base").otherwise(F.col("action"))), numbered, "UserMarkId")
     guid_ids = numbered.select("owner_id", "UserMarkGuid", "target_id")
     final = known.filter("final").join(guid_ids, ["owner_id", "UserMarkGuid"])
@@ -169,26 +178,27 @@ def merge_marks(marks: DataFrame, ranges: DataFrame, location_ids: DataFrame) ->
     extent = ("BlockType", "Identifier", "StartToken", "EndToken")
     last = known.groupBy("owner_id", "UserMarkGuid").agg(F.max("epoch").alias("last"))
     r = r.withColumn("_n", F.row_number().over(resolve.window("UserMarkGuid", "epoch", *extent)))
-    r = r.withColumn("action", F.when(F.col("seq") == 0, "base").when(F.col("_n") == 1, "added").otherwise("reused"))
-    kept = r.join(last, ["owner_id", "UserMarkGuid"]).filter("epoch = last and action <> 'reused'").join(guid_ids, ["owner_id", "UserMarkGuid"])
+    r = keep(r.withColumn("action", F.when(F.col("seq") == 0, "base").when(F.col("_n") == 1, "added").otherwise("reused")))
+    kept = keep(r.join(last, ["owner_id", "UserMarkGuid"]).filter("epoch = last and action <> 'reused'").join(guid_ids, ["owner_id", "UserMarkGuid"]))
     top = ranges.filter("seq = 0").groupBy("owner_id").agg(F.max("BlockRangeId").alias("_top"))
     fresh = resolve.number_rows(kept.filter("seq > 0"), ["owner_id"], ["seq", "row_ord"]).join(top, "owner_id", "left").withColumn("_id", F.coalesce("_top", F.lit(0)) + F.col("number"))
     pick = lambda df, i: df.select(F.col(i).alias("BlockRangeId"), "owner_id", *extent, F.col("target_id").alias("UserMarkId"))
     return out, Merged(pick(fresh, "_id").union(pick(kept.filter("seq = 0"), "BlockRangeId")), decisions_of(r, "BlockRange"))
 
 
-def merge_notes(notes: DataFrame, mark_ids: DataFrame, location_ids: DataFrame) -> Merged:
+def merge_notes(notes: DataFrame, mark_ids: DataFrame, location_ids: DataFrame, keep: Keep = as_is) -> Merged:
     """Notes by guid: a later stamp wins if the text differs, all but Created being replaced."""
     new = resolve.remap(notes.filter("seq > 0"), "UserMarkId", mark_ids, "_mark", zero_is_null=True)
     new = resolve.remap(new, "LocationId", location_ids, "_loc", zero_is_null=True)
     rows = new.unionByName(notes.filter("seq = 0").withColumns({"_mark": F.col("UserMarkId"), "_loc": F.col("LocationId")}))
     text = key(F.coalesce("Title", F.lit("")), F.coalesce("Content", F.lit("")))
-    folded = resolve.fold_newest(rows, "LastModified", text, "Guid")
+    folded = keep(resolve.fold_newest(rows, "LastModified", text, "Guid"))
     each = folded.select("owner_id", "Guid", F.explode("decisions").alias("d")).select("owner_id", "Guid", "d.*")
     marked = rows.select("owner_id", "seq", "row_ord", "NoteId", "Guid", "LastModified", "Created").join(each, ["owner_id", "seq", "row_ord", "Guid"])
     lead = F.first(F.struct("seq", "row_ord")).over(resolve.window("Guid"))
-    marked = marked.withColumn("lead", lead).withColumn("_first", (F.col("lead.seq") == F.col("seq")) & (F.col("lead.row_ord") == F.col("row_ord")))
+    marked = keep(marked.withColumn("lead", lead).withColumn("_first", (F.col("lead.seq") == F.col("seq")) & (F.col("lead.row_ord") == F.col("row_ord"))))
     numbered = resolve.with_new_ids(marked.filter("_first").withColumn("action", F.when(F.col("seq") == 0, "base").otherwise("added")), "NoteId")
+    numbered = keep(numbered)
     won = folded.select("owner_id", "Guid", "seq", "row_ord").join(rows, ["owner_id", "Guid", "seq", "row_ord"]).drop("NoteId", "Created")
     final = won.join(numbered.select("owner_id", "Guid", "target_id", "Created"), ["owner_id", "Guid"])
     final = final.select(F.col("target_id").alias("NoteId"), "owner_id", "Guid", F.col("_mark").alias("UserMarkId"), F.col("_loc").alias("LocationId"), "Title", "Content", "LastModified", "Created", "BlockType", "BlockIdentifier")
@@ -198,12 +208,13 @@ def merge_notes(notes: DataFrame, mark_ids: DataFrame, location_ids: DataFrame)
     return Merged(final, decisions_of(marked, "Note"), clash, resolve.id_map(marked, numbered, "NoteId"))
 
 
-def merge_bookmarks(bookmarks: DataFrame, location_ids: DataFrame) -> Merged:
+def merge_bookmarks(bookmarks: DataFrame, location_ids: DataFrame, keep: Keep = as_is) -> Merged:
     new = resolve.remap(bookmarks.filter("seq > 0"), "LocationId", location_ids, "_loc")
     new = resolve.remap(new, "PublicationLocationId", location_ids, "_pub")
     rows = new.unionByName(bookmarks.filter("seq = 0").withColumns({"_loc": F.col("LocationId"), "_pub": F.col("PublicationLocationId")}))
+    rows = keep(rows)
     lost = rows.filter("_loc is null or _pub is null").withColumn("action", F.lit("skipped"))
-    marked = resolve.first_free_slot(rows.filter("_loc is not null and _pub is not null"), "_pub", "Slot", "_loc", "BlockType", "BlockIdentifier")
+    marked = keep(resolve.first_free_slot(rows.filter("_loc is not null and _pub is not null"), "_pub", "Slot", "_loc", "BlockType", "BlockIdentifier"))
     numbered = resolve.with_new_ids(marked.filter("action in ('base', 'added')"), "BookmarkId")
     final = numbered.select(F.col("target_id").alias("BookmarkId"), "owner_id", F.col("_loc").alias("LocationId"), F.col("_pub").alias("PublicationLocationId"), F.col("final_slot").alias("Slot"), "Title", "Snippet", "BlockType", "BlockIdentifier")
     full = conflicts_of(marked.filter("action = 'skipped'"), "Bookmark", F.format_string("no free slot for %s", F.col("Title")), "left out")
@@ -227,7 +238,7 @@ def merge_answers(fields: DataFrame, location_ids: DataFrame, overwrite: bool =
     return Merged(final.select("owner_id", F.col("_loc").alias("LocationId"), "TextTag", "Value"), decisions_of(marked, "InputField").union(decisions_of(lost, "InputField")), clash)
 
 
-def merge_tag_maps(maps: DataFrame, tag_ids: DataFrame, item_ids: DataFrame, location_ids: DataFrame, note_ids: DataFrame) -> Merged:
+def merge_tag_maps(maps: DataFrame, tag_ids: DataFrame, item_ids: DataFrame, location_ids: DataFrame, note_ids: DataFrame, keep: Keep = as_is) -> Merged:
     """New ones go behind the last position of their tag, in order of source, its tag id and its position."""
     refs = (("PlaylistItemId", item_ids, "_item"), ("LocationId", location_ids, "_loc"), ("NoteId", note_ids, "_note"))
     new = resolve.remap(maps.filter("seq > 0"), "TagId", tag_ids, "_tag")
@@ -236,9 +247,10 @@ def merge_tag_maps(maps: DataFrame, tag_ids: DataFrame, item_ids: DataFrame, loc
         new = resolve.remap(new, column, ids, to, zero_is_null=True)
         lost = lost | (F.coalesce(F.nullif(F.col(column), F.lit(0)), F.lit(0)) != 0) & F.col(to).isNull()
     base = maps.filter("seq = 0").withColumns({"_tag": F.col("TagId"), "_item": F.col("PlaylistItemId"), "_loc": F.col("LocationId"), "_note": F.col("NoteId")})
+    new = keep(new)
     gone = new.filter(lost).withColumn("action", F.lit("skipped"))
     rows = new.filter(~lost).unionByName(base)
-    marked = resolve.append_position(rows, "_tag", "Position", ("TagId", "Position", "row_ord"), "_item", "_loc", "_note")
+    marked = keep(resolve.append_position(rows, "_tag", "Position", ("TagId", "Position", "row_ord"), "_item", "_loc", "_note"))
     numbered = resolve.with_new_ids(marked.filter("action in ('base', 'added')"), "TagMapId")
     final = numbered.select(F.col("target_id").alias("TagMapId"), "owner_id", F.col("_item").alias("PlaylistItemId"), F.col("_loc").alias("LocationId"), F.col("_note").alias("NoteId"), F.col("_tag").alias("TagId"), F.col("final_position").alias("Position"))
     return Merged(final, decisions_of(marked, "TagMap").union(decisions_of(gone, "TagMap")))

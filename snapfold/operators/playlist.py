@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snapfold.functions.keys import key, location_identity
 from snapfold.operators import resolve
-from snapfold.operators.merge import Merged, decisions_of
+from snapfold.operators.merge import Keep, Merged, as_is, decisions_of
 
 
 def owning_tag(tag_maps: DataFrame, tags: DataFrame) -> DataFrame:
@@ -35,10 +35,10 @@ def item_keys(items: DataFrame, tag_maps: DataFrame, tags: DataFrame, media: Dat
     return out.withColumn("item_key", k).select(*items.columns, "item_key")
 
 
-def merge_items(keyed: DataFrame, accuracy_ids: DataFrame, paths: DataFrame, media: DataFrame) -> Merged:
+def merge_items(keyed: DataFrame, accuracy_ids: DataFrame, paths: DataFrame, media: DataFrame, keep: Keep = as_is) -> Merged:
     """Items by content key; unknown accuracies stay, thumbnails follow their media or go."""
-    marked = resolve.first_wins(keyed, "item_key")
-    numbered = resolve.with_new_ids(marked, "PlaylistItemId")
+    marked = keep(resolve.first_wins(keyed, "item_key"))
+    numbered = keep(resolve.with_new_ids(marked, "PlaylistItemId"))
     ids = resolve.id_map(marked, numbered, "PlaylistItemId")
     new = resolve.remap(numbered.filter("seq > 0"), "Accuracy", accuracy_ids, "_acc").withColumn("_acc", F.coalesce("_acc", "Accuracy"))
     where = paths.groupBy("owner_id", "seq", F.col("src_path").alias("ThumbnailFilePath")).agg(F.min("path").alias("_path"))
@@ -73,11 +73,11 @@ def merge_location_maps(rows: DataFrame, item_ids: DataFrame, location_ids: Data
     return merge_links(rows, "PlaylistItemLocationMap", {"PlaylistItemId": item_ids, "LocationId": location_ids}, ("PlaylistItemId", "LocationId"))
 
 
-def merge_markers(rows: DataFrame, item_ids: DataFrame) -> Merged:
+def merge_markers(rows: DataFrame, item_ids: DataFrame, keep: Keep = as_is) -> Merged:
     new = resolve.remap(rows.filter("seq > 0"), "PlaylistItemId", item_ids, "_item")
     known = new.filter("_item is not null").unionByName(rows.filter("seq = 0").withColumn("_item", F.col("PlaylistItemId")))
-    marked = resolve.first_wins(known, "_item", "StartTimeTicks")
-    numbered = resolve.with_new_ids(marked, "PlaylistItemMarkerId")
+    marked = keep(resolve.first_wins(known, "_item", "StartTimeTicks"))
+    numbered = keep(resolve.with_new_ids(marked, "PlaylistItemMarkerId"))
     final = numbered.select(F.col("target_id").alias("PlaylistItemMarkerId"), "owner_id", F.col("_item").alias("PlaylistItemId"), "Label", "StartTimeTicks", "DurationTicks", "EndTransitionDurationTicks")
     lost = decisions_of(new.filter("_item is null").withColumn("action", F.lit("skipped")), "PlaylistItemMarker")
     return Merged(final, decisions_of(marked, "PlaylistItemMarker").union(lost), ids=resolve.id_map(marked, numbered, "PlaylistItemMarkerId"))
