@@ -61,11 +61,11 @@ def suffix(path: Column) -> Column:
 
 
 def unique_name(path: Column, taken: Column) -> Column:
-    """path, or the first of stem-2, stem-3, ... (up to 999) that is not in the array `taken`; null if none is free."""
+    """path, or the first of stem-2, stem-3, ... (up to 999) that is not in the array `taken`; an error if none is free."""
     free = lambda n: F.concat(stem(path), F.lit("-"), n.cast("string"), suffix(path))
     # of one candidate more than there are taken names, one is free
     others = F.filter(F.sequence(F.lit(2), F.least(F.lit(999), F.size(taken) + 2)), lambda n: ~F.array_contains(taken, free(n)))
-    return F.when(~F.array_contains(taken, path), path).otherwise(free(F.try_element_at(others, F.lit(1))))
+    return F.when(~F.array_contains(taken, path), path).otherwise(F.coalesce(free(F.try_element_at(others, F.lit(1))), F.raise_error(F.concat(F.lit("no free name for "), path))))
 
 
 def renamed_path(*parts: str | Column) -> Column:

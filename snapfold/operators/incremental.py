@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,22 +27,28 @@ def settle(polls: DataFrame, once: bool = False) -> DataFrame:
     """When to merge: owner_id, poll and merge for each row (owner_id, poll, fingerprint, merge_ok).
 
     A changed fingerprint must show on two polls; the candidate survives polls that equal the merged state, and a failed
-    merge (merge_ok false) clears it without being remembered. A fold over the owner's polls, in array order.
+    merge (merge_ok false) clears it without being remembered. Owners are hashed to partitions and polls sorted there,
+    then read once, with two fingerprints of state: no owner's polls are held together.
     """
-    entry = F.struct("poll", "fingerprint", F.coalesce("merge_ok", F.lit(True)).alias("ok"))
-    grouped = polls.groupBy("owner_id").agg(F.array_sort(F.collect_list(entry)).alias("polls"))
-    kind = "struct<merged:string,candidate:string,out:array<struct<poll:bigint,merge:boolean>>>"
-    start = F.struct(F.lit(None).cast("string").alias("merged"), F.lit(None).cast("string").alias("candidate"), F.array().alias("out")).cast(kind)
-
-    def step(s: Column, p: Column) -> Column:
-        same = s["merged"].eqNullSafe(p["fingerprint"])
-        go = ~same & (F.lit(once) | s["candidate"].eqNullSafe(p["fingerprint"]))
-        merged = F.when(go & p["ok"], p["fingerprint"]).otherwise(s["merged"])
-        candidate = F.when(same, s["candidate"]).when(go, F.lit(None).cast("string")).otherwise(p["fingerprint"])
-        more = F.array(F.struct(p["poll"].cast("bigint").alias("poll"), go.alias("merge")))
-        return F.struct(merged.alias("merged"), candidate.alias("candidate"), F.concat(s["out"], more).alias("out")).cast(kind)
-
-    return grouped.select("owner_id", F.explode(F.aggregate("polls", start, step)["out"]).alias("p")).select("owner_id", "p.poll", "p.merge")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = merged = candidate = None
+        fresh = True
+        for batch in batches:
+            out = []
+            for owner, fingerprint, ok in zip(*(batch.column(c).to_pylist() for c in ("owner_id", "fingerprint", "ok"))):
+                if fresh or owner != last:
+                    last, merged, candidate, fresh = owner, None, None, False
+                go = fingerprint != merged and (once or fingerprint == candidate)
+                if go:
+                    merged, candidate = (fingerprint if ok else merged), None
+                elif fingerprint != merged:
+                    candidate = fingerprint
+                out.append(go)
+            yield pa.RecordBatch.from_arrays([batch.column("owner_id"), batch.column("poll"), pa.array(out, pa.bool_())], ["owner_id", "poll", "merge"])
+
+    rows = polls.select(F.col("owner_id").cast("long").alias("owner_id"), F.col("poll").cast("long").alias("poll"), "fingerprint", F.coalesce("merge_ok", F.lit(True)).alias("ok"))
+    return rows.repartition("owner_id").sortWithinPartitions("owner_id", "poll").mapInArrow(run, "owner_id long, poll long, merge boolean")
 
 
 def content_changed(inputs: DataFrame, last: DataFrame, outputs: DataFrame, force: bool = False) -> DataFrame:

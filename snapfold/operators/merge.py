@@ -70,14 +70,16 @@ def merge_tags(rows: DataFrame, keep: Keep = as_is) -> Merged:
 def location_actions(rows: DataFrame) -> DataFrame:
     """Adds action, lead and clash to places.
 
-    Where no place of a group has both keys, the group is the book key, else the media key, else the whole identity, and
-    its first row stands for all. Groups (symbol, language, type: no key crosses them) in which a place has both are
-    resolved row by row, in a task each.
+    A place's group is its book key, else its media key, else its whole identity, and the first row of a group stands for
+    all. Only places that have both keys, and those that share a key with one of them, are resolved row by row, in a task
+    for each symbol, language and type (no key crosses them).
     """
     keyed = rows.withColumn("_id", location_identity()).withColumn("_k1", unique_key()).withColumn("_k2", media_key())
     group = ("KeySymbol", "MepsLanguage", "Type")
-    both = F.max((F.col("_k1").isNotNull() & F.col("_k2").isNotNull()).cast("int")).over(W.partitionBy("owner_id", *group))
-    keyed = keyed.withColumn("_both", both == 1)
+    both = (F.col("_k1").isNotNull() & F.col("_k2").isNotNull()).cast("int")
+    # rows without a key are spread by their identity
+    near = lambda k: F.col(k).isNotNull() & (F.max(both).over(W.partitionBy("owner_id", F.coalesce(k, "_id"))) == 1)
+    keyed = keyed.withColumn("_both", near("_k1") | near("_k2"))
     fast = keyed.filter(~F.col("_both"))
     g = F.coalesce(F.concat(F.lit("1"), "_k1"), F.concat(F.lit("2"), "_k2"), F.concat(F.lit("3"), "_id"))
     w = W.partitionBy("owner_id", g)

@@ -104,23 +104,24 @@ def append_position(rows: DataFrame, group: str, position: str, order: tuple, *k
     action = F.when(F.col("seq") == 0, "base").when(F.row_number().over(w) == 1, "added").otherwise("reused")
     marked = rows.withColumn("action", action)
     top = rows.filter("seq = 0").groupBy("owner_id", group).agg(F.max(position).alias("_top"))
-    numbered = number_rows(marked.filter("action = 'added'"), ["owner_id", group], ["seq", *order])
+    numbered = number_rows(marked.filter("action = 'added'"), ["owner_id", group], ["seq", *order], at=1 + order.index(position))
     numbered = numbered.join(top, ["owner_id", group], "left").withColumn("final_position", F.coalesce("_top", F.lit(-1)) + F.col("number")).drop("_top", "number")
     return numbered.unionByName(marked.filter("action <> 'added'").withColumn("final_position", F.when(F.col("action") == "base", F.col(position)).cast("long")))
 
 
-def number_rows(rows: DataFrame, groups: list[str], order: list[str], chunk: int = 100_000) -> DataFrame:
-    """number: 1, 2, ... within each group by `order` (seq, then integers), in two levels.
+def number_rows(rows: DataFrame, groups: list[str], order: list[str], at: int = 1, chunk: int = 100_000) -> DataFrame:
+    """number: 1, 2, ... within each group by `order` (integers), in two levels.
 
-    Rows are cut into runs by (seq, first number of the order div chunk); runs are counted, the counts are summed over
-    the few runs of a group, and rows are numbered inside their run: no task holds all rows of a large group.
+    Rows are cut into runs by the columns of the order before `at`, and by the column there div chunk; runs are counted, the
+    counts are summed over the few runs of a group, and rows are numbered inside their run. So no task holds all rows
+    of a large group, where that column is what spreads them.
     """
-    cut = rows.withColumn("_run", F.floor(F.col(order[1] if len(order) > 1 else order[0]) / chunk))
-    names = [*([order[0]] if len(order) > 1 else []), "_run"]
+    cut = rows.withColumn("_run", F.floor(F.col(order[at]) / chunk))
+    names = [*order[:at], "_run"]
     counts = cut.groupBy(*groups, *names).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*groups).orderBy(*names)) - F.col("_n")
     counts = counts.withColumn("_before", before).drop("_n")
-    local = F.row_number().over(W.partitionBy(*groups, *names).orderBy(*order))
+    local = F.row_number().over(W.partitionBy(*groups, *names).orderBy(*order[at:]))
     cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*groups, *names]]
     joined = cut.withColumn("_local", local).alias("a").join(counts.alias("b"), cond)
     return joined.select(*(f"a.{c}" for c in rows.columns), (F.col("b._before") + F.col("a._local")).alias("number"))

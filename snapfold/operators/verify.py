@@ -102,18 +102,14 @@ def broken_references(tables: dict[str, DataFrame], references=REFERENCES) -> Da
     return reduce(DataFrame.unionByName, out)
 
 
-def _block_rule() -> str:
-    return "(BlockType = 0 and BlockIdentifier is null) or (BlockType between 1 and 2 and BlockIdentifier is not null)"
-
-
-#: table: ((rule, SQL condition that holds unless false), ...); a null condition passes, as in SQL.
+#: Table: ((rule, SQL condition that holds unless false), ...); a null condition passes, as in SQL.
+BLOCK = "(BlockType = 0 and BlockIdentifier is null) or (BlockType between 1 and 2 and BlockIdentifier is not null)"
 CHECKS = {
     "BlockRange": (("block type", "BlockType between 1 and 2"),),
-    "Bookmark": (("block", _block_rule()),),
-    "Note": (("block", _block_rule()),),
+    "Bookmark": (("block", BLOCK),),
+    "Note": (("block", BLOCK),),
     "IndependentMedia": (("filled", "length(OriginalFilename) > 0 and length(FilePath) > 0 and length(MimeType) > 0 and length(Hash) > 0"),),
     "PlaylistItem": (("label", "length(Label) > 0"), ("end action", "EndAction in (0, 1, 2, 3)")),
-    "PlaylistItemMarker": (("label", "length(Label) > 0"),),
     "Tag": (("name", "length(Name) > 0"), ("type", "Type in (0, 1, 2)")),
     "TagMap": (("one reference", "(case when NoteId is null then 0 else 1 end) + (case when LocationId is null then 0 else 1 end) + (case when PlaylistItemId is null then 0 else 1 end) = 1"),),
     "Location": (
@@ -123,9 +119,31 @@ CHECKS = {
     ),
 }
 
-#: table: (columns of a unique key, ...); rows with a null in the key do not clash.
+#: Table: columns that are never null.
+REQUIRED = {
+    "BlockRange": ("BlockType", "Identifier", "UserMarkId"),
+    "Bookmark": ("LocationId", "PublicationLocationId", "Slot", "Title", "BlockType"),
+    "IndependentMedia": ("OriginalFilename", "FilePath", "MimeType", "Hash"),
+    "InputField": ("LocationId", "TextTag", "Value"),
+    "LastModified": ("LastModified",),
+    "Location": ("IssueTagNumber", "Type"),
+    "Note": ("Guid", "LastModified", "Created", "BlockType"),
+    "PlaylistItem": ("Label", "Accuracy", "EndAction"),
+    "PlaylistItemAccuracy": ("Description",),
+    "PlaylistItemIndependentMediaMap": ("PlaylistItemId", "IndependentMediaId", "DurationTicks"),
+    "PlaylistItemLocationMap": ("PlaylistItemId", "LocationId", "MajorMultimediaType"),
+    "PlaylistItemMarker": ("PlaylistItemId", "Label", "StartTimeTicks", "DurationTicks", "EndTransitionDurationTicks"),
+    "PlaylistItemMarkerBibleVerseMap": ("PlaylistItemMarkerId", "VerseId"),
+    "PlaylistItemMarkerParagraphMap": ("PlaylistItemMarkerId", "MepsDocumentId", "ParagraphIndex", "MarkerIndexWithinParagraph"),
+    "Tag": ("Type", "Name"),
+    "TagMap": ("TagId", "Position"),
+    "UserMark": ("ColorIndex", "LocationId", "StyleIndex", "UserMarkGuid", "Version"),
+    "grdb_migrations": ("identifier",),
+}
+
+#: Table: (columns of a unique key, ...); rows with a null in the key do not clash.
 UNIQUES = {
-    "Location": (("LocationId",), ("BookNumber", "ChapterNumber", "KeySymbol", "MepsLanguage", "Type")),
+    "Location": (("LocationId",), ("BookNumber", "ChapterNumber", "KeySymbol", "MepsLanguage", "Type"), ("KeySymbol", "IssueTagNumber", "MepsLanguage", "DocumentId", "Track", "Type", "coalesce(Specialty, '')", "coalesce(Edition, '')")),
     "UserMark": (("UserMarkId",), ("UserMarkGuid",)),
     "BlockRange": (("BlockRangeId",),),
     "Note": (("NoteId",), ("Guid",)),
@@ -136,19 +154,32 @@ UNIQUES = {
     "IndependentMedia": (("IndependentMediaId",), ("FilePath",)),
     "PlaylistItem": (("PlaylistItemId",),),
     "PlaylistItemAccuracy": (("PlaylistItemAccuracyId",), ("Description",)),
+    "PlaylistItemIndependentMediaMap": (("PlaylistItemId", "IndependentMediaId"),),
+    "PlaylistItemLocationMap": (("PlaylistItemId", "LocationId"),),
     "PlaylistItemMarker": (("PlaylistItemMarkerId",), ("PlaylistItemId", "StartTimeTicks")),
+    "PlaylistItemMarkerBibleVerseMap": (("PlaylistItemMarkerId", "VerseId"),),
+    "PlaylistItemMarkerParagraphMap": (("PlaylistItemMarkerId", "MepsDocumentId", "ParagraphIndex", "MarkerIndexWithinParagraph"),),
+    "grdb_migrations": (("identifier",),),
 }
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """owner_id, table, rule, rows: how many rows break each constraint."""
+    """owner_id, table, rule, rows: how many rows break each constraint.
+
+    One pass over a table counts checks and nulls of all rules; each unique key is a grouping of its own.
+    """
     out = []
     for table, df in tables.items():
-        for rule, condition in CHECKS.get(table, ()):
-            out.append(df.filter(f"not ({condition})").groupBy("owner_id").agg(F.count("*").alias("rows")).select("owner_id", F.lit(table).alias("table"), F.lit(f"check: {rule}").alias("rule"), "rows"))
+        rules = {f"check: {rule}": f"not ({condition})" for rule, condition in CHECKS.get(table, ())}
+        rules |= {f"not null: {c}": f"{c} is null" for c in REQUIRED.get(table, ()) if c in df.columns}
+        if rules:
+            counts = df.groupBy("owner_id").agg(*(F.count_if(F.expr(broken)).alias(rule) for rule, broken in rules.items()))
+            each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("rows")) for r in rules)))
+            out.append(counts.select("owner_id", F.lit(table).alias("table"), each.alias("x")).select("owner_id", "table", "x.*").filter("rows > 0"))
         for columns in UNIQUES.get(table, ()):
-            filled = df.dropna(subset=list(columns))
-            twice = filled.groupBy("owner_id", *columns).agg(F.count("*").alias("n")).filter("n > 1")
+            names = [f"k{i}" for i in range(len(columns))]
+            filled = df.select("owner_id", *(F.expr(c).alias(n) for c, n in zip(columns, names))).dropna(subset=names)
+            twice = filled.groupBy("owner_id", *names).agg(F.count("*").alias("n")).filter("n > 1")
             out.append(twice.groupBy("owner_id").agg(F.sum("n").alias("rows")).select("owner_id", F.lit(table).alias("table"), F.lit(f"unique: {', '.join(columns)}").alias("rule"), "rows"))
     return reduce(DataFrame.unionByName, out)
 

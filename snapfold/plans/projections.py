@@ -95,7 +95,7 @@ VIEWS |= {
     "w_loc": """select owner_id, seq, row_ord, LocationId, cast(BookNumber as bigint) as BookNumber, cast(ChapterNumber as bigint) as ChapterNumber, cast(DocumentId as bigint) as DocumentId, Track, cast(0 as bigint) as IssueTagNumber,
         'sym' || (p % 3) as KeySymbol, cast(294 as bigint) as MepsLanguage, cast(0 as bigint) as Type, 'place ' || p as Title, Specialty, cast(null as string) as Edition from w_place""",
     "w_mark": """select owner_id, d as seq, k + 1000000 * d as row_ord, k + 1000000 * d as UserMarkId, k % 6 as ColorIndex, c % 60 + 1 + 1000 * d as LocationId, cast(d as bigint) as StyleIndex, 'g' || k as UserMarkGuid,
-        case when k % 10 = 0 and d > 0 then cast(null as bigint) else 1 + (k * (d + 1)) % 4 end as Version, c % 60 as p from ord where k % 2 = 0 and (c % 60 + d) % 6 <> 0""",
+        case when k % 10 = 0 and d > 0 then cast(0 as bigint) else 1 + (k * (d + 1)) % 4 end as Version, c % 60 as p from ord where k % 2 = 0 and (c % 60 + d) % 6 <> 0""",
     "w_rng": """select m.owner_id, m.seq, m.UserMarkId * 2 + i.d as row_ord, m.UserMarkId * 2 + i.d as BlockRangeId, cast(1 as bigint) as BlockType, cast(i.d + 1 as bigint) as Identifier, m.ColorIndex % 5 as StartToken,
         case when m.ColorIndex = 4 then cast(null as bigint) else m.ColorIndex % 5 + m.seq % 3 end as EndToken, m.UserMarkId from w_mark m, dev i where i.d < 2""",
     "w_note": """select owner_id, d as seq, k + 1000000 * d as row_ord, k + 1000000 * d as NoteId, 'n' || k as Guid, case when k % 2 = 0 then k + 1000000 * d when k % 5 = 0 then 0 end as UserMarkId, c % 60 + 1 + 1000 * d as LocationId,

@@ -763,6 +763,42 @@ def _(v):
     return report.report_json(report.action_counts(done.decisions.union(answers.decisions)), answers.conflicts, counts)
 
 
+def _reported(v):
+    marks, answers = merge.merge_marks(v.mark, v.rng, v.id_map)[0], merge.merge_answers(v.ans, v.id_map)
+    counts = report.totals(report.table_counts({"UserMark": v.mark.filter("seq = 0")}), report.table_counts({"UserMark": marks.rows}))
+    return report.action_counts(marks.decisions), answers.conflicts, counts
+
+
+MARK_ACTIONS = f", d as (select owner_id, seq, action from e where action <> 'base' union all select owner_id, seq, 'skipped' from r where place is null), ac as (select owner_id, seq, {ACTIONS} from d group by owner_id, seq)"
+MARK_TOTALS = ", af as (select owner_id, count(distinct UserMarkGuid) as y from e group by owner_id), be as (select owner_id, count(*) as x from mark where seq = 0 group by owner_id)"
+
+
+@query("s8_report_text", MARKS + MARK_ACTIONS + MARK_TOTALS + """ select owner_id, '1|' || seq || '|UserMark' as line_ord, 'source ' || seq || ', UserMark: ' || added || ' added, ' || updated || ' updated, ' || reused || ' reused, ' || skipped || ' skipped' as line from ac
+    union all select af.owner_id, '2|UserMark', 'UserMark: ' || coalesce(x, 0) || ' -> ' || y || ' (' || case when y >= coalesce(x, 0) then '+' else '' end || (y - coalesce(x, 0)) || ')' from af left join be on be.owner_id = af.owner_id""")
+def _(v):
+    actions, _, counts = _reported(v)
+    return report.report_text(actions, counts)
+
+
+@query("s8_report_parsed", ANSWERS.replace("with r as", "with ra as", 1).replace("from r where", "from ra where") + """, ca as (select owner_id, seq, 'answer ' || TextTag || ' differs' as detail from f where seq > 0 and n > 1 and Value <> head), """
+    + MARKS.replace("with r as", "r as", 1).replace(" f as (", " fm as (").replace("from f)", "from fm)") + MARK_ACTIONS + MARK_TOTALS + """
+    select owner_id, 'conflict' as what, seq || '|InputField|' || detail as text, count(*) as n from ca group by owner_id, seq, detail
+    union all select owner_id, 'conflicts', '', count(*) from ca group by owner_id
+    union all select owner_id, 'source', seq || '|UserMark|' || added || '|' || updated || '|' || reused || '|' || skipped, 1 from ac
+    union all select af.owner_id, 'total', 'UserMark|' || coalesce(x, 0) || '|' || y, 1 from af left join be on be.owner_id = af.owner_id""")
+def _(v):
+    """The JSON report, read back: every conflict of every part, the numbers of conflicts, the counters and the totals."""
+    kind = "struct<sources:array<struct<seq:int,tables:array<struct<table:string,added:long,updated:long,reused:long,skipped:long>>>>,totals:array<struct<table:string,before:long,after:long>>,n_conflicts:long,conflicts:array<struct<seq:int,table:string,detail:string>>>"
+    parts = report.report_json(*_reported(v), limit=500).select("owner_id", "part", F.from_json("report", kind).alias("r"))
+    text = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c))
+    conflicts = parts.select("owner_id", F.explode("r.conflicts").alias("c")).groupBy("owner_id", text("c.seq", "c.table", "c.detail").alias("text")).agg(F.count("*").alias("n"))
+    numbers = parts.filter("r.n_conflicts > 0").select("owner_id", F.lit("conflicts").alias("what"), F.lit("").alias("text"), F.col("r.n_conflicts").alias("n"))
+    each = parts.select("owner_id", F.explode("r.sources").alias("s")).select("owner_id", "s.seq", F.explode("s.tables").alias("t"))
+    counters = each.select("owner_id", F.lit("source"), text("seq", "t.table", "t.added", "t.updated", "t.reused", "t.skipped"), F.lit(1).cast("long"))
+    sums = parts.select("owner_id", F.explode("r.totals").alias("t")).select("owner_id", F.lit("total"), text("t.table", "t.before", "t.after"), F.lit(1).cast("long"))
+    return conflicts.select("owner_id", F.lit("conflict").alias("what"), "text", "n").union(numbers).union(counters).union(sums)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of all snapshots merged, counted by action, and verified."""
     v = Views(ship(spark), sf_dir)

@@ -6,6 +6,7 @@ one becomes an error row and stops nothing. Media bytes never move: only member
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapfold.functions.keys import file_name, migration_version, stem
-from snapfold.schema import KEY, TABLES
+from snapfold.operators.verify import CHECKS, REQUIRED, UNIQUES
+from snapfold.schema import KEY, REFERENCES, TABLES
 
 DATABASE, MANIFEST = "userData.db", "manifest.json"
 PARSED = "path string, kind string, name string, row_ord long, payload string, size long"
@@ -39,17 +41,21 @@ def pending(listing: DataFrame, suffix: str, cloud: str = ".icloud") -> DataFram
     return listing.filter(F.col("name").startswith(".") & F.col("name").endswith(end)).withColumn("name", F.expr(f"substring(name, 2, length(name) - {len(cloud) + 1})"))
 
 
+def _prefix(names: list[str]) -> str:
+    """The folder of the database, which is at the top or one folder down."""
+    found = [n for n in names if n.split("/")[-1] == DATABASE and n.count("/") <= 1]
+    if not found:
+        raise ValueError(f"no {DATABASE} in the archive")
+    return min(found, key=lambda n: n.count("/"))[: -len(DATABASE)]
+
+
 def _parse(content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = [n for n in archive.namelist() if not n.endswith("/")]
         for n in names:
             if n.startswith(("/", "\\")) or ".." in n.replace("\\", "/").split("/") or ":" in n.split("/")[0]:
                 raise ValueError(f"unsafe member {n}")
-        # the database is at the top or one folder down
-        found = [n for n in names if n.split("/")[-1] == DATABASE and n.count("/") <= 1]
-        if not found:
-            raise ValueError(f"no {DATABASE} in the archive")
-        prefix = min(found, key=lambda n: n.count("/"))[: -len(DATABASE)]
+        prefix = _prefix(names)
         own = {n[len(prefix) :]: n for n in names if n.startswith(prefix)}
         for name, member in sorted(own.items()):
             yield "member", name, 0, None, archive.getinfo(member).file_size
@@ -149,48 +155,114 @@ def scan(parsed: DataFrame) -> DataFrame:
     return files.join(snapshots(parsed).select("path", "device", "schema_version", "last_modified"), "path", "left").join(errors, "path", "left")
 
 
-def archive_bytes(tables: dict[str, DataFrame], manifests: DataFrame) -> DataFrame:
-    """owner_id and the bytes of an archive of each merged library; manifests: owner_id, manifest (JSON).
+def table_ddl(table: str, version: int = 16) -> str:
+    """CREATE TABLE with the types, keys, checks and references of the schema."""
+    columns = [c.split() for c in TABLES[table].split(", ")]
+    names = [c for c, _ in columns]
+    own = [k for k in UNIQUES.get(table, ()) if all(c in names for c in k)]
+    primary = own[0] if own and table not in ("LastModified",) else ()
+    integer_key = len(primary) == 1 and dict(columns)[primary[0]] == "long"
+    parts = []
+    for c, kind in columns:
+        never_null = c in REQUIRED.get(table, ()) or c in primary
+        parts.append(f'"{c}" {"INTEGER" if kind == "long" else "TEXT"}{" NOT NULL" if never_null else ""}{" PRIMARY KEY" if integer_key and c == primary[0] else ""}')
+    quoted = lambda k: ", ".join(f'"{c}"' for c in k)
+    if primary and not integer_key:
+        parts.append(f"PRIMARY KEY ({quoted(primary)})")
+    parts += [f"UNIQUE ({quoted(k)})" for k in own[1:]]
+    parts += [f"CHECK ({rule})" for _, rule in CHECKS.get(table, ())]
+    parts += [f'FOREIGN KEY ("{c}") REFERENCES "{p}" ("{to}")' for child, c, p, to in REFERENCES if child == table]
+    return f'CREATE TABLE "{table}" ({", ".join(parts)})'
+
+
+def index_ddl() -> list[str]:
+    """Unique keys over expressions, and an index for each reference."""
+    out = [f'CREATE UNIQUE INDEX "IX_{t}_{i}" ON "{t}" ({", ".join(k)})' for t, keys in UNIQUES.items() for i, k in enumerate(keys) if any("(" in c for c in k)]
+    return out + [f'CREATE INDEX "IX_{t}_{c}" ON "{t}" ("{c}")' for t, c in dict.fromkeys((r[0], r[1]) for r in REFERENCES)]
+
+
+def member_bytes(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """owner_id, name, content of the media that a plan (owner_id, member, path, from_member) takes from archives.
+
+    files: binaryFile rows (path, content); each archive is opened once, and only what is taken leaves it.
+    """
+    wanted = plan.groupBy("path").agg(F.collect_list(F.struct("owner_id", "member", "from_member")).alias("wanted"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content, rows in zip(batch["content"], batch["wanted"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    inner = {n.removeprefix(_prefix(z.namelist())): n for n in z.namelist()}
+                    for r in rows:
+                        yield pd.DataFrame({"owner_id": [r["owner_id"]], "name": [r["member"]], "content": [z.read(inner[r["from_member"]])]})
+
+    return files.select("path", "content").join(wanted, "path").select("content", "wanted").mapInPandas(run, "owner_id long, name string, content binary")
+
 
-    A library is one person's and fits a task. Media files are copied by path from the media plan, not here.
+def archive_bytes(tables: dict[str, DataFrame], manifests: DataFrame, media: DataFrame | None = None, version: int = 16) -> DataFrame:
+    """owner_id and the bytes of an archive of each merged library.
+
+    manifests: owner_id, manifest (JSON); media: owner_id, name, content (see member_bytes). The database has the whole
+    schema; its SHA-256 goes into the manifest. A library is one person's and fits a task.
     """
-    parts = [df.select("owner_id", F.lit(n).alias("name"), F.to_json(F.struct(*(c for c in df.columns if c != "owner_id")), {"ignoreNullFields": "false"}).alias("payload")) for n, df in tables.items()]
+    parts = [df.select("owner_id", F.lit(n).alias("name"), F.to_json(F.struct(*(c for c in df.columns if c != "owner_id")), {"ignoreNullFields": "false"}).cast("binary").alias("payload"), F.lit(False).alias("file")) for n, df in tables.items()]
+    parts.append(manifests.select("owner_id", F.lit(MANIFEST).alias("name"), F.col("manifest").cast("binary").alias("payload"), F.lit(False).alias("file")))
+    if media is not None:
+        parts.append(media.select("owner_id", "name", F.col("content").alias("payload"), F.lit(True).alias("file")))
     rows = parts[0]
-    for more in parts[1:] + [manifests.select("owner_id", F.lit(MANIFEST).alias("name"), F.col("manifest").alias("payload"))]:
+    for more in parts[1:]:
         rows = rows.unionByName(more)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         with tempfile.TemporaryDirectory() as folder:
             path = os.path.join(folder, DATABASE)
             db = sqlite3.connect(path)
+            db.execute(f"pragma user_version = {version}")
+            own = group[~group["file"]]
             for table, spec in TABLES.items():
-                columns = [c.split() for c in spec.split(", ")]
-                db.execute(f'create table "{table}" ({", ".join(f"{c} {"INTEGER" if t == "long" else "TEXT"}" for c, t in columns)})')
-                values = [json.loads(p) for p in group.loc[group["name"] == table, "payload"]]
-                values.sort(key=lambda r: [(r.get(c) is None, r.get(c)) if not isinstance(r.get(c), str) else (False, r.get(c)) for c, t in columns[:1]])
-                db.executemany(f'insert into "{table}" values ({", ".join("?" * len(columns))})', [[r.get(c) for c, _ in columns] for r in values])
+                columns = [c.split()[0] for c in spec.split(", ")]
+                db.execute(table_ddl(table))
+                values = [json.loads(bytes(p)) for p in own.loc[own["name"] == table, "payload"]]
+                values.sort(key=lambda r: [(x is not None, x if isinstance(x, int) else 0, str(x)) for x in (r.get(c) for c in columns)])
+                db.executemany(f'insert into "{table}" values ({", ".join("?" * len(columns))})', [[r.get(c) for c in columns] for r in values])
+            for statement in index_ddl():
+                db.execute(statement)
             db.commit()
+            broken = db.execute("pragma foreign_key_check").fetchall()
             db.close()
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for payload in group.loc[group["name"] == MANIFEST, "payload"]:
-                    z.writestr(MANIFEST, payload)
-                z.write(path, DATABASE)
+            if broken:
+                raise ValueError(f"owner {group['owner_id'].iloc[0]}: {len(broken)} broken references, such as {broken[0]}")
+            with open(path, "rb") as f:
+                content = f.read()
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for payload in own.loc[own["name"] == MANIFEST, "payload"]:
+                manifest = json.loads(bytes(payload))
+                if "userDataBackup" in manifest:
+                    manifest["userDataBackup"]["hash"] = hashlib.sha256(content).hexdigest()
+                z.writestr(MANIFEST, json.dumps(manifest, ensure_ascii=False))
+            z.writestr(DATABASE, content)
+            for name, data in sorted(zip(group.loc[group["file"], "name"], group.loc[group["file"], "payload"])):
+                z.writestr(name, bytes(data))
         return pd.DataFrame({"owner_id": [group["owner_id"].iloc[0]], "content": [out.getvalue()]})
 
     return rows.groupBy("owner_id").applyInPandas(build, "owner_id long, content binary")
 
 
 def write_archives(archives: DataFrame, folder: str, suffix: str) -> None:
-    """One file for each owner in a folder that all executors mount: written aside, then renamed."""
+    """One file for each owner in a folder (path or URI) that all executors reach: written aside, then renamed."""
+    uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
 
     def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(uri)
+        store.create_dir(top, recursive=True)
         for r in rows:
-            path = os.path.join(folder, f"{r['owner_id']}{suffix}")
-            with open(f"{path}.part", "wb") as f:
+            path = f"{top}/{r['owner_id']}{suffix}"
+            with store.open_output_stream(f"{path}.part") as f:
                 f.write(r["content"])
-            os.replace(f"{path}.part", path)
+            store.move(f"{path}.part", path)
 
     archives.foreachPartition(write)
 

@@ -188,6 +188,18 @@ def test_numbers_cross_chunks(spark):
     assert [r["number"] for r in sorted(got, key=lambda r: (r["seq"], r["row_ord"]))] == list(range(1, 17))
 
 
+def test_a_large_tag_is_cut_into_runs(spark):
+    rows = spark.createDataFrame([(1, s, 7, p, 1000 * s + p) for s in (1, 2) for p in range(60)], "owner_id long, seq int, TagId long, Position long, row_ord long")
+    order = ["seq", "TagId", "Position", "row_ord"]
+    got = resolve.number_rows(rows, ["owner_id", "TagId"], order, at=2, chunk=10)
+    assert [r["number"] for r in sorted(got.collect(), key=lambda r: (r["seq"], r["Position"]))] == list(range(1, 121))
+    runs = rows.groupBy("seq", (resolve.F.col("Position") / 10).cast("int")).count()
+    assert runs.count() == 12
+    base = rows.withColumn("seq", resolve.F.lit(0)).limit(0)
+    done = resolve.append_position(base.unionByName(rows), "TagId", "Position", ("TagId", "Position", "row_ord"), "row_ord")
+    assert sorted(r["final_position"] for r in done.collect()) == list(range(120))
+
+
 def test_damage_is_reported(spark):
     notes = table(spark, "Note", [note(0, "a", "1", f"g{i}", i) for i in range(5)])
     missing = verify.missing_simple("Note", notes, notes.filter("NoteId <> 3").drop("seq"))
