@@ -99,88 +99,94 @@ def index_block(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "sizes": pa.array([packed(w.counts)], pa.binary()), "places": pa.array([packed(place)], pa.binary()), "words": pa.array([words], pa.binary())})
 
 
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key among the distinct ones, and a stable order by it; one sort gives both."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(np.concatenate([np.zeros(min(1, len(key)), bool), ordered[1:] != ordered[:-1]]))
+    return number, order
+
+
 @dataclass
 class Order:
-    """The n-grams of one order in a block: that of each place (-1: none ends there), and of each distinct one its count
-    elsewhere and its id in the count table (0: in no other block)."""
+    """The n-grams of one order in a block: that of each place (-1: none ends there), how often it occurs in the text of
+    that place, and of each distinct one its count in the block, its count elsewhere and its id (0: in no other block)."""
 
     place: np.ndarray
-    elsewhere: np.ndarray
-    ids: np.ndarray
+    own: np.ndarray
+    counts: np.ndarray
+    elsewhere: np.ndarray | None = None
+    ids: np.ndarray | None = None
 
 
 class Block:
-    """A block's texts as numbers, with what the count tables said so far."""
+    """A block's texts as numbers, with what the count tables said so far (columns counts1, ids1, counts2, ...)."""
 
-    def __init__(self, row: dict, answers: pa.Table | None, parts: int):
+    def __init__(self, row: dict, parts: int):
         self.row, self.parts = row, parts
-        self.sizes, words = unpacked(row["sizes"]), unpacked(row["places"])
+        self.sizes, self.words = unpacked(row["sizes"]), unpacked(row["places"])
         self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.inner = np.ones(len(words), bool)  # places with a word of the same text before
+        self.inner = np.ones(len(self.words), bool)  # places with a word of the same text before
         self.inner[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = False
-        self.words = words
-        said: dict[int, list] = {}
-        if answers is not None:
-            for n, part, counts, ids in sorted(zip(*(answers[c].to_pylist() for c in ("n", "part", "counts", "ids")))):
-                said.setdefault(n, []).append((counts, ids))
         self.orders: list[Order] = []
-        for n in range(1, len(said) + 1):
-            place, size = self.next_place()
-            asked, _, _ = self.wanted(place, size)
-            order = Order(place, np.zeros(size, np.int64), np.zeros(size, np.int64))
-            if n in said:
-                counts = np.concatenate([unpacked(c) for c, _ in said[n]])
-                order.elsewhere[asked] = counts
-                order.ids[asked[counts > 0]] = np.concatenate([unpacked(i) for _, i in said[n]])
+        while f"counts{len(self.orders) + 1}" in row:
+            n = len(self.orders) + 1
+            order = self.next_order()
+            order.elsewhere, order.ids = unpacked(row[f"counts{n}"]), unpacked(row[f"ids{n}"])
             self.orders.append(order)
 
-    def next_place(self) -> tuple[np.ndarray, int]:
-        """The n-gram of the next order that ends at each place, and how many distinct ones there are."""
-        if not self.orders:
-            return self.words, int(self.words.max(initial=-1)) + 1
-        before = np.concatenate([[-1], self.orders[-1].place[:-1]]) if len(self.words) else self.words
-        there = self.inner & (before >= 0)
-        _, number = np.unique(pairs(before[there], self.words[there]), return_inverse=True)
+    def next_order(self) -> Order:
+        """The n-grams of the order behind those that are known."""
         place = np.full(len(self.words), -1)
+        there = np.arange(len(self.words))
+        key = self.words
+        if self.orders:
+            before = np.concatenate([np.full(min(1, len(place)), -1), self.orders[-1].place[:-1]])
+            there = np.flatnonzero(self.inner & (before >= 0))
+            key = pairs(before[there], self.words[there])
+        number, order = numbered(key)
         place[there] = number
-        return place, int(number.max(initial=-1)) + 1
-
-    def wanted(self, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Distinct n-grams to ask for, by partition and in rising order of their names there: their numbers, their
+        # texts rise with places, so in the stable order an n-gram's places in one text are neighbours
+        text, gram = self.text[there][order], number[order]
+        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])])) if len(order) else np.zeros(0, int)
+        runs = np.diff(np.append(edge, len(order)))
+        own = np.zeros(len(place), np.int64)
+        own[there[order]] = np.repeat(runs, runs)
+        return Order(place, own, np.bincount(number) if len(number) else np.zeros(0, np.int64))
+
+    def wanted(self, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Distinct n-grams to ask for, by partition and there by the first id of their names: their numbers, their
         partitions and (beyond words) the names, pairs of ids."""
-        n = len(self.orders) + 1
-        if n == 1:
+        if not self.orders:
             w = Words([zlib.decompress(self.row["words"])])
             part = (w.hash % np.uint64(self.parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            return order, part[order], None
+            by = np.argsort(part, kind="stable")
+            return by, part[by], None
         last, words = self.orders[-1], self.orders[0]
         # any place of an n-gram tells its words
-        at = np.zeros(size, np.int64)
-        ends = np.flatnonzero(place >= 0)
-        at[place[ends]] = ends
-        known = (last.ids[last.place[at - 1]] > 0) & (last.ids[last.place[at]] > 0)
-        which = np.flatnonzero(known)
+        at = np.zeros(len(order.counts), np.int64)
+        ends = np.flatnonzero(order.place >= 0)
+        at[order.place[ends]] = ends
+        which = np.flatnonzero((last.ids[last.place[at - 1]] > 0) & (last.ids[last.place[at]] > 0))
         a, b = last.ids[last.place[at[which] - 1]], words.ids[words.place[at[which]]]
+        by = np.argsort(a, kind="stable")
+        which, a, b = which[by], a[by], b[by]
         with np.errstate(over="ignore"):
             part = (mix64(mix64(a.astype(np.uint64) * _STEP) ^ b.astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((b, a, part))
-        return which[order], part[order], np.stack([a[order], b[order]])
-
-
-def _block_of(table: pa.Table, answers: pa.Table | None, parts: int) -> Block:
-    return Block(table.to_pylist()[0], answers, parts)
+        by = np.argsort(part.astype(np.uint16) if self.parts <= 1 << 16 else part, kind="stable")
+        return which[by], part[by], np.stack([a[by], b[by]])
 
 
 SENT = "block long, part int, names binary, more binary, counts binary"
 
 
-def requests(table: pa.Table, answers: pa.Table | None, parts: int) -> pa.Table:
+def requests(table: pa.Table, parts: int) -> pa.Table:
     """What a block asks of the count table of the next order: a row for each partition."""
-    block = _block_of(table, answers, parts)
-    place, size = block.next_place()
-    which, part, names = block.wanted(place, size)
-    counts = np.bincount(place[place >= 0], minlength=size)[which]
+    block = Block(table.to_pylist()[0], parts)
+    order = block.next_order()
+    which, part, names = block.wanted(order)
+    counts = order.counts[which]
     edge = np.searchsorted(part, np.arange(parts + 1))
     full = np.flatnonzero(edge[:-1] < edge[1:]).tolist()
     cuts = [slice(edge[p], edge[p + 1]) for p in full]
@@ -198,41 +204,50 @@ def requests(table: pa.Table, answers: pa.Table | None, parts: int) -> pa.Table:
     })
 
 
-def replies(table: pa.Table, parts: int) -> pa.Table:
+def replies(table: pa.Table, parts: int, with_ids: bool) -> pa.Table:
     """One partition of a count table: groups equal n-grams, sums their counts, and joins back to each block how often the
-    others hold each of its n-grams, and the ids of those that are held elsewhere."""
+    others hold each of its n-grams, and the ids of those that are held elsewhere (frequent ones have small ids)."""
     names, more = table["names"].to_pylist(), table["more"].to_pylist()
     counts = [unpacked(x) for x in table["counts"].to_pylist()]
     if more[0]:
-        key = pairs(np.concatenate([np.cumsum(unpacked(x)) for x in names]), np.concatenate([unpacked(x) for x in more]))
-        _, place = np.unique(key, return_inverse=True)
+        place, _ = numbered(pairs(np.concatenate([np.cumsum(unpacked(x)) for x in names]), np.concatenate([unpacked(x) for x in more])))
     else:
         _, place = Words([zlib.decompress(x) for x in names]).distinct()
     total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-    ids = np.arange(len(total)) * parts + table["part"][0].as_py() + 1
+    ids = np.empty(len(total), np.int64)
+    ids[np.argsort(-total, kind="stable")] = np.arange(len(total)) * parts + table["part"][0].as_py() + 1
     out_counts, out_ids, at = [], [], 0
     for c in counts:
         own = place[at : at + len(c)]
         rest = total[own] - c
         out_counts.append(packed(rest))
-        out_ids.append(packed(ids[own[rest > 0]]))
+        out_ids.append(packed(ids[own[rest > 0]]) if with_ids else b"")
         at += len(c)
     return pa.table({"block": table["block"], "part": table["part"], "counts": pa.array(out_counts, pa.binary()), "ids": pa.array(out_ids, pa.binary())})
 
 
+def told(block: Block, answers: pa.Table) -> Order:
+    """The next order of a block with what the count table answered."""
+    order = block.next_order()
+    order.elsewhere, order.ids = np.zeros(len(order.counts), np.int64), np.zeros(len(order.counts), np.int64)
+    said = sorted(zip(*(answers[c].to_pylist() for c in ("part", "counts", "ids"))))
+    if said:
+        asked, _, _ = block.wanted(order)
+        counts = np.concatenate([unpacked(c) for _, c, _ in said])
+        order.elsewhere[asked] = counts
+        if said[0][2]:
+            order.ids[asked[counts > 0]] = np.concatenate([unpacked(i) for _, _, i in said])
+    return order
+
+
 def log_scores(block: Block, alpha: float, words: int) -> np.ndarray:
     """Sum of the log scores of each text's words, in millionths."""
     rest = np.maximum(1, words - block.sizes)[block.text].astype(float)
     score, before = np.zeros(0), np.zeros(0)
     for n, order in enumerate(block.orders, 1):
         there = order.place >= 0
-        at = np.where(there, order.place, 0)
-        # an n-gram's count in its own text
-        _, which, own = np.unique(pairs(block.text[there], order.place[there]), return_inverse=True, return_counts=True)
-        counts = np.zeros(len(at), np.int64)
-        if there.any():
-            block_counts = np.bincount(order.place[there], minlength=len(order.elsewhere))
-            counts[there] = (block_counts + order.elsewhere)[at[there]] - own[which]
+        counts = np.zeros(len(there), np.int64)
+        counts[there] = (order.counts + order.elsewhere)[order.place[there]] - order.own[there]
         if n == 1:
             score = np.maximum(counts, 0.5) / rest
         else:
@@ -270,36 +285,47 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_by
 
     dealt = rows.select(deal.alias("block"), "doc_id", "text").mapInArrow(number, "block long, part binary")
     indexed = dealt.repartition(buckets, "block").groupBy("block").applyInArrow(index_block, BLOCK)
-    # one table bucketed by block: no later step shuffles texts
-    name = f"snapfold_blocks_{uuid.uuid4().hex}"
+    names: list[str] = []
+
+    def by_block(df: DataFrame) -> DataFrame:
+        """A table bucketed by block: later steps read it beside others without a shuffle."""
+        names.append(f"snapfold_blocks_{uuid.uuid4().hex}")
+        df.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(names[-1])
+        return spark.table(names[-1])
+
     try:
-        indexed.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
-        table, got = spark.table(name), None
+        known = by_block(indexed)
 
         def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([int(unpacked(x).sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
 
-        words = table.select("sizes").mapInArrow(total_of, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        for n in range(1, order + 1):
-            if got is None:
-                sent = table.groupBy("block").applyInArrow(lambda t: requests(t, None, parts), SENT)
-            else:
-                sent = table.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lambda t, a: requests(t, a, parts), SENT)
-            said = sent.groupBy("part").applyInArrow(lambda t: replies(t, parts), "block long, part int, counts binary, ids binary").withColumn("n", F.lit(n))
-            said = cut(said, "answers")
-            got = said if got is None else got.unionByName(said)
+        words = known.select("sizes").mapInArrow(total_of, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+        def answer(n: int) -> DataFrame:
+            sent = known.groupBy("block").applyInArrow(lambda t: requests(t, parts), SENT)
+            return sent.groupBy("part").applyInArrow(lambda t: replies(t, parts, n < order), "block long, part int, counts binary, ids binary").repartition(buckets, "block")
+
+        def keep(t: pa.Table, answers: pa.Table) -> pa.Table:
+            if not t.num_rows:
+                return pa.table({"block": pa.array([], pa.int64()), "counts": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+            block = Block(t.to_pylist()[0], parts)
+            got = told(block, answers)
+            return pa.table({"block": pa.array([block.row["block"]], pa.int64()), "counts": pa.array([packed(got.elsewhere)], pa.binary()), "ids": pa.array([packed(got.ids)], pa.binary())})
+
+        for n in range(1, order):
+            said = by_block(known.groupBy("block").cogroup(answer(n).groupBy("block")).applyInArrow(keep, "block long, counts binary, ids binary"))
+            known = known.join(said.select("block", F.col("counts").alias(f"counts{n}"), F.col("ids").alias(f"ids{n}")).hint("merge"), "block")
 
         def score(t: pa.Table, answers: pa.Table) -> pa.Table:
-            block = _block_of(t, answers, parts)
-            for _ in range(len(block.orders), order):  # orders of which nothing was asked
-                place, size_ = block.next_place()
-                block.orders.append(Order(place, np.zeros(size_, np.int64), np.zeros(size_, np.int64)))
+            block = Block(t.to_pylist()[0], parts)
+            block.orders.append(told(block, answers))
             docs_ = pa.ipc.open_stream(block.row["docs"]).read_all()
             return pa.table({"doc_id": docs_["doc_id"], "n_words": pa.array(block.sizes, pa.int64()), "micro": pa.array(log_scores(block, alpha, words), pa.int64())})
 
-        scored = cut(table.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, micro long"), "scores")
+        scored = cut(known.groupBy("block").cogroup(answer(order).groupBy("block")).applyInArrow(score, "doc_id long, n_words long, micro long"), "scores")
     finally:
-        spark.sql(f"drop table if exists {name}")
+        for name in names:
+            spark.sql(f"drop table if exists {name}")
     out = scored.select("doc_id", "n_words", (F.col("micro") / MICRO).alias("log_score"))
     return out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.round(F.exp(-F.col("log_score") / F.col("n_words")), 3)))
