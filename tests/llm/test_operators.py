@@ -407,6 +407,33 @@ def test_licences(spark):
     assert (got[8]["n_base"], got[8]["first_word"], got[8]["last_word"]) == (2, 1, 4)
 
 
+def test_licence_places_and_spans_against_plain_search(spark):
+    rnd = random.Random(8)
+    vocab = ["mit", "license", "apache", "general", "public", "gnu", "the", "under", "released", "licensed", "version", "x", "\u00e9t\u00e9"]
+    glue = [" ", "  ", "\n", "-", ". ", "_", "/"]
+    texts = ["".join(rnd.choice([w, w.upper(), w.capitalize()]) + rnd.choice(glue) for w in rnd.choices(vocab, k=rnd.randint(0, 60))) for _ in range(300)]
+    got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+        hits = [(k, label) for phrase, label in licences.PHRASES for p in [phrase.encode().split()] for k in range(len(words)) if words[k : k + len(p)] == p]
+        places = [k for k, _ in hits]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), min(places, default=None), max(places, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in hits})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+        for s in r["spans"]:
+            # a span holds its share of some template, in order
+            inside = [w.decode() for w in words[s["start"] : s["end"]]]
+            assert any(label == s["label"] and in_order(text.split(), inside) >= round(s["cover"] * len(text.split())) >= 0.6 * len(text.split()) - 1 for label, text in licences.TEMPLATES)
+
+
+def in_order(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + list(itertools.accumulate(range(len(b)), lambda best, j, before=row: max(before[j + 1], best, before[j] + (x == b[j])), initial=0))[1:]
+    return row[-1]
+
+
 def test_automaton_matching_statistics():
     rnd = random.Random(2)
     seqs = [[rnd.randint(0, 3) for _ in range(30)] for _ in range(4)]
