@@ -35,6 +35,7 @@ class Merged:
     decisions: DataFrame
     conflicts: DataFrame | None = None
     ids: DataFrame | None = None
+    marked: DataFrame | None = None
 
 
 def decisions_of(rows: DataFrame, table: str) -> DataFrame:
@@ -128,7 +129,7 @@ def merge_locations(rows: DataFrame, keep: Keep = as_is) -> Merged:
     numbered = keep(resolve.with_new_ids(marked, "LocationId"))
     final = numbered.select(F.col("target_id").alias("LocationId"), "owner_id", *LOCATION_IDENTITY, "Title")
     clash = conflicts_of(marked.filter("clash"), "Location", F.format_string("place %s", F.col("LocationId")), "mapped to the place that holds its key")
-    return Merged(final, decisions_of(marked, "Location"), clash, resolve.id_map(marked, numbered, "LocationId"))
+    return Merged(final, decisions_of(marked, "Location"), clash, resolve.id_map(marked, numbered, "LocationId"), marked)
 
 
 def merge_media(rows: DataFrame, members: DataFrame, keep: Keep = as_is) -> tuple[Merged, DataFrame, DataFrame]:
