@@ -99,22 +99,21 @@ def index_block(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "sizes": pa.array([packed(w.counts)], pa.binary()), "places": pa.array([packed(place)], pa.binary()), "words": pa.array([words], pa.binary())})
 
 
-def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each key among the distinct ones, and a stable order by it; one sort gives both."""
-    order = np.argsort(key, kind="stable")
+def numbered(key: np.ndarray) -> np.ndarray:
+    """The number of each key among the distinct ones."""
+    order = np.argsort(key)
     ordered = key[order]
     number = np.empty(len(key), np.int64)
     number[order] = np.cumsum(np.concatenate([np.zeros(min(1, len(key)), bool), ordered[1:] != ordered[:-1]]))
-    return number, order
+    return number
 
 
 @dataclass
 class Order:
-    """The n-grams of one order in a block: that of each place (-1: none ends there), how often it occurs in the text of
-    that place, and of each distinct one its count in the block, its count elsewhere and its id (0: in no other block)."""
+    """The n-grams of one order in a block: that of each place (-1: none ends there), and of each distinct one its count in
+    the block, its count elsewhere and its id (0: in no other block)."""
 
     place: np.ndarray
-    own: np.ndarray
     counts: np.ndarray
     elsewhere: np.ndarray | None = None
     ids: np.ndarray | None = None
@@ -138,22 +137,14 @@ class Block:
 
     def next_order(self) -> Order:
         """The n-grams of the order behind those that are known."""
+        if not self.orders:
+            return Order(self.words, np.bincount(self.words) if len(self.words) else np.zeros(0, np.int64))
+        before = np.concatenate([np.full(min(1, len(self.words)), -1), self.orders[-1].place[:-1]])
+        there = np.flatnonzero(self.inner & (before >= 0))
+        number = numbered(pairs(before[there], self.words[there]))
         place = np.full(len(self.words), -1)
-        there = np.arange(len(self.words))
-        key = self.words
-        if self.orders:
-            before = np.concatenate([np.full(min(1, len(place)), -1), self.orders[-1].place[:-1]])
-            there = np.flatnonzero(self.inner & (before >= 0))
-            key = pairs(before[there], self.words[there])
-        number, order = numbered(key)
         place[there] = number
-        # texts rise with places, so in the stable order an n-gram's places in one text are neighbours
-        text, gram = self.text[there][order], number[order]
-        edge = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])])) if len(order) else np.zeros(0, int)
-        runs = np.diff(np.append(edge, len(order)))
-        own = np.zeros(len(place), np.int64)
-        own[there[order]] = np.repeat(runs, runs)
-        return Order(place, own, np.bincount(number) if len(number) else np.zeros(0, np.int64))
+        return Order(place, np.bincount(number) if len(number) else np.zeros(0, np.int64))
 
     def wanted(self, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Distinct n-grams to ask for, by partition and there by the first id of their names: their numbers, their
@@ -210,7 +201,7 @@ def replies(table: pa.Table, parts: int, with_ids: bool) -> pa.Table:
     names, more = table["names"].to_pylist(), table["more"].to_pylist()
     counts = [unpacked(x) for x in table["counts"].to_pylist()]
     if more[0]:
-        place, _ = numbered(pairs(np.concatenate([np.cumsum(unpacked(x)) for x in names]), np.concatenate([unpacked(x) for x in more])))
+        place = numbered(pairs(np.concatenate([np.cumsum(unpacked(x)) for x in names]), np.concatenate([unpacked(x) for x in more])))
     else:
         _, place = Words([zlib.decompress(x) for x in names]).distinct()
     total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
@@ -247,7 +238,9 @@ def log_scores(block: Block, alpha: float, words: int) -> np.ndarray:
     for n, order in enumerate(block.orders, 1):
         there = order.place >= 0
         counts = np.zeros(len(there), np.int64)
-        counts[there] = (order.counts + order.elsewhere)[order.place[there]] - order.own[there]
+        if there.any():
+            own = numbered(pairs(block.text[there], order.place[there]))  # a text's own n-grams
+            counts[there] = (order.counts + order.elsewhere)[order.place[there]] - np.bincount(own)[own]
         if n == 1:
             score = np.maximum(counts, 0.5) / rest
         else:
