@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapfold.llm import backoff, chat, licences, merkle, mixing, pieces, rules, simhash, tokens, topk, weak
+from snapfold.llm import backoff, chat, licences, merkle, mixing, phrases, pieces, rules, simhash, tokens, topk, weak
 from snapfold.llm.common import load, scratch_path
 
 
@@ -66,9 +66,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"))
 
 
+def op13_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_quality_rules, op3_chat_format, op4_token_records, op5_simhash_vptree, op6_top_k, op7_licence_scan, op8_sentencepiece, op9_backoff_scores, op10_weak_label_classifier, op12_merkle_manifest)
+    for f in (op1_mix_sources, op2_quality_rules, op3_chat_format, op4_token_records, op5_simhash_vptree, op6_top_k, op7_licence_scan, op8_sentencepiece, op9_backoff_scores, op10_weak_label_classifier, op12_merkle_manifest, op13_phrase_stripes)
 }
 
 #: Turns as given, with the extra conversation; the template adds 24 code points to role and text of each turn.
@@ -185,5 +189,30 @@ with recursive d as (
 )
 select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, cur as folded_root, cur = root as verified
 from f join h using (r) cross join (select h as root from u where n = 1) where done
+""",
+    "op13_phrase_stripes": r"""
+with w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)
+), i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+f as materialized (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as a from i, range(1, 6) t(k) where i + k - 1 <= len(w) group by all
+), t as (select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang),
+c as materialized (select * from f where k > 1 and a >= 100),
+d as materialized (
+  select c.*, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') as p, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') as q
+  from c, range(1, 5) t(j) where j < k
+), cuts as (
+  select lang, d.phrase, d.k as words, d.a, j, x.a as l, y.a as r, n, (1000::hugeint * d.a * n) // (x.a::hugeint * y.a) as score
+  from d join t using (lang) join (select lang, phrase as p, a from f where a >= 100) x using (lang, p)
+  join (select lang, phrase as q, a from f where a >= 100) y using (lang, q)
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), kept as (
+  select * from best b where not exists (
+    select 1 from c where c.lang = b.lang and c.k > b.words and c.a >= b.a and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score
+from kept qualify rank <= 2000
 """,
 }
