@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapfold.llm import backoff, chat, licences, merkle, mixing, phrases, pieces, rules, simhash, tokens, topk, weak
+from snapfold.llm import backoff, chat, languages, licences, merkle, mixing, phrases, pieces, rules, simhash, tokens, topk, weak
 from snapfold.llm.common import load, scratch_path
 
 
@@ -62,6 +62,10 @@ def op10_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_mixture_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(load(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op13_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_quality_rules, op3_chat_format, op4_token_records, op5_simhash_vptree, op6_top_k, op7_licence_scan, op8_sentencepiece, op9_backoff_scores, op10_weak_label_classifier, op12_merkle_manifest, op13_phrase_stripes)
+    for f in (op1_mix_sources, op2_quality_rules, op3_chat_format, op4_token_records, op5_simhash_vptree, op6_top_k, op7_licence_scan, op8_sentencepiece, op9_backoff_scores, op10_weak_label_classifier, op11_mixture_languages, op12_merkle_manifest, op13_phrase_stripes)
 }
 
 #: Turns as given, with the extra conversation; the template adds 24 code points to role and text of each turn.
