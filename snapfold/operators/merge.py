@@ -6,7 +6,6 @@ each input row with what was done (decisions), conflicts, and the map from sourc
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,19 +15,13 @@ from pyspark.sql import functions as F
 
 from snapfold.functions.keys import key, location_identity, media_key, renamed_path, unique_key
 from snapfold.operators import resolve
+from snapfold.operators.resolve import AS_IS, Layout
 from snapfold.schema import LOCATION_IDENTITY
+from snapfold.shared import cut
 
 CONFLICT = ("owner_id", "seq", "table", "detail", "resolution")
 
 
-#: How a step's result that several others use is held: not at all, or written once (snapfold.shared.cut).
-Keep = Callable[[DataFrame], DataFrame]
-
-
-def as_is(df: DataFrame) -> DataFrame:
-    return df
-
-
 @dataclass
 class Merged:
     rows: DataFrame
@@ -52,102 +45,121 @@ def merge_migrations(rows: DataFrame) -> Merged:
     return Merged(rows.select("owner_id", "identifier").distinct(), rows.limit(0).select("owner_id", "seq", F.lit("grdb_migrations").alias("table"), "row_ord", F.lit("").alias("action")))
 
 
-def _by_key(rows: DataFrame, table: str, id_column: str, *keys: str, keep: Keep = as_is) -> Merged:
+def _by_key(rows: DataFrame, table: str, id_column: str, *keys: str, keep: Layout = AS_IS) -> Merged:
     marked = keep(resolve.first_wins(rows, *keys))
-    numbered = keep(resolve.with_new_ids(marked, id_column))
+    numbered = keep(resolve.with_new_ids(marked, id_column, keep))
     names = [c for c in rows.columns if c not in ("seq", "row_ord", id_column)]
     final = numbered.select(F.col("target_id").alias(id_column), *names)
     return Merged(final, decisions_of(marked, table), ids=resolve.id_map(marked, numbered, id_column))
 
 
-def merge_accuracies(rows: DataFrame, keep: Keep = as_is) -> Merged:
+def merge_accuracies(rows: DataFrame, keep: Layout = AS_IS) -> Merged:
     return _by_key(rows, "PlaylistItemAccuracy", "PlaylistItemAccuracyId", "Description", keep=keep)
 
 
-def merge_tags(rows: DataFrame, keep: Keep = as_is) -> Merged:
+def merge_tags(rows: DataFrame, keep: Layout = AS_IS) -> Merged:
     return _by_key(rows, "Tag", "TagId", "Type", "Name", keep=keep)
 
 
-def location_actions(rows: DataFrame) -> DataFrame:
+def first_come(part: pd.DataFrame) -> pd.DataFrame:
+    """Places that share keys, one after the other: a place stands for itself unless its identity, book key or media key is
+    taken; only places that stand for themselves take keys, and among base places the last takes an identity."""
+    found: dict[tuple, tuple] = {}
+    out = []
+    for r in part.sort_values(["seq", "row_ord"]).itertuples(index=False):
+        here = (r.seq, r.row_ord)
+        names = [n for n in (("id", r.identity), ("k1", r.k1), ("k2", r.k2)) if isinstance(n[1], str)]
+        hit = None if r.seq == 0 else next((n for n in names if n in found), None)
+        if hit is None:
+            for n in names:
+                found.setdefault(n, here)
+            if r.seq == 0:
+                found[names[0]] = here
+            out.append((r.owner_id, *here, "base" if r.seq == 0 else "added", *here, False))
+        else:
+            out.append((r.owner_id, *here, "reused", *found[hit], hit[0] != "id"))
+    return pd.DataFrame(out, columns=["owner_id", "_s", "_r", "found", "lead_seq", "lead_ord", "off"])
+
+
+def connected_keys(places: DataFrame, layout: Layout = AS_IS) -> DataFrame:
+    """owner_id, identity and label of distinct (owner_id, identity, k1, k2): equal labels where keys connect them.
+
+    Every round takes the least label among those that share a key, and then that label's own label, so chains shrink by half.
+    """
+    hold = layout if layout is not AS_IS else Layout(cut)
+    now = hold(places.distinct().withColumn("label", F.col("identity")))
+    while True:
+        least = now
+        for k in ("k1", "k2"):
+            among = F.min("label").over(W.partitionBy("owner_id", F.coalesce(k, "identity")))
+            least = least.withColumn("label", F.when(F.col(k).isNull(), F.col("label")).otherwise(among))
+        least = least.withColumnRenamed("label", "_own")
+        jump = least.select("owner_id", F.col("identity").alias("_own"), F.col("_own").alias("label"))
+        new = hold(least.join(jump, ["owner_id", "_own"]).select("owner_id", "identity", "k1", "k2", "label"))
+        moved = new.select("owner_id", "identity", F.col("label").alias("_new")).join(now, ["owner_id", "identity"]).filter("_new <> label")
+        now = new
+        if moved.isEmpty():
+            return now.select("owner_id", "identity", "label")
+
+
+def location_actions(rows: DataFrame, layout: Layout = AS_IS) -> DataFrame:
     """Adds action, lead and clash to places.
 
     A place's group is its book key, else its media key, else its whole identity, and the first row of a group stands for
-    all. Only places that have both keys, and those that share a key with one of them, are resolved row by row, in a task
-    for each symbol, language and type (no key crosses them).
+    all. Only places that share a key with one that has both are resolved row by row, in a task for each set of places that
+    such keys connect.
     """
     keyed = rows.withColumn("_id", location_identity()).withColumn("_k1", unique_key()).withColumn("_k2", media_key())
-    group = ("KeySymbol", "MepsLanguage", "Type")
     both = (F.col("_k1").isNotNull() & F.col("_k2").isNotNull()).cast("int")
     # rows without a key are spread by their identity
     near = lambda k: F.col(k).isNotNull() & (F.max(both).over(W.partitionBy("owner_id", F.coalesce(k, "_id"))) == 1)
-    keyed = keyed.withColumn("_both", near("_k1") | near("_k2"))
-    fast = keyed.filter(~F.col("_both"))
+    keyed = layout(keyed.withColumn("_near", near("_k1") | near("_k2")))
     g = F.coalesce(F.concat(F.lit("1"), "_k1"), F.concat(F.lit("2"), "_k2"), F.concat(F.lit("3"), "_id"))
     w = W.partitionBy("owner_id", g)
     # among base rows without keys the last one stands for the group
     rank = F.row_number().over(w.orderBy(F.when(F.col("seq") == 0, 0).otherwise(1), F.when((F.col("seq") == 0) & F.col("_k1").isNull() & F.col("_k2").isNull(), -F.col("row_ord")), "seq", "row_ord"))
-    fast = fast.withColumn("_rank", rank)
+    out = keyed.withColumn("_rank", rank)
     lead, identity = F.max(F.when(F.col("_rank") == 1, F.struct("seq", "row_ord"))).over(w), F.max(F.when(F.col("_rank") == 1, F.col("_id"))).over(w)
-    fast = fast.withColumn("lead", lead).withColumn("clash", (F.col("_id") != identity) & (F.col("seq") > 0))
-    fast = fast.withColumn("action", F.when(F.col("seq") == 0, "base").when(F.col("_rank") == 1, "added").otherwise("reused"))
-    fast = fast.select(*rows.columns, "action", "lead", "clash")
-
-    slow = keyed.filter("_both")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("owner_id", "seq", "row_ord").schema)
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["seq", "row_ord"])
-        found: dict[tuple, tuple] = {}
-        out = []
-        for r in part.itertuples(index=False):
-            here = (r.seq, r.row_ord)
-            names = [("id", r.identity), ("k1", r.k1), ("k2", r.k2)]
-            names = [n for n in names if isinstance(n[1], str)]
-            if r.seq == 0:
-                found[names[0]] = here
-                for n in names[1:]:
-                    found.setdefault(n, here)
-                out.append((r.owner_id, *here, "base", *here, False))
-                continue
-            hit = next((n for n in names if n in found), None)
-            if hit is None:
-                for n in names:
-                    found.setdefault(n, here)
-                out.append((r.owner_id, *here, "added", *here, False))
-            else:
-                out.append((r.owner_id, *here, "reused", *found[hit], hit[0] != "id"))
-        return pd.DataFrame(out, columns=["owner_id", "seq", "row_ord", "action", "lead_seq", "lead_ord", "clash"])
-
-    narrow = slow.select("owner_id", "seq", "row_ord", *group, F.col("_id").alias("identity"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
-    done = narrow.groupBy("owner_id", *group).applyInPandas(fold, f"{fields}, action string, lead_seq int, lead_ord long, clash boolean")
-    slow = slow.select(*rows.columns).join(done, ["owner_id", "seq", "row_ord"]).withColumn("lead", F.struct(F.col("lead_seq").alias("seq"), F.col("lead_ord").alias("row_ord")))
-    return fast.unionByName(slow.select(*rows.columns, "action", "lead", "clash"))
-
-
-def merge_locations(rows: DataFrame, keep: Keep = as_is) -> Merged:
-    marked = keep(location_actions(rows))
-    numbered = keep(resolve.with_new_ids(marked, "LocationId"))
+    out = out.withColumn("lead", lead).withColumn("clash", (F.col("_id") != identity) & (F.col("seq") > 0))
+    out = out.withColumn("action", F.when(F.col("seq") == 0, "base").when(F.col("_rank") == 1, "added").otherwise("reused"))
+    slow = keyed.filter("_near").select("owner_id", "seq", "row_ord", F.col("_id").alias("identity"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
+    if slow.isEmpty():
+        return out.select(*rows.columns, "action", "lead", "clash")
+    labelled = slow.join(connected_keys(slow.select("owner_id", "identity", "k1", "k2"), layout), ["owner_id", "identity"])
+    kinds = dict(rows.dtypes)
+    done = labelled.groupBy("owner_id", "label").applyInPandas(first_come, f"owner_id {kinds['owner_id']}, _s {kinds['seq']}, _r {kinds['row_ord']}, found string, lead_seq {kinds['seq']}, lead_ord {kinds['row_ord']}, off boolean")
+    out = out.join(done.withColumnRenamed("owner_id", "_o"), (F.col("owner_id") == F.col("_o")) & (F.col("seq") == F.col("_s")) & (F.col("row_ord") == F.col("_r")), "left")
+    stands = F.struct(F.col("lead_seq").alias("seq"), F.col("lead_ord").alias("row_ord"))
+    given = F.col("found").isNotNull()
+    return out.select(*rows.columns, F.coalesce("found", "action").alias("action"), F.when(given, stands).otherwise(F.col("lead")).alias("lead"), F.when(given, F.col("off")).otherwise(F.col("clash")).alias("clash"))
+
+
+def merge_locations(rows: DataFrame, keep: Layout = AS_IS) -> Merged:
+    marked = keep(location_actions(rows, keep))
+    numbered = keep(resolve.with_new_ids(marked, "LocationId", keep))
     final = numbered.select(F.col("target_id").alias("LocationId"), "owner_id", *LOCATION_IDENTITY, "Title")
     clash = conflicts_of(marked.filter("clash"), "Location", F.format_string("place %s", F.col("LocationId")), "mapped to the place that holds its key")
     return Merged(final, decisions_of(marked, "Location"), clash, resolve.id_map(marked, numbered, "LocationId"), marked)
 
 
-def merge_media(rows: DataFrame, members: DataFrame, keep: Keep = as_is) -> tuple[Merged, DataFrame, DataFrame]:
+def merge_media(rows: DataFrame, members: DataFrame, keep: Layout = AS_IS) -> tuple[Merged, DataFrame, DataFrame]:
     """Merged media, the map of paths (owner_id, seq, src_path, path) and the media plan (owner_id, member, seq, from_member).
 
     members: owner_id, seq, member of each archive.
     """
     marked = keep(resolve.first_wins(rows, "Hash"))
-    taken = rows.filter("seq = 0").select("owner_id", "FilePath").union(members.filter("seq = 0").select("owner_id", "member")).distinct()
-    new = marked.filter("action = 'added'").withColumn("_nth", F.row_number().over(resolve.window("FilePath")))
-    new = new.join(taken.withColumn("_taken", F.lit(True)), ["owner_id", "FilePath"], "left")
-    renamed = F.coalesce("_taken", F.lit(False)) | (F.col("_nth") > 1)
-    new = new.withColumn("renamed", renamed).withColumn("path", F.when(renamed, renamed_path(F.col("owner_id").cast("string"), "Hash", "FilePath")).otherwise(F.col("FilePath"))).drop("_taken", "_nth")
-    there = members.filter("seq > 0").select("owner_id", "seq", F.col("member").alias("FilePath"), F.lit(True).alias("present")).distinct()
-    new = keep(new.join(there, ["owner_id", "seq", "FilePath"], "left").withColumn("present", F.coalesce("present", F.lit(False))))
-    base = marked.filter("action = 'base'").withColumns({"renamed": F.lit(False), "path": F.col("FilePath"), "present": F.lit(True)})
-    kept = new.unionByName(base)
-    numbered = keep(resolve.with_new_ids(kept, "IndependentMediaId"))
+    # base rows keep their paths; of new ones with a path in common the first has it, where the base does not
+    added = F.col("action") == "added"
+    kept = marked.filter("action <> 'reused'").withColumn("_nth", F.row_number().over(resolve.window("FilePath", added)))
+    taken = {"_row": rows.select("owner_id", "seq", "FilePath"), "_file": members.select("owner_id", "seq", F.col("member").alias("FilePath"))}
+    for name, df in taken.items():
+        kept = kept.join(df.filter("seq = 0").drop("seq").distinct().withColumn(name, F.lit(True)), ["owner_id", "FilePath"], "left")
+    kept = kept.withColumn("renamed", added & (F.coalesce("_row", "_file", F.lit(False)) | (F.col("_nth") > 1)))
+    kept = kept.withColumn("path", F.when(F.col("renamed"), renamed_path(F.col("owner_id").cast("string"), "Hash", "FilePath")).otherwise(F.col("FilePath"))).drop("_row", "_file", "_nth")
+    there = members.select("owner_id", "seq", F.col("member").alias("FilePath"), F.lit(True).alias("_present")).distinct()
+    kept = kept.join(there, ["owner_id", "seq", "FilePath"], "left").withColumn("present", ~added | F.coalesce("_present", F.lit(False))).drop("_present")
+    numbered = keep(resolve.with_new_ids(kept, "IndependentMediaId", keep))
+    new = numbered.filter("action = 'added'")
     final = numbered.select(F.col("target_id").alias("IndependentMediaId"), "owner_id", "OriginalFilename", F.col("path").alias("FilePath"), "MimeType", "Hash")
     gone = conflicts_of(new.filter("not present"), "IndependentMedia", F.concat(F.col("FilePath"), F.lit(" is not in the archive")), "row kept, file missing")
     lead = numbered.select("owner_id", F.struct("seq", "row_ord").alias("lead"), "path")
@@ -160,16 +172,16 @@ def merge_media(rows: DataFrame, members: DataFrame, keep: Keep = as_is) -> tupl
     return out, paths, plan
 
 
-def merge_marks(marks: DataFrame, ranges: DataFrame, location_ids: DataFrame, keep: Keep = as_is) -> tuple[Merged, Merged]:
+def merge_marks(marks: DataFrame, ranges: DataFrame, location_ids: DataFrame, keep: Layout = AS_IS) -> tuple[Merged, Merged]:
     """Highlights by guid, the strictly higher version winning, and their ranges: an update replaces all of them, otherwise
     ranges unite by extent. Highlights on unknown places are skipped before anything else."""
-    placed = resolve.remap(marks.filter("seq > 0"), "LocationId", location_ids, "_loc").unionByName(marks.filter("seq = 0").withColumn("_loc", F.col("LocationId")))
+    placed = resolve.remap(marks, "LocationId", location_ids, "_loc", base=True)
     skipped = placed.filter("_loc is null").withColumn("action", F.lit("skipped"))
     known = resolve.highest_version(placed.filter("_loc is not null"), "Version", "UserMarkGuid")
     first = F.first(F.struct("seq", "row_ord")).over(resolve.window("UserMarkGuid"))
     known = keep(known.withColumn("lead", first))
     added = known.withColumn("_first", (F.col("lead.seq") == F.col("seq")) & (F.col("lead.row_ord") == F.col("row_ord")))
-    numbered = keep(resolve.with_new_ids(added.filter("_first").withColumn("action", F.when(F.col("seq") == 0, "base").otherwise("added")), "UserMarkId"))
+    numbered = keep(resolve.with_new_ids(added.filter("_first").withColumn("action", F.when(F.col("seq") == 0, "base").otherwise("added")), "UserMarkId", keep))
     ids = resolve.id_map(known.withColumn("action", F.when(F.col("seq") == 0, "base").otherwise(F.col("action"))), numbered, "UserMarkId")
     guid_ids = numbered.select("owner_id", "UserMarkGuid", "target_id")
     final = known.filter("final").join(guid_ids, ["owner_id", "UserMarkGuid"])
@@ -183,24 +195,22 @@ def merge_marks(marks: DataFrame, ranges: DataFrame, location_ids: DataFrame, ke
     r = r.withColumn("_n", F.row_number().over(resolve.window("UserMarkGuid", "epoch", *extent)))
     r = keep(r.withColumn("action", F.when(F.col("seq") == 0, "base").when(F.col("_n") == 1, "added").otherwise("reused")))
     kept = keep(r.join(last, ["owner_id", "UserMarkGuid"]).filter("epoch = last and action <> 'reused'").join(guid_ids, ["owner_id", "UserMarkGuid"]))
-    top = ranges.filter("seq = 0").groupBy("owner_id").agg(F.max("BlockRangeId").alias("_top"))
-    fresh = resolve.number_rows(kept.filter("seq > 0"), ["owner_id"], ["seq", "row_ord"]).join(top, "owner_id", "left").withColumn("_id", F.coalesce("_top", F.lit(0)) + F.col("number"))
-    pick = lambda df, i: df.select(F.col(i).alias("BlockRangeId"), "owner_id", *extent, F.col("target_id").alias("UserMarkId"))
-    return out, Merged(pick(fresh, "_id").union(pick(kept.filter("seq = 0"), "BlockRangeId")), decisions_of(r, "BlockRange"))
+    numbered = resolve.with_new_ids(kept.withColumnRenamed("target_id", "_mark"), "BlockRangeId", keep)
+    out_ranges = numbered.select(F.col("target_id").alias("BlockRangeId"), "owner_id", *extent, F.col("_mark").alias("UserMarkId"))
+    return out, Merged(out_ranges, decisions_of(r, "BlockRange"))
 
 
-def merge_notes(notes: DataFrame, mark_ids: DataFrame, location_ids: DataFrame, keep: Keep = as_is) -> Merged:
+def merge_notes(notes: DataFrame, mark_ids: DataFrame, location_ids: DataFrame, keep: Layout = AS_IS) -> Merged:
     """Notes by guid: a later stamp wins if the text differs, all but Created being replaced."""
-    new = resolve.remap(notes.filter("seq > 0"), "UserMarkId", mark_ids, "_mark", zero_is_null=True)
-    new = resolve.remap(new, "LocationId", location_ids, "_loc", zero_is_null=True)
-    rows = new.unionByName(notes.filter("seq = 0").withColumns({"_mark": F.col("UserMarkId"), "_loc": F.col("LocationId")}))
+    rows = resolve.remap(notes, "UserMarkId", mark_ids, "_mark", zero_is_null=True, base=True)
+    rows = resolve.remap(rows, "LocationId", location_ids, "_loc", zero_is_null=True, base=True)
     text = key(F.coalesce("Title", F.lit("")), F.coalesce("Content", F.lit("")))
     folded = keep(resolve.fold_newest(rows, "LastModified", text, "Guid"))
     each = folded.select("owner_id", "Guid", F.explode("decisions").alias("d")).select("owner_id", "Guid", "d.*")
     marked = rows.select("owner_id", "seq", "row_ord", "NoteId", "Guid", "LastModified", "Created").join(each, ["owner_id", "seq", "row_ord", "Guid"])
     lead = F.first(F.struct("seq", "row_ord")).over(resolve.window("Guid"))
     marked = keep(marked.withColumn("lead", lead).withColumn("_first", (F.col("lead.seq") == F.col("seq")) & (F.col("lead.row_ord") == F.col("row_ord"))))
-    numbered = resolve.with_new_ids(marked.filter("_first").withColumn("action", F.when(F.col("seq") == 0, "base").otherwise("added")), "NoteId")
+    numbered = resolve.with_new_ids(marked.filter("_first").withColumn("action", F.when(F.col("seq") == 0, "base").otherwise("added")), "NoteId", keep)
     numbered = keep(numbered)
     won = folded.select("owner_id", "Guid", "seq", "row_ord").join(rows, ["owner_id", "Guid", "seq", "row_ord"]).drop("NoteId", "Created")
     final = won.join(numbered.select("owner_id", "Guid", "target_id", "Created"), ["owner_id", "Guid"])
@@ -211,22 +221,19 @@ def merge_notes(notes: DataFrame, mark_ids: DataFrame, location_ids: DataFrame,
     return Merged(final, decisions_of(marked, "Note"), clash, resolve.id_map(marked, numbered, "NoteId"))
 
 
-def merge_bookmarks(bookmarks: DataFrame, location_ids: DataFrame, keep: Keep = as_is) -> Merged:
-    new = resolve.remap(bookmarks.filter("seq > 0"), "LocationId", location_ids, "_loc")
-    new = resolve.remap(new, "PublicationLocationId", location_ids, "_pub")
-    rows = new.unionByName(bookmarks.filter("seq = 0").withColumns({"_loc": F.col("LocationId"), "_pub": F.col("PublicationLocationId")}))
-    rows = keep(rows)
+def merge_bookmarks(bookmarks: DataFrame, location_ids: DataFrame, keep: Layout = AS_IS) -> Merged:
+    rows = resolve.remap(bookmarks, "LocationId", location_ids, "_loc", base=True)
+    rows = keep(resolve.remap(rows, "PublicationLocationId", location_ids, "_pub", base=True))
     lost = rows.filter("_loc is null or _pub is null").withColumn("action", F.lit("skipped"))
     marked = keep(resolve.first_free_slot(rows.filter("_loc is not null and _pub is not null"), "_pub", "Slot", "_loc", "BlockType", "BlockIdentifier"))
-    numbered = resolve.with_new_ids(marked.filter("action in ('base', 'added')"), "BookmarkId")
+    numbered = resolve.with_new_ids(marked.filter("action in ('base', 'added')"), "BookmarkId", keep)
     final = numbered.select(F.col("target_id").alias("BookmarkId"), "owner_id", F.col("_loc").alias("LocationId"), F.col("_pub").alias("PublicationLocationId"), F.col("final_slot").alias("Slot"), "Title", "Snippet", "BlockType", "BlockIdentifier")
     full = conflicts_of(marked.filter("action = 'skipped'"), "Bookmark", F.format_string("no free slot for %s", F.col("Title")), "left out")
     return Merged(final, decisions_of(marked, "Bookmark").union(decisions_of(lost, "Bookmark")), full)
 
 
 def merge_answers(fields: DataFrame, location_ids: DataFrame, overwrite: bool = False) -> Merged:
-    new = resolve.remap(fields.filter("seq > 0"), "LocationId", location_ids, "_loc")
-    rows = new.unionByName(fields.filter("seq = 0").withColumn("_loc", F.col("LocationId")))
+    rows = resolve.remap(fields, "LocationId", location_ids, "_loc", base=True)
     lost = rows.filter("_loc is null").withColumn("action", F.lit("skipped"))
     known = rows.filter("_loc is not null")
     w = resolve.window("_loc", "TextTag")
@@ -241,20 +248,19 @@ def merge_answers(fields: DataFrame, location_ids: DataFrame, overwrite: bool =
     return Merged(final.select("owner_id", F.col("_loc").alias("LocationId"), "TextTag", "Value"), decisions_of(marked, "InputField").union(decisions_of(lost, "InputField")), clash)
 
 
-def merge_tag_maps(maps: DataFrame, tag_ids: DataFrame, item_ids: DataFrame, location_ids: DataFrame, note_ids: DataFrame, keep: Keep = as_is) -> Merged:
+def merge_tag_maps(maps: DataFrame, tag_ids: DataFrame, item_ids: DataFrame, location_ids: DataFrame, note_ids: DataFrame, keep: Layout = AS_IS) -> Merged:
     """New ones go behind the last position of their tag, in order of source, its tag id and its position."""
     refs = (("PlaylistItemId", item_ids, "_item"), ("LocationId", location_ids, "_loc"), ("NoteId", note_ids, "_note"))
-    new = resolve.remap(maps.filter("seq > 0"), "TagId", tag_ids, "_tag")
+    rows = resolve.remap(maps, "TagId", tag_ids, "_tag", base=True)
     lost = F.col("_tag").isNull()
     for column, ids, to in refs:
-        new = resolve.remap(new, column, ids, to, zero_is_null=True)
+        rows = resolve.remap(rows, column, ids, to, zero_is_null=True, base=True)
         lost = lost | (F.coalesce(F.nullif(F.col(column), F.lit(0)), F.lit(0)) != 0) & F.col(to).isNull()
-    base = maps.filter("seq = 0").withColumns({"_tag": F.col("TagId"), "_item": F.col("PlaylistItemId"), "_loc": F.col("LocationId"), "_note": F.col("NoteId")})
-    new = keep(new)
-    gone = new.filter(lost).withColumn("action", F.lit("skipped"))
-    rows = new.filter(~lost).unionByName(base)
-    marked = keep(resolve.append_position(rows, "_tag", "Position", ("TagId", "Position", "row_ord"), "_item", "_loc", "_note"))
-    numbered = resolve.with_new_ids(marked.filter("action in ('base', 'added')"), "TagMapId")
+    lost = (F.col("seq") > 0) & lost
+    rows = keep(rows)
+    gone, rows = rows.filter(lost).withColumn("action", F.lit("skipped")), rows.filter(~lost)
+    marked = keep(resolve.append_position(rows, "_tag", "Position", ("TagId", "Position", "row_ord"), "_item", "_loc", "_note", layout=keep))
+    numbered = resolve.with_new_ids(marked.filter("action in ('base', 'added')"), "TagMapId", keep)
     final = numbered.select(F.col("target_id").alias("TagMapId"), "owner_id", F.col("_item").alias("PlaylistItemId"), F.col("_loc").alias("LocationId"), F.col("_note").alias("NoteId"), F.col("_tag").alias("TagId"), F.col("final_position").alias("Position"))
     return Merged(final, decisions_of(marked, "TagMap").union(decisions_of(gone, "TagMap")))
 

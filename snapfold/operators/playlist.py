@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from snapfold.functions.keys import key, location_identity
 from snapfold.operators import resolve
-from snapfold.operators.merge import Keep, Merged, as_is, decisions_of
+from snapfold.operators.merge import Merged, decisions_of
+from snapfold.operators.resolve import AS_IS, Layout
 
 
 def owning_tag(tag_maps: DataFrame, tags: DataFrame) -> DataFrame:
@@ -35,34 +36,32 @@ def item_keys(items: DataFrame, tag_maps: DataFrame, tags: DataFrame, media: Dat
     return out.withColumn("item_key", k).select(*items.columns, "item_key")
 
 
-def merge_items(keyed: DataFrame, accuracy_ids: DataFrame, paths: DataFrame, media: DataFrame, keep: Keep = as_is) -> Merged:
+def merge_items(keyed: DataFrame, accuracy_ids: DataFrame, paths: DataFrame, media: DataFrame, keep: Layout = AS_IS) -> Merged:
     """Items by content key; unknown accuracies stay, thumbnails follow their media or go."""
     marked = keep(resolve.first_wins(keyed, "item_key"))
-    numbered = keep(resolve.with_new_ids(marked, "PlaylistItemId"))
+    numbered = keep(resolve.with_new_ids(marked, "PlaylistItemId", keep))
     ids = resolve.id_map(marked, numbered, "PlaylistItemId")
-    new = resolve.remap(numbered.filter("seq > 0"), "Accuracy", accuracy_ids, "_acc").withColumn("_acc", F.coalesce("_acc", "Accuracy"))
+    rows = resolve.remap(numbered, "Accuracy", accuracy_ids, "_acc", base=True).withColumn("_acc", F.coalesce("_acc", "Accuracy"))
     where = paths.groupBy("owner_id", "seq", F.col("src_path").alias("ThumbnailFilePath")).agg(F.min("path").alias("_path"))
-    new = new.join(where, ["owner_id", "seq", "ThumbnailFilePath"], "left").withColumn("_path", F.coalesce("_path", "ThumbnailFilePath"))
+    new = rows.join(where, ["owner_id", "seq", "ThumbnailFilePath"], "left").withColumn("_path", F.coalesce("_path", "ThumbnailFilePath"))
     there = media.select("owner_id", F.col("FilePath").alias("_path"), F.lit(True).alias("_there")).distinct()
-    new = new.join(there, ["owner_id", "_path"], "left").withColumn("_path", F.when(F.col("_there"), F.col("_path"))).drop("_there")
-    rows = new.unionByName(numbered.filter("seq = 0").withColumns({"_acc": F.col("Accuracy"), "_path": F.col("ThumbnailFilePath")}))
+    rows = new.join(there, ["owner_id", "_path"], "left").withColumn("_path", F.when(F.col("seq") == 0, F.col("ThumbnailFilePath")).when(F.col("_there"), F.col("_path"))).drop("_there")
     final = rows.select(F.col("target_id").alias("PlaylistItemId"), "owner_id", "Label", "StartTrimOffsetTicks", "EndTrimOffsetTicks", F.col("_acc").alias("Accuracy"), "EndAction", F.col("_path").alias("ThumbnailFilePath"))
     return Merged(final, decisions_of(marked, "PlaylistItem"), ids=ids)
 
 
 def merge_links(rows: DataFrame, table: str, refs: dict[str, DataFrame], keys: tuple[str, ...], silent: bool = False) -> Merged:
     """Insert-or-ignore on a primary key after remapping `refs`; rows with an unknown side are skipped (silent: uncounted)."""
-    new, base = rows.filter("seq > 0"), rows.filter("seq = 0")
+    names = [c for c in rows.columns if c not in ("seq", "row_ord")]
     lost = F.lit(False)
     for column, ids in refs.items():
-        new = resolve.remap(new, column, ids, f"_{column}")
-        base = base.withColumn(f"_{column}", F.col(column))
+        rows = resolve.remap(rows, column, ids, f"_{column}", base=True)
         lost = lost | F.col(f"_{column}").isNull()
-    marked = resolve.first_wins(new.filter(~lost).unionByName(base), *(f"_{k}" if k in refs else k for k in keys))
-    names = [c for c in rows.columns if c not in ("seq", "row_ord")]
+    lost = (F.col("seq") > 0) & lost
+    marked = resolve.first_wins(rows.filter(~lost), *(f"_{k}" if k in refs else k for k in keys))
     final = marked.filter("action in ('base', 'added')").select(*(F.col(f"_{c}").alias(c) if c in refs else F.col(c) for c in names))
     done = decisions_of(marked, table)
-    return Merged(final, done if silent else done.union(decisions_of(new.filter(lost).withColumn("action", F.lit("skipped")), table)))
+    return Merged(final, done if silent else done.union(decisions_of(rows.filter(lost).withColumn("action", F.lit("skipped")), table)))
 
 
 def merge_media_maps(rows: DataFrame, item_ids: DataFrame, media_ids: DataFrame) -> Merged:
@@ -73,13 +72,12 @@ def merge_location_maps(rows: DataFrame, item_ids: DataFrame, location_ids: Data
     return merge_links(rows, "PlaylistItemLocationMap", {"PlaylistItemId": item_ids, "LocationId": location_ids}, ("PlaylistItemId", "LocationId"))
 
 
-def merge_markers(rows: DataFrame, item_ids: DataFrame, keep: Keep = as_is) -> Merged:
-    new = resolve.remap(rows.filter("seq > 0"), "PlaylistItemId", item_ids, "_item")
-    known = new.filter("_item is not null").unionByName(rows.filter("seq = 0").withColumn("_item", F.col("PlaylistItemId")))
-    marked = keep(resolve.first_wins(known, "_item", "StartTimeTicks"))
-    numbered = keep(resolve.with_new_ids(marked, "PlaylistItemMarkerId"))
+def merge_markers(rows: DataFrame, item_ids: DataFrame, keep: Layout = AS_IS) -> Merged:
+    rows = resolve.remap(rows, "PlaylistItemId", item_ids, "_item", base=True)
+    marked = keep(resolve.first_wins(rows.filter("seq = 0 or _item is not null"), "_item", "StartTimeTicks"))
+    numbered = keep(resolve.with_new_ids(marked, "PlaylistItemMarkerId", keep))
     final = numbered.select(F.col("target_id").alias("PlaylistItemMarkerId"), "owner_id", F.col("_item").alias("PlaylistItemId"), "Label", "StartTimeTicks", "DurationTicks", "EndTransitionDurationTicks")
-    lost = decisions_of(new.filter("_item is null").withColumn("action", F.lit("skipped")), "PlaylistItemMarker")
+    lost = decisions_of(rows.filter("seq > 0 and _item is null").withColumn("action", F.lit("skipped")), "PlaylistItemMarker")
     return Merged(final, decisions_of(marked, "PlaylistItemMarker").union(lost), ids=resolve.id_map(marked, numbered, "PlaylistItemMarkerId"))
 
 

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from snapfold.shared import cut
+
 ORDER = ("seq", "row_ord")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a step's result that several others use is held: not at all, or written once; and whether all rows of an owner
+    are together, so that grouping and joining by owner and more moves nothing."""
+
+    hold: Callable[[DataFrame], DataFrame]
+    together: bool = False
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.hold(df)
+
+
+AS_IS = Layout(lambda df: df)
+
+
 def window(*keys: str | Column, order: tuple = ORDER):
     return W.partitionBy("owner_id", *keys).orderBy(*order)
 
@@ -95,42 +115,50 @@ def first_free_slot(rows: DataFrame, group: str, slot: str, *keys: str | Column,
     return out.withColumn("action", action).withColumn("final_slot", final).drop("_first", "_base", "_slot")
 
 
-def append_position(rows: DataFrame, group: str, position: str, order: tuple, *keys: str | Column) -> DataFrame:
-    """New keys go behind the highest position of their group's base rows, in the given order; others are reused.
-
-    A group may be huge, so numbers are given by number_rows, not in one task for each group.
-    """
+def append_position(rows: DataFrame, group: str, position: str, order: tuple, *keys: str | Column, layout: Layout = AS_IS) -> DataFrame:
+    """New keys go behind the highest position of their group's base rows, in the given order; others are reused."""
     w = window(group, *keys, order=("seq", *order))
     action = F.when(F.col("seq") == 0, "base").when(F.row_number().over(w) == 1, "added").otherwise("reused")
     marked = rows.withColumn("action", action)
+    if layout.together:
+        top = F.max(F.when(F.col("seq") == 0, F.col(position))).over(W.partitionBy("owner_id", group))
+        nth = F.row_number().over(window(group, F.col("action") == "added", order=("seq", *order)))
+        return marked.withColumn("final_position", F.when(F.col("action") == "base", F.col(position)).when(F.col("action") == "added", F.coalesce(top, F.lit(-1)) + nth).cast("long"))
     top = rows.filter("seq = 0").groupBy("owner_id", group).agg(F.max(position).alias("_top"))
-    numbered = number_rows(marked.filter("action = 'added'"), ["owner_id", group], ["seq", *order], at=1 + order.index(position))
+    numbered = number_rows(marked.filter("action = 'added'"), ["owner_id", group], ["seq", *order], layout)
     numbered = numbered.join(top, ["owner_id", group], "left").withColumn("final_position", F.coalesce("_top", F.lit(-1)) + F.col("number")).drop("_top", "number")
     return numbered.unionByName(marked.filter("action <> 'added'").withColumn("final_position", F.when(F.col("action") == "base", F.col(position)).cast("long")))
 
 
-def number_rows(rows: DataFrame, groups: list[str], order: list[str], at: int = 1, chunk: int = 100_000) -> DataFrame:
-    """number: 1, 2, ... within each group by `order` (integers), in two levels.
+def number_rows(rows: DataFrame, groups: list[str], order: list[str], layout: Layout = AS_IS) -> DataFrame:
+    """number: 1, 2, ... within each group by `order`.
 
-    Rows are cut into runs by the columns of the order before `at`, and by the column there div chunk; runs are counted, the
-    counts are summed over the few runs of a group, and rows are numbered inside their run. So no task holds all rows
-    of a large group, where that column is what spreads them.
+    Where an owner's rows are together they are sorted and numbered in place. Else rows are dealt to ranges of (group, order)
+    that hold about equally many, whatever the values, and are sorted there; the rows of a group in the ranges before are
+    counted, and added to the place inside the range. So a group of any size is spread, and no task sums over more than a
+    row for each range.
     """
-    cut = rows.withColumn("_run", F.floor(F.col(order[at]) / chunk))
-    names = [*order[:at], "_run"]
-    counts = cut.groupBy(*groups, *names).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(*groups).orderBy(*names)) - F.col("_n")
-    counts = counts.withColumn("_before", before).drop("_n")
-    local = F.row_number().over(W.partitionBy(*groups, *names).orderBy(*order[at:]))
-    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*groups, *names]]
-    joined = cut.withColumn("_local", local).alias("a").join(counts.alias("b"), cond)
-    return joined.select(*(f"a.{c}" for c in rows.columns), (F.col("b._before") + F.col("a._local")).alias("number"))
-
-
-def with_new_ids(rows: DataFrame, id_column: str) -> DataFrame:
+    if layout.together:
+        return rows.withColumn("number", F.row_number().over(W.partitionBy(*groups).orderBy(*order)).cast("long"))
+    by = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
+    placed = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    runs = placed.groupBy(*groups, "_range").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*groups).orderBy("_range")) - F.col("_n")
+    runs = runs.select(*groups, "_range", (before - F.col("_low") + 1).alias("_shift"))
+    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*groups, "_range"]]
+    return placed.alias("a").join(runs.alias("b"), cond).select(*(f"a.{c}" for c in rows.columns), (F.col("a._at") + F.col("b._shift")).alias("number"))
+
+
+def with_new_ids(rows: DataFrame, id_column: str, layout: Layout = AS_IS) -> DataFrame:
     """target_id: its own for base rows; added rows continue behind the owner's highest base id, in order."""
+    if layout.together:
+        top = F.max(F.when(F.col("seq") == 0, F.col(id_column))).over(W.partitionBy("owner_id"))
+        nth = F.row_number().over(window(F.col("action") == "added"))
+        own = F.when(F.col("action") == "base", F.col(id_column)).otherwise(F.coalesce(top, F.lit(0)) + nth)
+        return rows.filter("action in ('base', 'added')").withColumn("target_id", own)
     top = rows.filter("seq = 0").groupBy("owner_id").agg(F.max(id_column).alias("_top"))
-    added = number_rows(rows.filter("action = 'added'"), ["owner_id"], ["seq", "row_ord"])
+    added = number_rows(rows.filter("action = 'added'"), ["owner_id"], ["seq", "row_ord"], layout)
     added = added.join(top, "owner_id", "left").withColumn("target_id", F.coalesce("_top", F.lit(0)) + F.col("number")).drop("_top", "number")
     return added.unionByName(rows.filter("action = 'base'").withColumn("target_id", F.col(id_column)))
 
@@ -142,8 +170,10 @@ def id_map(rows: DataFrame, numbered: DataFrame, id_column: str) -> DataFrame:
     return own.join(lead, (own["owner_id"] == lead["owner_id"]) & (F.col("lead.seq") == F.col("_s")) & (F.col("lead.row_ord") == F.col("_r"))).select(own["owner_id"], "seq", "src_id", "target_id")
 
 
-def remap(rows: DataFrame, column: str, mapping: DataFrame, to: str, zero_is_null: bool = False) -> DataFrame:
-    """Adds `to`: the target id of rows.column by (owner, snapshot), null where there is none."""
-    m = mapping.select(F.col("owner_id").alias("_o"), F.col("seq").alias("_q"), F.col("src_id").alias("_i"), F.col("target_id").alias(to))
+def remap(rows: DataFrame, column: str, mapping: DataFrame, to: str, zero_is_null: bool = False, base: bool = False) -> DataFrame:
+    """Adds `to`: the target id of rows.column by (owner, snapshot), null where there is none; with `base`, rows of the base
+    keep their own."""
+    m = mapping.select(F.col("owner_id").alias("_o"), F.col("seq").alias("_q"), F.col("src_id").alias("_i"), F.col("target_id").alias("_t"))
     ref = F.nullif(F.col(column), F.lit(0)) if zero_is_null else F.col(column)
-    return rows.join(m, (F.col("owner_id") == F.col("_o")) & (F.col("seq") == F.col("_q")) & (ref == F.col("_i")), "left").drop("_o", "_q", "_i")
+    found = F.when(F.col("seq") == 0, F.col(column)).otherwise(F.col("_t")) if base else F.col("_t")
+    return rows.join(m, (F.col("owner_id") == F.col("_o")) & (F.col("seq") == F.col("_q")) & (ref == F.col("_i")), "left").withColumn(to, found).drop("_o", "_q", "_i", "_t")

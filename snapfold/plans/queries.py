@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snapfold.functions import keys
 from snapfold.operators import incremental, merge, ordering, playlist, report, resolve, verify
+from snapfold.operators.resolve import Layout
 from snapfold.plans import jobs
 from snapfold.plans.projections import Views, with_views
 from snapfold.schema import LOCATION_IDENTITY, TABLES
@@ -156,7 +157,7 @@ LOC_ORDER = f"case when seq = 0 then 0 else 1 end, case when seq = 0 and left({G
     h as (select *, case when action = 'base' then LocationId when action = 'added' then coalesce(top, 0) + sum(case when action = 'added' then 1 else 0 end) over (partition by owner_id order by seq, row_ord) end as mine from a)
     select owner_id, seq, row_ord, action, cast(case when action = 'base' then mine else first_value(mine) over (partition by owner_id, g order by {LOC_ORDER}) end as bigint) as target_id, seq > 0 and sp <> lead_sp as clash from h""")
 def _(v):
-    done = merge.merge_locations(v.loc, cut)
+    done = merge.merge_locations(v.loc, Layout(cut))
     return outcome(done).join(done.marked.select("owner_id", "seq", "row_ord", "clash"), ["owner_id", "seq", "row_ord"])
 
 
@@ -254,7 +255,7 @@ def _(v):
     from s3 join note n on n.owner_id = s3.owner_id and n.Guid = s3.Guid and n.seq = s3.at join c on c.owner_id = s3.owner_id and c.Guid = s3.Guid and c.n = 1
     left join id_map m on m.owner_id = n.owner_id and m.seq = n.seq and m.src_id = nullif(n.LocationId, 0)""")
 def _(v):
-    rows = merge.merge_notes(v.note, v.id_map, v.id_map, cut).rows
+    rows = merge.merge_notes(v.note, v.id_map, v.id_map, Layout(cut)).rows
     return rows.select("owner_id", F.col("Guid").alias("guid"), F.col("Title").alias("title"), F.col("Content").alias("content"), F.col("LastModified").alias("modified"), F.col("Created").alias("created"), F.col("LocationId").alias("place"))
 
 
@@ -321,7 +322,7 @@ def _(v):
 @query("m17_playlist_items", outcome_sql("k", ITEM_COLUMNS, "PlaylistItemId").replace("with f as", ITEM_KEY + ", f as", 1))
 def _(v):
     paths = v.pmedia.select("owner_id", "seq", F.col("FilePath").alias("src_path"), F.col("FilePath").alias("path"))
-    return outcome(playlist.merge_items(_keyed(v), v.id_map, paths, v.pmedia.filter("seq = 0"), cut))
+    return outcome(playlist.merge_items(_keyed(v), v.id_map, paths, v.pmedia.filter("seq = 0"), Layout(cut)))
 
 
 def links_sql(view: str, a: str, b: str) -> str:

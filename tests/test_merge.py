@@ -184,14 +184,14 @@ def test_answers_and_tag_positions(spark):
 
 def test_numbers_cross_chunks(spark):
     rows = spark.createDataFrame([(1, s, i) for s in (1, 2) for i in range(0, 50, 7)], "owner_id long, seq int, row_ord long")
-    got = resolve.number_rows(rows, ["owner_id"], ["seq", "row_ord"], chunk=10).collect()
+    got = resolve.number_rows(rows, ["owner_id"], ["seq", "row_ord"]).collect()
     assert [r["number"] for r in sorted(got, key=lambda r: (r["seq"], r["row_ord"]))] == list(range(1, 17))
 
 
 def test_a_large_tag_is_cut_into_runs(spark):
     rows = spark.createDataFrame([(1, s, 7, p, 1000 * s + p) for s in (1, 2) for p in range(60)], "owner_id long, seq int, TagId long, Position long, row_ord long")
     order = ["seq", "TagId", "Position", "row_ord"]
-    got = resolve.number_rows(rows, ["owner_id", "TagId"], order, at=2, chunk=10)
+    got = resolve.number_rows(rows, ["owner_id", "TagId"], order)
     assert [r["number"] for r in sorted(got.collect(), key=lambda r: (r["seq"], r["Position"]))] == list(range(1, 121))
     runs = rows.groupBy("seq", (resolve.F.col("Position") / 10).cast("int")).count()
     assert runs.count() == 12
