@@ -10,7 +10,8 @@ compared by their bytes, phrases by the numbers of their parts.
 
 A phrase's stripe is split by following word into one part for each `share` of its occurrences, which are known from the
 round before; so a phrase of a third of all rows is many small groups. Only stripes and answers are shuffled; texts are
-read once. A block knows only its own words, and nothing is broadcast.
+read once. Blocks stay where they are: their tables are bucketed by block, and only answers move. A block knows only its own
+words, and nothing is broadcast.
 
 Scores: cutting a phrase after k words gives a * n / (l * r), of which the smallest counts. l and r are counts of the first
 and last words, which the rounds before found; products are decimals of 38 digits.
@@ -31,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapfold.llm.common import Words, as_bytes, cut, mix64
+from snapfold.sources.together import Together
 
 #: Lower case, and one mark for all that ends a piece; blanks and tabs stay.
 _PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -93,15 +95,16 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         yield from flush()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return cut(texts.mapInArrow(run, "block long, lang string, words array<binary>, counts array<long>, ids binary, pos binary"), "phrase-blocks")
+    return texts.mapInArrow(run, "block long, lang string, words array<binary>, counts array<long>, ids binary, pos binary")
 
 
 def frequent_words(made: DataFrame, least: int) -> DataFrame:
     """block, nth (number of the word in the block), gram (its number everywhere), a (its count), lang and word."""
     each = made.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("nth", "x"))
     each = each.select("block", "lang", "nth", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).repartition("lang", "word")
-    total = each.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).withColumn("gram", F.monotonically_increasing_id() + 1)
-    return cut(each.join(total.hint("shuffle_hash"), ["lang", "word"]).select("block", "nth", "gram", "a", "lang", "word"), "phrase-words")
+    word = W.partitionBy("lang", "word")
+    each = each.withColumn("place", F.monotonically_increasing_id() + 1).withColumns({"a": F.sum("n").over(word), "gram": F.min("place").over(word)})
+    return cut(each.filter(F.col("a") >= least).select("block", "nth", "gram", "a", "lang", "word"), "phrase-words")
 
 
 def state_row(block: int, lang: str, pos, gram, last, grams, sizes, words) -> pa.Table:
@@ -275,10 +278,13 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: i
 
     A phrase goes if a longer one that holds it has `covered` hundredths of its count or more.
     """
-    made = blocks(docs, block_bytes)
+    home = Together(docs.sparkSession, key="block")
+    made = home.hold(blocks(docs, block_bytes))
     totals = made.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = frequent_words(made, least)
-    state = cut(made.select("block", "lang", "ids", "pos").groupBy("block").cogroup(words.select("block", "nth", "gram", "a").groupBy("block")).applyInArrow(words_placed, _STATE), "phrase-places")
+    state = home.hold(made.select("block", "lang", "ids", "pos").groupBy("block").cogroup(words.select("block", "nth", "gram", "a").groupBy("block")).applyInArrow(words_placed, _STATE))
+    totals = cut(totals, "phrase-totals")
+    home.forget([state])
     one = words.groupBy("gram").agg(F.first("lang").alias("lang"), F.first("word").cast("string").alias("phrase"), F.first("a").alias("a"))
     shorter = cut(one.select("gram", F.lit(0).cast("long").alias("prefix"), F.col("gram").alias("after"), "lang", "phrase", F.col("phrase").alias("last"), F.lit(0).cast("long").alias("tail"), "a", F.array("a").alias("lead"), F.array("a").alias("rear")), "phrase-words")
     found = []
@@ -294,7 +300,9 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: i
             found[-1] = grams.filter(~inside), at
         found.append((shorter, n))
         if n < longest:
-            state = cut(state.groupBy("block").cogroup(stripe.filter("kind = 0").select("block", "prefix", "after", "gram", "a").groupBy("block")).applyInArrow(phrases_placed, _STATE), "phrase-places")
+            state = home.hold(state.groupBy("block").cogroup(stripe.filter("kind = 0").select("block", "prefix", "after", "gram", "a").groupBy("block")).applyInArrow(phrases_placed, _STATE))
+            home.forget([state])
+    home.forget()
     every = None
     for grams, n in found:
         part = scored(grams, totals, n)
