@@ -24,20 +24,37 @@ SIMPLE = {
 }
 
 
-def missing_by(sources: DataFrame, merged: DataFrame, table: str, identity: Column, shown: Column, merged_identity: Column | None = None) -> DataFrame:
-    """Anti-join on one narrow, null-safe identity per row."""
-    mine = sources.select("owner_id", "seq", F.lit(table).alias("table"), identity.alias("identity"), F.substring(F.coalesce(shown.cast("string"), F.lit("")), 1, 40).alias("description"))
-    there = merged.select("owner_id", (identity if merged_identity is None else merged_identity).alias("identity")).distinct()
-    return mine.join(there, ["owner_id", "identity"], "left_anti").select("owner_id", "seq", "table", "identity", "description")
+def named(rows: DataFrame, table: str, identity: Column, shown: Column) -> DataFrame:
+    """owner_id, seq (0 in merged tables), table, identity (one narrow, null-safe string) and description of each row."""
+    seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
+    return rows.select("owner_id", seq.cast("int").alias("seq"), F.lit(table).alias("table"), identity.alias("identity"), F.substring(F.coalesce(shown.cast("string"), F.lit("")), 1, 40).alias("description"))
 
 
-def missing_simple(table: str, sources: DataFrame, merged: DataFrame) -> DataFrame:
+def not_found(sources: DataFrame, merged: DataFrame) -> DataFrame:
+    """Rows of sources (see named) whose identity no merged row of the same owner and table has.
+
+    Both sides are dealt by (owner, table, identity) once, and a flag of the merged side is looked for among equal ones.
+    """
+    both = sources.withColumn("_there", F.lit(0)).unionByName(merged.withColumn("_there", F.lit(1)))
+    known = F.max("_there").over(W.partitionBy("owner_id", "table", "identity"))
+    return both.withColumn("_known", known).filter("_known = 0").drop("_there", "_known")
+
+
+def simple_names(table: str, rows: DataFrame) -> DataFrame:
     columns, shown = SIMPLE[table]
-    return missing_by(sources, merged, table, key(*columns), F.col(shown))
+    return named(rows, table, key(*columns), F.col(shown))
+
+
+def missing_simple(table: str, sources: DataFrame, merged: DataFrame) -> DataFrame:
+    return not_found(simple_names(table, sources), simple_names(table, merged))
+
+
+def location_names(rows: DataFrame) -> DataFrame:
+    return named(rows, "Location", location_identity(), F.col("Title"))
 
 
 def missing_locations(sources: DataFrame, merged: DataFrame) -> DataFrame:
-    return missing_by(sources, merged, "Location", location_identity(), F.col("Title"))
+    return not_found(location_names(sources), location_names(merged))
 
 
 def with_place(rows: DataFrame, locations: DataFrame, column: str, to: str) -> DataFrame:
@@ -47,20 +64,43 @@ def with_place(rows: DataFrame, locations: DataFrame, column: str, to: str) -> D
     return rows.join(places, [*at, column], "left")
 
 
+def bookmark_names(rows: DataFrame, places: DataFrame) -> DataFrame:
+    both = with_place(with_place(rows, places, "PublicationLocationId", "_pub"), places, "LocationId", "_loc")
+    return named(both, "Bookmark", key("_pub", "_loc", "BlockType", "BlockIdentifier"), F.col("Title"))
+
+
 def missing_bookmarks(sources: DataFrame, source_locations: DataFrame, merged: DataFrame, merged_locations: DataFrame) -> DataFrame:
-    both = lambda rows, places: with_place(with_place(rows, places, "PublicationLocationId", "_pub"), places, "LocationId", "_loc")
-    return missing_by(both(sources, source_locations), both(merged, merged_locations), "Bookmark", key("_pub", "_loc", "BlockType", "BlockIdentifier"), F.col("Title"))
+    return not_found(bookmark_names(sources, source_locations), bookmark_names(merged, merged_locations))
+
+
+def answer_names(rows: DataFrame, places: DataFrame) -> DataFrame:
+    return named(with_place(rows, places, "LocationId", "_loc"), "InputField", key("_loc", "TextTag"), F.col("TextTag"))
 
 
 def missing_answers(sources: DataFrame, source_locations: DataFrame, merged: DataFrame, merged_locations: DataFrame) -> DataFrame:
-    return missing_by(with_place(sources, source_locations, "LocationId", "_loc"), with_place(merged, merged_locations, "LocationId", "_loc"), "InputField", key("_loc", "TextTag"), F.col("TextTag"))
+    return not_found(answer_names(sources, source_locations), answer_names(merged, merged_locations))
+
+
+#: Tables that the content key of a playlist item is made of.
+ITEM_PARTS = ("PlaylistItem", "TagMap", "Tag", "IndependentMedia", "PlaylistItemIndependentMediaMap", "PlaylistItemLocationMap", "Location")
+
+
+def item_names(tables: dict[str, DataFrame]) -> DataFrame:
+    """Playlist items by content key; tables without seq are one snapshot."""
+    t = [tables[n] if "seq" in tables[n].columns else tables[n].withColumn("seq", F.lit(0)) for n in ITEM_PARTS]
+    return named(item_keys(*t), "PlaylistItem", F.col("item_key"), F.col("Label"))
 
 
 def missing_items(sources: dict[str, DataFrame], merged: dict[str, DataFrame]) -> DataFrame:
-    """Playlist items by content key; merged tables count as one snapshot."""
-    names = ("PlaylistItem", "TagMap", "Tag", "IndependentMedia", "PlaylistItemIndependentMediaMap", "PlaylistItemLocationMap", "Location")
-    one = {n: merged[n].withColumn("seq", F.lit(0)) for n in names}
-    return missing_by(item_keys(*(sources[n] for n in names)), item_keys(*(one[n] for n in names)), "PlaylistItem", F.col("item_key"), F.col("Label"))
+    return not_found(item_names(sources), item_names(merged))
+
+
+def all_names(tables: dict[str, DataFrame]) -> DataFrame:
+    """Everything of a library that must be found again, by table."""
+    places = tables["Location"]
+    parts = [simple_names(n, tables[n]) for n in SIMPLE]
+    parts += [location_names(places), bookmark_names(tables["Bookmark"], places), answer_names(tables["InputField"], places), item_names(tables)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_files(media: DataFrame, members: DataFrame) -> DataFrame:
@@ -92,14 +132,21 @@ def explained(missing: DataFrame, conflicts: DataFrame) -> DataFrame:
     return missing.join(known, ["owner_id", "seq", "table"], "left").withColumn("explained", F.coalesce("explained", F.lit(False)))
 
 
-def broken_references(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame:
-    """owner_id, table, column, parent, value of every reference to nothing; null references pass."""
-    out = []
-    for child, column, parent, target in references:
-        if child in tables and parent in tables:
-            rows = tables[child].filter(F.col(column).isNotNull()).select("owner_id", F.lit(child).alias("table"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), F.col(column).cast("string").alias("value"))
-            out.append(rows.join(tables[parent].select("owner_id", F.col(target).cast("string").alias("value")), ["owner_id", "value"], "left_anti").select(*rows.columns))
-    return reduce(DataFrame.unionByName, out)
+def broken_references(tables: dict[str, DataFrame], references=REFERENCES, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """owner_id, table, column, parent, value and rows (how many) of references to nothing; null references pass.
+
+    All references and all that they may refer to are dealt by (owner, parent, value) once, and counted there. parents:
+    where to look targets up, if not in `tables`.
+    """
+    parents = tables if parents is None else parents
+    known = [(k, *r) for k, r in enumerate(references) if r[0] in tables and r[2] in parents]
+    targets = sorted({(p, t) for _, _, _, p, t in known})
+    value = lambda df, p, t, c, k: df.select("owner_id", F.lit(targets.index((p, t))).alias("target"), F.col(c).cast("string").alias("value"), F.lit(k).alias("k")).dropna()
+    rows = [value(tables[child], parent, target, column, k) for k, child, column, parent, target in known]
+    rows += [value(parents[p], p, t, t, -1) for p, t in targets]
+    met = reduce(DataFrame.unionByName, rows).groupBy("owner_id", "target", "value").agg(F.max(F.col("k") == -1).alias("there"), *(F.count_if(F.col("k") == k).alias(f"n{k}") for k, *_ in known))
+    each = F.array(*(F.struct(F.lit(child).alias("table"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), F.col(f"n{k}").alias("rows")) for k, child, column, parent, _ in known))
+    return met.filter("not there").select("owner_id", "value", F.explode(F.filter(each, lambda x: x["rows"] > 0)).alias("x")).select("owner_id", "x.table", "x.column", "x.parent", "value", "x.rows")
 
 
 #: Table: ((rule, SQL condition that holds unless false), ...); a null condition passes, as in SQL.
@@ -166,22 +213,23 @@ UNIQUES = {
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """owner_id, table, rule, rows: how many rows break each constraint.
 
-    One pass over a table counts checks and nulls of all rules; each unique key is a grouping of its own.
+    Checks and nulls are found where rows are read. Unique keys of all tables are dealt together by one digest of owner,
+    key and values.
     """
-    out = []
+    broken, keys = [], []
     for table, df in tables.items():
         rules = {f"check: {rule}": f"not ({condition})" for rule, condition in CHECKS.get(table, ())}
         rules |= {f"not null: {c}": f"{c} is null" for c in REQUIRED.get(table, ()) if c in df.columns}
         if rules:
-            counts = df.groupBy("owner_id").agg(*(F.count_if(F.expr(broken)).alias(rule) for rule, broken in rules.items()))
-            each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("rows")) for r in rules)))
-            out.append(counts.select("owner_id", F.lit(table).alias("table"), each.alias("x")).select("owner_id", "table", "x.*").filter("rows > 0"))
+            each = F.array_compact(F.array(*(F.when(F.expr(condition), F.lit(rule)) for rule, condition in rules.items())))
+            broken.append(df.select("owner_id", F.lit(table).alias("table"), F.explode(each).alias("rule")).withColumn("rows", F.lit(1).cast("long")))
         for columns in UNIQUES.get(table, ()):
-            names = [f"k{i}" for i in range(len(columns))]
-            filled = df.select("owner_id", *(F.expr(c).alias(n) for c, n in zip(columns, names))).dropna(subset=names)
-            twice = filled.groupBy("owner_id", *names).agg(F.count("*").alias("n")).filter("n > 1")
-            out.append(twice.groupBy("owner_id").agg(F.sum("n").alias("rows")).select("owner_id", F.lit(table).alias("table"), F.lit(f"unique: {', '.join(columns)}").alias("rule"), "rows"))
-    return reduce(DataFrame.unionByName, out)
+            filled = df.select("owner_id", *(F.expr(c).alias(f"k{i}") for i, c in enumerate(columns))).dropna(subset=[f"k{i}" for i in range(len(columns))])
+            keys.append(filled.select("owner_id", F.lit(table).alias("table"), F.lit(f"unique: {', '.join(columns)}").alias("rule"), key(*(f"k{i}" for i in range(len(columns)))).alias("digest")))
+    if keys:
+        twice = reduce(DataFrame.unionByName, keys).groupBy("owner_id", "table", "rule", "digest").agg(F.count("*").alias("rows")).filter("rows > 1")
+        broken.append(twice.drop("digest"))
+    return reduce(DataFrame.unionByName, broken).groupBy("owner_id", "table", "rule").agg(F.sum("rows").alias("rows"))
 
 
 def added_again(decisions: DataFrame) -> DataFrame:

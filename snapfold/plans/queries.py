@@ -15,6 +15,7 @@ from snapfold.plans.projections import Views, with_views
 from snapfold.schema import LOCATION_IDENTITY, TABLES
 from snapfold.shared import cut
 from snapfold.shipping import ship
+from snapfold.sources import archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -505,7 +506,7 @@ def _(v):
     one = v.id_map.select("owner_id", F.col("target_id").alias("LocationId"), F.col("target_id").alias("TagId")).distinct()
     broken = verify.broken_references({"Note": v.note, "Location": one, "Tag": one, "TagMap": v.tag_note})
     broken = broken.filter("parent in ('Location', 'Tag') and not (table = 'TagMap' and column = 'LocationId')")
-    return broken.groupBy("owner_id", F.col("table").alias("tbl"), F.col("column").alias("col")).agg(F.count("*").alias("n"))
+    return broken.groupBy("owner_id", F.col("table").alias("tbl"), F.col("column").alias("col")).agg(F.sum("rows").alias("n"))
 
 
 @query("v13_constraints", """select owner_id, 'Tag' as tbl, 'unique: Type, Name' as rule, cast(sum(n) as bigint) as n from (select owner_id, Type, Name, count(*) as n from tag group by owner_id, Type, Name having count(*) > 1) x group by owner_id
@@ -593,6 +594,23 @@ def _(v):
     return stored.select("owner_id", F.size("summary").cast("long").alias("tables"), F.aggregate(F.map_values("summary"), F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
 
 
+# ---- manifests
+
+NESTED = '{"deep":[1,{"a":null,"b":"x"}],"n":#}'
+
+
+@query("s3_manifest_round_trip", "select owner_id, snapshot_id, device as device_name, '" + NESTED.replace("#", "' || snapshot_id || '") + "' as odd, '[' || owner_id || ',true,1.5]' as more from snap")
+def _(v):
+    """Manifests with nested fields that no reader knows, read and written back."""
+    odd = F.concat(F.lit(NESTED.split("#")[0]), F.col("snapshot_id").cast("string"), F.lit(NESTED.split("#")[1]))
+    more = F.concat(F.lit("["), F.col("owner_id").cast("string"), F.lit(",true,1.5]"))
+    known = F.to_json(F.struct(F.lit(16).alias("schemaVersion"), F.col("device").alias("deviceName")))
+    inner = F.concat(F.regexp_replace(known, r"\}$", ',"more":'), more, F.lit("}"))
+    text = F.concat(F.lit('{"name":"n","version":1,"odd":'), odd, F.lit(',"userDataBackup":'), inner, F.lit("}"))
+    back = v.snap.select("owner_id", "snapshot_id", archives.write_manifest(archives.parse_manifest(text)).alias("j"))
+    return back.select("owner_id", "snapshot_id", *(F.get_json_object("j", p).alias(n) for n, p in (("device_name", "$.userDataBackup.deviceName"), ("odd", "$.odd"), ("more", "$.userDataBackup.more"))))
+
+
 # ---- incremental
 
 @query("i1_folder_fingerprints", "select owner_id, poll, count(*) as files from (select distinct owner_id, poll, name, size, mtime from listing) x group by owner_id, poll")

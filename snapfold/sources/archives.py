@@ -115,12 +115,13 @@ def members(parsed: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def parse_manifest(payload: Column) -> Column:
-    """Known fields of a manifest, and the unknown ones of both levels as raw JSON."""
+    """Known fields of a manifest, and the unknown ones of both levels: shown as text, and held as they are in VARIANT values."""
     known = F.from_json(payload, "name string, creationDate string, version long, type long, userDataBackup struct<lastModifiedDate:string,deviceName:string,databaseName:string,hash:string,schemaVersion:long>")
     top, inner = F.from_json(payload, "map<string,string>"), F.from_json(F.get_json_object(payload, "$.userDataBackup"), "map<string,string>")
+    held, held_inner = F.from_json(payload, "map<string,variant>"), F.from_json(F.get_json_object(payload, "$.userDataBackup"), "map<string,variant>")
     rest = lambda m, names: F.map_filter(m, lambda k, _: ~k.isin(*names))
     b = known["userDataBackup"]
-    return F.struct(known["name"].alias("name"), known["creationDate"].alias("creation_date"), known["version"].alias("version"), known["type"].alias("type"), b["schemaVersion"].alias("schema_version"), b["databaseName"].alias("database_name"), b["deviceName"].alias("device_name"), b["lastModifiedDate"].alias("last_modified"), b["hash"].alias("hash"), rest(top, TOP_FIELDS).alias("extra"), rest(inner, BACKUP_FIELDS).alias("backup_extra"))
+    return F.struct(known["name"].alias("name"), known["creationDate"].alias("creation_date"), known["version"].alias("version"), known["type"].alias("type"), b["schemaVersion"].alias("schema_version"), b["databaseName"].alias("database_name"), b["deviceName"].alias("device_name"), b["lastModifiedDate"].alias("last_modified"), b["hash"].alias("hash"), rest(top, TOP_FIELDS).alias("extra"), rest(inner, BACKUP_FIELDS).alias("backup_extra"), rest(held, TOP_FIELDS).alias("unknown"), rest(held_inner, BACKUP_FIELDS).alias("backup_unknown"))
 
 
 def _spliced(known: Column, extra: Column) -> Column:
@@ -130,11 +131,11 @@ def _spliced(known: Column, extra: Column) -> Column:
 
 
 def write_manifest(m: Column) -> Column:
-    """JSON of a manifest struct; unknown fields are written back as strings."""
+    """JSON of a manifest struct; unknown fields of any depth are written back as they were."""
     backup = F.to_json(F.struct(m["last_modified"].alias("lastModifiedDate"), m["device_name"].alias("deviceName"), m["database_name"].alias("databaseName"), m["hash"].alias("hash"), m["schema_version"].alias("schemaVersion")))
     top = F.to_json(F.struct(m["name"].alias("name"), m["creation_date"].alias("creationDate"), m["version"].alias("version"), m["type"].alias("type")))
-    whole = F.concat(F.regexp_replace(top, r"\}$", ',"userDataBackup":'), _spliced(backup, m["backup_extra"]), F.lit("}"))
-    return _spliced(whole, m["extra"])
+    whole = F.concat(F.regexp_replace(top, r"\}$", ',"userDataBackup":'), _spliced(backup, m["backup_unknown"]), F.lit("}"))
+    return _spliced(whole, m["unknown"])
 
 
 def snapshots(parsed: DataFrame) -> DataFrame:
