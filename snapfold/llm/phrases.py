@@ -50,8 +50,47 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of numbers of seven bits a byte, low ones first, and how many bytes each has."""
+    x = x.astype(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for k in range(1, 10):
+        size += x >= np.uint64(1 << 7 * k)
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        out[start[at] + k] = ((x[at] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(size[at] > k + 1, 128, 0).astype(np.uint8)
+    return out, size
+
+
+def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where the bytes of each end."""
+    ends = np.flatnonzero(data < 128) + 1
+    start = np.append(0, ends[:-1])
+    within = np.arange(len(data)) - np.repeat(start, ends - start)
+    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * within).astype(np.uint64), start).astype(np.int64), ends
+
+
+def stripe_bytes(after: np.ndarray, n: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Of each stripe, which begin at `start`: how far each following word is from the one before, and its count."""
+    step = np.diff(after, prepend=0)
+    step[start] = after[start]
+    data, size = varints(np.column_stack([step, n]).ravel())
+    ends = np.cumsum(size.reshape(-1, 2).sum(axis=1))
+    offsets = np.append(0, ends[np.append(start[1:], len(after)) - 1] if len(start) else []).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def from_stripes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Following words and counts of all stripes, and how many each stripe has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    values, ends = from_varints(np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    bound = np.searchsorted(ends, offsets - offsets[0], side="right") // 2
+    step, n = values[::2], values[1::2]
+    total = np.cumsum(step)
+    before = np.append(0, total)[bound[:-1]]
+    return total - np.repeat(before, np.diff(bound)), n, np.diff(bound)
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -102,11 +141,18 @@ def frequent_words(made: DataFrame, least: int) -> DataFrame:
     """block, nth (number of the word in the block), gram (its number everywhere), a (its count), lang and word."""
     each = made.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("nth", "x"))
     each = each.select("block", "lang", "nth", F.col("x.words").alias("word"), F.col("x.counts").alias("n")).repartition("lang", "word")
-    word = W.partitionBy("lang", "word")
-    each = each.withColumn("place", F.monotonically_increasing_id() + 1).withColumns({"a": F.sum("n").over(word), "gram": F.min("place").over(word)})
+    word, place = W.partitionBy("lang", "word"), F.monotonically_increasing_id()
+    # numbers stay small, so that they need few bytes
+    number = place.bitwiseAND((1 << 33) - 1) * wide(made) + F.shiftright(place, 33) + 1
+    each = each.withColumn("number", number).withColumns({"a": F.sum("n").over(word), "gram": F.min("number").over(word)})
     return cut(each.filter(F.col("a") >= least).select("block", "nth", "gram", "a", "lang", "word"), "phrase-words")
 
 
+def wide(df: DataFrame) -> int:
+    """At least as many as a shuffle has partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def state_row(block: int, lang: str, pos, gram, last, grams, sizes, words) -> pa.Table:
     each = [[block], [lang], [packed(np.diff(pos, prepend=0))], [packed(gram)], [packed(last)], [grams], [sizes], [words]]
     kinds = (pa.int64(), pa.string(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 3)
@@ -148,7 +194,7 @@ def phrases_placed(block: pa.Table, answers: pa.Table) -> pa.Table:
     pos, gram, last, at = read(row)
     grams, words = np.array(row["grams"]), np.array(row["words"])
     by_gram, by_word = np.argsort(grams), np.argsort(words)
-    prefix, after, new, a = (numbers(answers, c) for c in ("prefix", "after", "gram", "a"))
+    prefix, after, new, a = (np.concatenate([np.array(x) for x in answers.column(c).to_pylist()]) for c in ("prefix", "after", "gram", "a"))
     known = by_gram[np.searchsorted(grams, prefix, sorter=by_gram)] * len(words) + by_word[np.searchsorted(words, after, sorter=by_word)]
     order = np.argsort(known)
     known = known[order]
@@ -176,30 +222,36 @@ def stripes(states: DataFrame, share: int) -> DataFrame:
                 order = np.lexsort((after, part, prefix))
                 prefix, after, n, part = (x[order] for x in (prefix, after, n, part))
                 start = np.flatnonzero(np.diff(prefix, prepend=-1) | np.diff(part, prepend=-1))
-                size = np.diff(np.append(start, len(prefix)))
-                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["block"])), pa.array(grams[prefix[start]]), pa.array(part[start]), lists(after, size, pa.int64()), lists(n, size, pa.int32())], ["block", "prefix", "part", "after", "n"])
+                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["block"])), pa.array(grams[prefix[start]]), pa.array(part[start]), stripe_bytes(after, n, start)], ["block", "prefix", "part", "stripe"])
                 yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
 
-    return states.mapInArrow(run, "block long, prefix long, part long, after array<long>, n array<int>")
+    return states.mapInArrow(run, "block long, prefix long, part long, stripe binary")
+
+
+MERGED = ("prefix", "after", "gram", "a")
 
 
 def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
-    """kind, block, prefix, after, gram, a of merged stripes.
+    """kind, block, and arrays prefix, after, gram, a of merged stripes.
 
-    kind 0 tells a block that one of its phrases is frequent; 1 is a frequent phrase, numbered; 2 is a stripe's total (a) and its largest
-    extension (gram). Parts of stripes are sorted by phrase and merged as they pass, `at_once` counts or one part at a time.
+    kind 0 tells a block which of its phrases are frequent; 1 are frequent phrases, numbered; 2 are totals of stripes (a) and their
+    largest extensions (gram). Parts of stripes are sorted by phrase and merged as they pass, some `at_once` counts or one part
+    at a time; a row holds what one such step has to say, to one block.
     """
-    names = ["kind", "block", "prefix", "after", "gram", "a"]
+    fields = ", ".join(["kind long", "block long", *(f"{c} array<long>" for c in MERGED)])
+    every = wide(each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = (TaskContext.get().partitionId() << 40) + 1
+        own, number = TaskContext.get().partitionId() + 1, 0
+
+        def say(kind: int, block: int, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([block]), *(pa.array([c.astype(np.int64)], pa.list_(pa.int64())) for c in columns)], ["kind", "block", *MERGED])
 
         def merge(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal number
             whole = pa.Table.from_batches(rows).combine_chunks()
             prefix, part, block = (numbers(whole, c) for c in ("prefix", "part", "block"))
-            after, n = (pa.concat_arrays([c.flatten() for c in whole.column(x).chunks]).to_numpy().astype(np.int64) for x in ("after", "n"))
-            size = whole.column("after").combine_chunks().value_lengths().to_numpy()
+            after, n, size = from_stripes(pa.concat_arrays(whole.column("stripe").chunks))
             key = np.cumsum((np.diff(prefix, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)) - 1
             of = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((after, key[of]))
@@ -207,7 +259,7 @@ def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
             start = np.flatnonzero((np.diff(k, prepend=-1) != 0) | (np.diff(x, prepend=-1) != 0))
             a = np.add.reduceat(n[order], start)
             good = (a >= least) & (x[start] != 0)
-            gram = np.where(good, number + np.cumsum(good) - 1, 0)
+            gram = np.where(good, (number + np.cumsum(good) - 1) * every + own, 0)
             number += int(good.sum())
             back = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
             told = np.flatnonzero(good[back])
@@ -215,15 +267,17 @@ def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
             top, total = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
             np.maximum.at(top, k[start], np.where(x[start] != 0, a, 0))
             np.add.at(total, k[start], a)
-            rows_of = of[order[told]]
+            stripe = of[order[told]]
+            told = told[by := np.argsort(block[stripe], kind="stable")]
+            stripe = stripe[by]
+            to = np.flatnonzero(np.diff(block[stripe], prepend=-1))
+            for lo, hi in zip(to, np.append(to[1:], len(told))):
+                at, rows_of = told[lo:hi], stripe[lo:hi]
+                yield say(0, int(block[rows_of[0]]), prefix[rows_of], x[at], gram[back[at]], a[back[at]])
             won = np.flatnonzero(good)
             pre = prefix[head]
-            for cols in (
-                (0 * told, block[rows_of], prefix[rows_of], x[told], gram[back[told]], a[back[told]]),
-                (0 * won + 1, 0 * won, pre[k[start[won]]], x[start[won]], gram[won], a[won]),
-                (0 * head + 2, 0 * head, pre, 0 * head, top, total),
-            ):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            yield say(1, 0, pre[k[start[won]]], x[start[won]], gram[won], a[won])
+            yield say(2, 0, pre, 0 * head, top, total)
 
         rows, size, last = [], 0, None
         for batch in batches:
@@ -232,23 +286,27 @@ def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
             prefix, part = (batch.column(c).to_numpy() for c in ("prefix", "part"))
             if size >= at_once:
                 same = (prefix == last[0]) & (part == last[1])
-                cut_at = int(np.argmin(same)) if not same.all() else len(same)
-                rows.append(batch.slice(0, cut_at))
-                if cut_at < len(same):
+                end = int(np.argmin(same)) if not same.all() else len(same)
+                rows.append(batch.slice(0, end))
+                batch = batch.slice(end)
+                if batch.num_rows:
                     yield from merge(rows)
                     rows, size = [], 0
-                    batch = batch.slice(cut_at)
-                else:
-                    batch = None
-            if batch is not None:
+            if batch.num_rows:
                 rows.append(batch)
-                size += len(batch.column("after").flatten())
+                # an entry takes some three bytes
+                size += batch.column("stripe").nbytes // 3
             last = prefix[-1], part[-1]
         if rows:
             yield from merge(rows)
 
     placed = each.repartition("prefix", "part").sortWithinPartitions("prefix", "part")
-    return cut(placed.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "phrase-stripes")
+    return cut(placed.mapInArrow(run, fields), "phrase-stripes")
+
+
+def said(stripe: DataFrame, kind: int) -> DataFrame:
+    """Rows prefix, after, gram, a of one kind."""
+    return stripe.filter(F.col("kind") == kind).select(F.inline(F.arrays_zip(*MERGED)))
 
 
 def with_parts(grams: DataFrame, shorter: DataFrame, first: bool) -> DataFrame:
@@ -290,8 +348,8 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: i
     found = []
     for n in range(2, longest + 1):
         stripe = merged(stripes(state, share), least)
-        shorter = cut(with_parts(stripe.filter("kind = 1").select("prefix", "after", "gram", "a"), shorter, n == 2), "phrases")
-        longer_first = stripe.filter("kind = 2").groupBy(F.col("prefix").alias("gram")).agg(F.max("gram").alias("first"))
+        shorter = cut(with_parts(said(stripe, 1), shorter, n == 2), "phrases")
+        longer_first = said(stripe, 2).groupBy(F.col("prefix").alias("gram")).agg(F.max("gram").alias("first"))
         longer_last = shorter.groupBy(F.col("tail").alias("gram")).agg(F.max("a").alias("last_a"))
         if found:
             grams, at = found[-1]

@@ -190,35 +190,53 @@ def failed_base() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
-    """stats without FEATURES, with score and base_failed."""
+def with_scores(stats: DataFrame, forests: list[Forest]) -> DataFrame:
+    """stats without FEATURES, with score and base_failed; of several forests each row is scored by the one of its `part`."""
     fields = [f for f in stats.schema.fields if f.name not in FEATURES]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in FEATURES])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(forest.scores(x))], [*names, "score"])
+            part = batch.column("part").to_numpy() if len(forests) > 1 else np.zeros(len(x), int)
+            score = np.zeros(len(x))
+            for k, forest in enumerate(forests):
+                score[part == k] = forest.scores(x[part == k])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], [*names, "score"])
 
     scored = stats.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "score double"]))
     return scored.withColumn("base_failed", failed_base())
 
 
-def sampled(rows: DataFrame, limit: int) -> np.ndarray:
-    """The features of about `limit` different rows, chosen by hash; only those leave their partitions."""
-    own = rows.select("doc_id", *FEATURES)
+#: Rows are calibrated in so many parts, each by a forest that grew from the others.
+PARTS = 4
+
+
+def with_part(stats: DataFrame) -> DataFrame:
+    """Rows with equal statistics are in one part."""
+    return stats.withColumn("part", F.pmod(F.xxhash64(*FEATURES), F.lit(PARTS)))
+
+
+def sampled(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features and parts of about `limit` different rows, chosen by hash; only those leave their partitions."""
+    own = rows.select("doc_id", *FEATURES, "part")
     n = own.count()
     some = own if n <= limit else own.filter(F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(n)) < limit)
-    x = some.distinct().select(*FEATURES).toPandas().to_numpy(float)
-    return x[np.lexsort(x.T)]
+    x = some.select(*FEATURES, "part").distinct().toPandas().to_numpy(float)
+    x = x[np.lexsort(x.T)]
+    return x[:, :-1], x[:, -1]
 
 
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_cost: float = 20.0, trees: int = 128) -> tuple[Forest, float]:
-    """The forest and the score from which it rejects, of the rule statistics of a whole table and labels of fold 0."""
-    labelled = cut(stats.join(known_labels(labels), "doc_id"), "labelled")
-    rows = sampled(labelled.filter("quality = 1"), fit_rows)
+    """The forest and the score from which it rejects, of the rule statistics of a whole table and labels of fold 0.
+
+    A forest gives the rows that it grew from lower scores than others like them. So the threshold is set on scores of
+    forests that the row took no part in.
+    """
+    labelled = cut(with_part(stats.join(known_labels(labels), "doc_id")), "labelled")
+    rows, part = sampled(labelled.filter("quality = 1"), fit_rows)
     supervised = len(rows) >= 2
-    rows = rows if supervised else sampled(stats, fit_rows)
+    rows, part = (rows, part) if supervised else sampled(with_part(stats), fit_rows)
     if not len(rows):
         return Forest(np.zeros((1, len(FEATURES))), np.zeros(len(FEATURES)), 1), float("inf")
     # of all rows: a statistic that only rare rows have must have a spread too
@@ -226,14 +244,16 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_cost: fl
     forest = Forest(rows, spread, trees)
     if not supervised:
         return forest, float("inf")
-    return forest, calibrate(with_scores(labelled, forest).filter(~F.col("base_failed")).select("score", "quality"), good_cost)
+    others = [rows[part != k] for k in range(PARTS)]
+    scored = with_scores(labelled, [Forest(x if len(x) else rows, spread, trees) for x in others])
+    return forest, calibrate(scored.filter(~F.col("base_failed")).select("score", "quality"), good_cost)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the BASE counts, base_failed, score and kept of every row; fit_rows bounds the sample that grows the forest."""
     stats = cut(rule_statistics(docs), "rule-statistics")
     forest, top = fit(stats, labels, **options)
-    scored = with_scores(stats, forest).select("doc_id", *BASE, "score", "base_failed")
+    scored = with_scores(stats, [forest]).select("doc_id", *BASE, "score", "base_failed")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(top)))
 
 

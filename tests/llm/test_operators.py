@@ -25,8 +25,15 @@ def sentence(n):
     return " ".join(RND.choice(VOCAB) for _ in range(n))
 
 
+@pytest.fixture(autouse=True)
+def own_draws():
+    """Each test draws the same, whatever ran before."""
+    RND.seed(11)
+
+
 @pytest.fixture(scope="module")
 def rows():
+    RND.seed(7)
     out = [(i, sentence(RND.randint(1, 80)), f"s{i % 3}") for i in range(60)]
     out += [(100, None, "s0"), (101, "", None), (102, " \n\t ", None), (103, sentence(4000), "s1"), (104, "one", "s2"), (105, "one two", None)]
     out += [(106, out[0][1], "s0"), (107, out[0][1] + " extra", "s1"), (8, out[8][1], out[8][2])]
@@ -146,6 +153,19 @@ def test_spread_is_of_all_rows(spark):
     assert (forest.feature == rules.FEATURES.index("f_symbols")).any()
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_few_labels_keep_all_clean_rows(spark, seed):
+    """The threshold is set on rows that did not grow the forest: their scores are those of other clean rows."""
+    RND.seed(seed)
+    prose = lambda n: " ".join("".join(RND.choice("abcdefgh") for _ in range(RND.randint(2, 9))) + RND.choice(["", "", "", ".", ","]) for _ in range(n))
+    clean = [(i, prose(RND.randint(40, 160)), "s") for i in range(300)]
+    junk = [(1000 + i, " ".join(w.upper() + "%%%" for w in prose(80).split()), "s") for i in range(30)]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(1000 + i, 0) for i in range(20)], "doc_id long, quality int")
+    assert rules.known_labels(labels).filter("quality = 1").count() < 40
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(frame(spark, clean + junk), labels).collect()}
+    assert all(got[i] == (i < 1000) for i in got)
+
+
 def test_forest_scores_as_plain_paths():
     rng = np.random.default_rng(3)
     rows = rng.normal(size=(300, 3))
