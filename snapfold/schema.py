@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: Column types of each table; every table also has owner_id, seq (order of its snapshot) and row_ord.
+#: Names of the format. Column types of each table; every table also has owner_id, seq (order of its snapshot) and row_ord.
 TABLES = {
     "Location": "LocationId long, BookNumber long, ChapterNumber long, DocumentId long, Track long, IssueTagNumber long, KeySymbol string, MepsLanguage long, Type long, Title string, Specialty string, Edition string",
     "UserMark": "UserMarkId long, ColorIndex long, LocationId long, StyleIndex long, UserMarkGuid string, Version long",
@@ -26,10 +26,17 @@ TABLES = {
 
 KEY = "owner_id long, seq int, row_ord long"
 
-#: Columns that make two places the same one.
+
+def has_id(table: str) -> bool:
+    """Whether a row has an integer id of its own in the first column; the others order their rows otherwise."""
+    name, kind = TABLES[table].split(", ")[0].split()
+    return kind == "long" and name == f"{table}Id"
+
+
+#: Columns that make two places the same one.
 LOCATION_IDENTITY = ("BookNumber", "ChapterNumber", "DocumentId", "Track", "IssueTagNumber", "KeySymbol", "MepsLanguage", "Type", "Specialty", "Edition")
 
-#: (child, column, parent, column)
+#: Fixed values: (child, column, parent, column)
 REFERENCES = (
     ("UserMark", "LocationId", "Location", "LocationId"),
     ("BlockRange", "UserMarkId", "UserMark", "UserMarkId"),

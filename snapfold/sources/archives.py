@@ -1,7 +1,8 @@
 """Snapshot archives (a ZIP of an SQLite file, a manifest and media files) as rows, and merged libraries as archives.
 
 Archives are read through Spark's binaryFile source and parsed one at a time by standard-library helpers; an unreadable
-one becomes an error row and stops nothing. Media bytes never move: only member names and sizes do.
+one becomes an error row and stops nothing. Reading takes only names and sizes of media; their bytes move once, when a merged
+library is written.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from snapfold.functions.keys import file_name, migration_version, stem
 from snapfold.operators.verify import CHECKS, REQUIRED, UNIQUES
-from snapfold.schema import KEY, REFERENCES, TABLES
+from snapfold.schema import KEY, REFERENCES, TABLES, has_id
 
 DATABASE, MANIFEST = "userData.db", "manifest.json"
 PARSED = "path string, kind string, name string, row_ord long, payload string, size long"
@@ -74,10 +75,11 @@ def _parse(content: bytes) -> Iterator[tuple]:
                     raise ValueError("not a library database")
                 yield "user_version", "", 0, str(db.execute("pragma user_version").fetchone()[0]), 0
                 for table in sorted(have & set(TABLES)):
-                    cursor = db.execute(f'select * from "{table}"')
-                    columns = [c[0] for c in cursor.description]
-                    for i, row in enumerate(cursor):
-                        ord_ = row[0] if isinstance(row[0], int) and table != "InputField" else i
+                    cursor = db.execute(f'select rowid, * from "{table}"')
+                    columns = [c[0] for c in cursor.description][1:]
+                    for place, *row in cursor:
+                        # rows of a table without ids of its own are told apart by their place in it
+                        ord_ = row[0] if has_id(table) and isinstance(row[0], int) else place
                         yield "row", table, ord_, json.dumps(dict(zip(columns, row))), 0
             finally:
                 db.close()
@@ -200,12 +202,15 @@ def member_bytes(files: DataFrame, plan: DataFrame) -> DataFrame:
     return files.select("path", "content").join(wanted, "path").select("content", "wanted").mapInPandas(run, "owner_id long, name string, content binary")
 
 
-def archive_bytes(tables: dict[str, DataFrame], manifests: DataFrame, media: DataFrame | None = None, version: int = 16) -> DataFrame:
+def archive_bytes(tables: dict[str, DataFrame], manifests: DataFrame, media: DataFrame | None = None, version: int = 16, hash_mode: str = "sha256") -> DataFrame:
     """owner_id and the bytes of an archive of each merged library.
 
     manifests: owner_id, manifest (JSON); media: owner_id, name, content (see member_bytes). The database has the whole
-    schema; its SHA-256 goes into the manifest. A library is one person's and fits a task.
+    schema. hash_mode sha256 puts its SHA-256, in the short hex form, into the manifest, empty an empty text, and keep leaves the
+    one there. A library is one person's and fits a task.
     """
+    if hash_mode not in ("sha256", "keep", "empty"):
+        raise ValueError(f"unknown hash_mode {hash_mode}")
     parts = [df.select("owner_id", F.lit(n).alias("name"), F.to_json(F.struct(*(c for c in df.columns if c != "owner_id")), {"ignoreNullFields": "false"}).cast("binary").alias("payload"), F.lit(False).alias("file")) for n, df in tables.items()]
     parts.append(manifests.select("owner_id", F.lit(MANIFEST).alias("name"), F.col("manifest").cast("binary").alias("payload"), F.lit(False).alias("file")))
     if media is not None:
@@ -239,8 +244,8 @@ def archive_bytes(tables: dict[str, DataFrame], manifests: DataFrame, media: Dat
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for payload in own.loc[own["name"] == MANIFEST, "payload"]:
                 manifest = json.loads(bytes(payload))
-                if "userDataBackup" in manifest:
-                    manifest["userDataBackup"]["hash"] = hashlib.sha256(content).hexdigest()
+                if "userDataBackup" in manifest and hash_mode != "keep":
+                    manifest["userDataBackup"]["hash"] = "".join(f"{b:x}" for b in hashlib.sha256(content).digest()) if hash_mode == "sha256" else ""
                 z.writestr(MANIFEST, json.dumps(manifest, ensure_ascii=False))
             z.writestr(DATABASE, content)
             for name, data in sorted(zip(group.loc[group["file"], "name"], group.loc[group["file"], "payload"])):
