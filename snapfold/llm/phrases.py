@@ -1,17 +1,18 @@
 """Phrase collocations: phrases of 2 to `longest` words that occur `least` times or more, scored by how much they stick together.
 
-Stripes pattern. Texts are packed into blocks of one language, whose words are numbered there. For each phrase of n words a block has a
-stripe: how often each word follows it, and how often none that matters does. Stripes of all blocks are dealt by phrase and
-merged elementwise; one merged stripe gives the phrase's extensions by a word (those counted `least` times or more are the
-phrases of n + 1 words), its total, and its largest extension, which decides whether a longer phrase takes its place. The
-extensions are told to the blocks that hold them, which then know where they stand; the next round looks only at places
-where both the first and the last n words are frequent, since no other can start a longer one. Counts are exact: words are
-compared by their bytes, phrases by the numbers of their parts.
+Stripes pattern. Texts are packed into blocks of one language, whose words are numbered there. For each phrase of n words a
+block has a stripe: how often each word follows it. Stripes of all blocks are dealt by phrase and merged elementwise; the merged
+stripes give the phrases of n + 1 words (extensions that occur `least` times or more) with their counts, which are also the
+totals of the stripes one word longer, and the largest extension of each phrase, which decides whether a longer one takes its
+place. The extensions are told to the blocks that hold them, which then know where they stand; the next round looks only at
+places where both the first and the last n words are frequent, since no other can start a longer one. Counts are exact:
+words are compared by their bytes, phrases by the numbers of their parts.
 
 A phrase's stripe is split by following word into one part for each `share` of its occurrences, which are known from the
-round before; so a phrase of a third of all rows is many small groups. Only stripes and answers are shuffled; texts are
-read once. Blocks stay where they are: their tables are bucketed by block, and only answers move. A block knows only its own
-words, and nothing is broadcast.
+round before; so a phrase of a third of all rows is many small groups. Parts are dealt in bundles, of which there are as many
+as shares in the number of words: a block sends a row for each bundle, not for each phrase. Only stripes and answers are
+shuffled; texts are read once. Blocks stay where they are: their tables are bucketed by block, and only answers move. A block
+knows only its own words, and nothing is broadcast.
 
 Scores: cutting a phrase after k words gives a * n / (l * r), of which the smallest counts. l and r are counts of the first
 and last words, which the rounds before found; products are decimals of 38 digits.
@@ -64,33 +65,36 @@ def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers, and where the bytes of each end."""
+def from_varints(data: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(data < 128) + 1
     start = np.append(0, ends[:-1])
     within = np.arange(len(data)) - np.repeat(start, ends - start)
-    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * within).astype(np.uint64), start).astype(np.int64), ends
+    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * within).astype(np.uint64), start).astype(np.int64)
 
 
-def stripe_bytes(after: np.ndarray, n: np.ndarray, start: np.ndarray) -> pa.Array:
-    """Of each stripe, which begin at `start`: how far each following word is from the one before, and its count."""
+def lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Runs of values, which begin at `first`."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values, pa.int64()))
+
+
+def stripe_bytes(after: np.ndarray, n: np.ndarray, start: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Of stripes that begin at `start`: how far each following word is from the one before, and its count. A value holds the
+    stripes from one of `first` to the next."""
     step = np.diff(after, prepend=0)
     step[start] = after[start]
     data, size = varints(np.column_stack([step, n]).ravel())
-    ends = np.cumsum(size.reshape(-1, 2).sum(axis=1))
-    offsets = np.append(0, ends[np.append(start[1:], len(after)) - 1] if len(start) else []).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    before = np.append(0, np.cumsum(size.reshape(-1, 2).sum(axis=1)))
+    offsets = before[np.append(first, len(after))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def from_stripes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Following words and counts of all stripes, and how many each stripe has."""
+def from_stripes(column: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Following words and counts of all stripes, which have so many entries."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    values, ends = from_varints(np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
-    bound = np.searchsorted(ends, offsets - offsets[0], side="right") // 2
-    step, n = values[::2], values[1::2]
-    total = np.cumsum(step)
-    before = np.append(0, total)[bound[:-1]]
-    return total - np.repeat(before, np.diff(bound)), n, np.diff(bound)
+    values = from_varints(np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    total, n = np.cumsum(values[::2]), values[1::2]
+    before = np.append(0, total)[np.cumsum(sizes) - sizes]
+    return total - np.repeat(before, sizes), n
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -204,8 +208,8 @@ def phrases_placed(block: pa.Table, answers: pa.Table) -> pa.Table:
     return state_row(row["block"], row["lang"], pos[at][hit], found[hit], last[at + 1][hit], new[order], a[order], words)
 
 
-def stripes(states: DataFrame, share: int) -> DataFrame:
-    """block, prefix, part, after (following words; 0 for none that matters) and n of each phrase in each block."""
+def stripes(states: DataFrame, share: int, bundles: int) -> DataFrame:
+    """bundle, block, and of the stripes in it prefix, size (entries) and stripe (following words and counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,19 +217,22 @@ def stripes(states: DataFrame, share: int) -> DataFrame:
                 _, gram, last, at = read(row)
                 grams, sizes, words = (np.array(row[c], np.int64) for c in ("grams", "sizes", "words"))
                 pairs, n = np.unique(gram[at] * len(words) + last[at + 1], return_counts=True)
-                prefix, after = pairs // max(1, len(words)), words[pairs % max(1, len(words))]
-                part = (mix64(after.view(np.uint64)) % (1 + sizes[prefix] // share).astype(np.uint64)).astype(np.int64)
-                rest = np.bincount(gram, minlength=len(grams)) - np.bincount(prefix, n, minlength=len(grams)).astype(np.int64)
-                other = np.flatnonzero(rest)
-                prefix, after, n = np.append(prefix, other), np.append(after, 0 * other), np.append(n, rest[other])
-                part = np.append(part, 0 * other)
-                order = np.lexsort((after, part, prefix))
-                prefix, after, n, part = (x[order] for x in (prefix, after, n, part))
-                start = np.flatnonzero(np.diff(prefix, prepend=-1) | np.diff(part, prepend=-1))
-                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row["block"])), pa.array(grams[prefix[start]]), pa.array(part[start]), stripe_bytes(after, n, start)], ["block", "prefix", "part", "stripe"])
-                yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
-
-    return states.mapInArrow(run, "block long, prefix long, part long, stripe binary")
+                if not len(pairs):
+                    continue
+                own, after = pairs // len(words), words[pairs % len(words)]
+                prefix = grams[own]
+                part = mix64(after.view(np.uint64)) % (1 + sizes[own] // share).astype(np.uint64)
+                bundle = (mix64(mix64(prefix.view(np.uint64)) + part) % np.uint64(bundles)).astype(np.int64)
+                order = np.lexsort((after, prefix, bundle))
+                bundle, prefix, after, n = (x[order] for x in (bundle, prefix, after, n))
+                start = np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | (np.diff(bundle, prepend=-1) != 0))
+                first = np.flatnonzero(np.diff(bundle[start], prepend=-1))
+                heads, data = lists(prefix[start], first), stripe_bytes(after, n, start, start[first])
+                size = lists(np.diff(np.append(start, len(after))), first)
+                out = pa.RecordBatch.from_arrays([pa.array(bundle[start[first]]), pa.array(np.full(len(first), row["block"])), heads, size, data], ["bundle", "block", "prefix", "size", "stripe"])
+                yield from (out.slice(i, 2_000) for i in range(0, out.num_rows, 2_000))
+
+    return states.mapInArrow(run, "bundle long, block long, prefix array<long>, size array<long>, stripe binary")
 
 
 MERGED = ("prefix", "after", "gram", "a")
@@ -234,9 +241,9 @@ MERGED = ("prefix", "after", "gram", "a")
 def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
     """kind, block, and arrays prefix, after, gram, a of merged stripes.
 
-    kind 0 tells a block which of its phrases are frequent; 1 are frequent phrases, numbered; 2 are totals of stripes (a) and their
-    largest extensions (gram). Parts of stripes are sorted by phrase and merged as they pass, some `at_once` counts or one part
-    at a time; a row holds what one such step has to say, to one block.
+    kind 0 tells a block which of its phrases are frequent; 1 are frequent phrases, numbered; 2 are prefixes with their largest
+    extension (a). Bundles are sorted and merged as they pass, some `at_once` counts or one bundle at a time; a row holds what
+    one such step has to say, to one block.
     """
     fields = ", ".join(["kind long", "block long", *(f"{c} array<long>" for c in MERGED)])
     every = wide(each)
@@ -249,46 +256,43 @@ def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
 
         def merge(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            whole = pa.Table.from_batches(rows).combine_chunks()
-            prefix, part, block = (numbers(whole, c) for c in ("prefix", "part", "block"))
-            after, n, size = from_stripes(pa.concat_arrays(whole.column("stripe").chunks))
-            key = np.cumsum((np.diff(prefix, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)) - 1
-            of = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((after, key[of]))
-            k, x = key[of][order], after[order]
-            start = np.flatnonzero((np.diff(k, prepend=-1) != 0) | (np.diff(x, prepend=-1) != 0))
+            whole = pa.Table.from_batches(rows)
+            joined = {c: pa.concat_arrays(whole.column(c).chunks) for c in ("block", "prefix", "size", "stripe")}
+            sizes = joined["size"].flatten().to_numpy()
+            stripes_in = joined["prefix"].value_lengths().to_numpy()
+            after, n = from_stripes(joined["stripe"], sizes)
+            prefix = np.repeat(joined["prefix"].flatten().to_numpy(), sizes)
+            block = np.repeat(np.repeat(joined["block"].to_numpy(), stripes_in), sizes)
+            order = np.lexsort((after, prefix))
+            prefix, after, block = prefix[order], after[order], block[order]
+            start = np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | (np.diff(after, prepend=-1) != 0))
             a = np.add.reduceat(n[order], start)
-            good = (a >= least) & (x[start] != 0)
+            good = a >= least
             gram = np.where(good, (number + np.cumsum(good) - 1) * every + own, 0)
             number += int(good.sum())
-            back = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
+            back = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(prefix))))
             told = np.flatnonzero(good[back])
-            head = np.flatnonzero(np.diff(key, prepend=-1))
-            top, total = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
-            np.maximum.at(top, k[start], np.where(x[start] != 0, a, 0))
-            np.add.at(total, k[start], a)
-            stripe = of[order[told]]
-            told = told[by := np.argsort(block[stripe], kind="stable")]
-            stripe = stripe[by]
-            to = np.flatnonzero(np.diff(block[stripe], prepend=-1))
+            told = told[np.argsort(block[told], kind="stable")]
+            to = np.flatnonzero(np.diff(block[told], prepend=-1))
             for lo, hi in zip(to, np.append(to[1:], len(told))):
-                at, rows_of = told[lo:hi], stripe[lo:hi]
-                yield say(0, int(block[rows_of[0]]), prefix[rows_of], x[at], gram[back[at]], a[back[at]])
-            won = np.flatnonzero(good)
-            pre = prefix[head]
-            yield say(1, 0, pre[k[start[won]]], x[start[won]], gram[won], a[won])
-            yield say(2, 0, pre, 0 * head, top, total)
+                at = told[lo:hi]
+                yield say(0, int(block[at[0]]), prefix[at], after[at], gram[back[at]], a[back[at]])
+            won = start[good]
+            yield say(1, 0, prefix[won], after[won], gram[good], a[good])
+            head = np.flatnonzero(np.diff(prefix[won], prepend=-1))
+            if len(head):
+                yield say(2, 0, prefix[won][head], 0 * head, 0 * head, np.maximum.reduceat(a[good], head))
 
         rows, size, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prefix, part = (batch.column(c).to_numpy() for c in ("prefix", "part"))
+            bundle = batch.column("bundle").to_numpy()
             if size >= at_once:
-                same = (prefix == last[0]) & (part == last[1])
+                same = bundle == last
                 end = int(np.argmin(same)) if not same.all() else len(same)
                 rows.append(batch.slice(0, end))
-                batch = batch.slice(end)
+                batch, bundle = batch.slice(end), bundle[end:]
                 if batch.num_rows:
                     yield from merge(rows)
                     rows, size = [], 0
@@ -296,12 +300,11 @@ def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
                 rows.append(batch)
                 # an entry takes some three bytes
                 size += batch.column("stripe").nbytes // 3
-            last = prefix[-1], part[-1]
+                last = bundle[-1]
         if rows:
             yield from merge(rows)
 
-    placed = each.repartition("prefix", "part").sortWithinPartitions("prefix", "part")
-    return cut(placed.mapInArrow(run, fields), "phrase-stripes")
+    return cut(each.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(run, fields), "phrase-stripes")
 
 
 def said(stripe: DataFrame, kind: int) -> DataFrame:
@@ -331,7 +334,7 @@ def scored(grams: DataFrame, totals: DataFrame, words: int) -> DataFrame:
     return grams.join(totals, "lang").withColumn("cut", F.array_min(F.array(*cuts))).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: int = 100, top: int = 2000, block_bytes: int = 16 << 20, share: int = 1 << 15) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: int = 100, top: int = 2000, block_bytes: int = 10 << 20, share: int = 1 << 15) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best `top` phrases of each language.
 
     A phrase goes if a longer one that holds it has `covered` hundredths of its count or more.
@@ -342,14 +345,16 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: i
     words = frequent_words(made, least)
     state = home.hold(made.select("block", "lang", "ids", "pos").groupBy("block").cogroup(words.select("block", "nth", "gram", "a").groupBy("block")).applyInArrow(words_placed, _STATE))
     totals = cut(totals, "phrase-totals")
+    # bundles of some `share` counts
+    bundles = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // share
     home.forget([state])
     one = words.groupBy("gram").agg(F.first("lang").alias("lang"), F.first("word").cast("string").alias("phrase"), F.first("a").alias("a"))
     shorter = cut(one.select("gram", F.lit(0).cast("long").alias("prefix"), F.col("gram").alias("after"), "lang", "phrase", F.col("phrase").alias("last"), F.lit(0).cast("long").alias("tail"), "a", F.array("a").alias("lead"), F.array("a").alias("rear")), "phrase-words")
     found = []
     for n in range(2, longest + 1):
-        stripe = merged(stripes(state, share), least)
+        stripe = merged(stripes(state, share, bundles), least)
         shorter = cut(with_parts(said(stripe, 1), shorter, n == 2), "phrases")
-        longer_first = said(stripe, 2).groupBy(F.col("prefix").alias("gram")).agg(F.max("gram").alias("first"))
+        longer_first = said(stripe, 2).groupBy(F.col("prefix").alias("gram")).agg(F.max("a").alias("first"))
         longer_last = shorter.groupBy(F.col("tail").alias("gram")).agg(F.max("a").alias("last_a"))
         if found:
             grams, at = found[-1]
