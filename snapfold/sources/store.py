@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapfold.sources.together import at_once
+
 
 class Store:
     """schemas: type of each table as DDL; each has owner_id. buckets is fixed for the life of a store."""
@@ -49,14 +51,22 @@ class Store:
     def buckets_of(self, owners: DataFrame) -> list[int]:
         return sorted(r[0] for r in owners.select(self.bucket().alias("b")).distinct().collect())
 
+    def _paths(self, name: str, at: list[tuple[int, int]]) -> list[str]:
+        return [p for p in (f"{self.path}/table={name}/bucket={k}/run={r}" for k, r in at) if self._fs.exists(self._at(p))]
+
+    def _where(self, buckets: list[int] | None) -> list[tuple[int, int]]:
+        return [(k, r) for k, r in self.current().items() if buckets is None or k in buckets]
+
+    def filled(self, owners: DataFrame) -> set[str]:
+        """Tables that have files in the buckets of these owners."""
+        at = self._where(self.buckets_of(owners))
+        return {n for n in self.schemas if self._paths(n, at)}
+
     def _read(self, buckets: list[int] | None) -> dict[str, DataFrame]:
-        now = self.current()
-        at = [(k, r) for k, r in now.items() if buckets is None or k in buckets]
-        out = {}
+        at, out = self._where(buckets), {}
         for name, ddl in self.schemas.items():
-            schema, top = T.StructType.fromDDL(ddl), f"{self.path}/table={name}"
-            paths = [p for p in (f"{top}/bucket={k}/run={r}" for k, r in at) if self._fs.exists(self._at(p))]
-            found = self.spark.read.schema(schema).option("basePath", top).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+            schema, paths = T.StructType.fromDDL(ddl), self._paths(name, at)
+            found = self.spark.read.schema(schema).option("basePath", f"{self.path}/table={name}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
             out[name] = found.select(*schema.names)
         return out
 
@@ -73,7 +83,9 @@ class Store:
             return
         own = owners.select("owner_id").distinct()
         touched = self.buckets_of(own)
-        for name, old in self._read(touched).items():
+        at = self._where(touched)
+
+        def write(name: str, old: DataFrame) -> None:
             rows = old.join(own, "owner_id", "left_anti")
             if name in tables:
                 fields = T.StructType.fromDDL(self.schemas[name])
@@ -82,6 +94,8 @@ class Store:
                 self._fs.delete(self._at(f"{self.path}/table={name}/bucket={k}/run={run}"), True)
             placed = rows.withColumns({"bucket": self.bucket(), "run": F.lit(run)}).repartition("bucket", "owner_id").sortWithinPartitions("bucket", "owner_id")
             placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "run").parquet(f"{self.path}/table={name}")
+
+        at_once([lambda n=n, df=df: write(n, df) for n, df in self._read(touched).items() if n in tables or self._paths(n, at)])
         self._point(self.current() | dict.fromkeys(touched, run), run)
 
     def _point(self, now: dict[int, int], run: int) -> None:

@@ -84,8 +84,9 @@ def sync_batch(sources: Store, library: Store, due: DataFrame, run: int, now: st
     if ready.isEmpty():
         return
     shifted = {n: df.join(ready.select("owner_id", "base"), "owner_id").withColumn("seq", F.col("seq") + F.col("base")).drop("base") for n, df in found.items()}
-    base = jobs.as_base({n: there[n] for n in TABLES})
-    both = {n: base[n].select(*shifted[n].columns).join(ready, "owner_id", "left_semi").unionByName(shifted[n]) for n in TABLES}
+    there_is = [n for n in TABLES if n in sources.filled(ready) | library.filled(ready)]
+    base = jobs.as_base({n: there[n] for n in there_is})
+    both = {n: base[n].select(*shifted[n].columns).join(ready, "owner_id", "left_semi").unionByName(shifted[n]) for n in there_is}
     members = shifted["Member"].unionByName(there["Member"].join(ready, "owner_id", "left_semi").select("owner_id", F.lit(0).alias("seq"), "member"))
     done = jobs.merge_together(both, members, now, **options)
 
@@ -97,7 +98,7 @@ def sync_batch(sources: Store, library: Store, due: DataFrame, run: int, now: st
 
     good = judged.filter("ok").select("owner_id")
     keep = lambda fresh, old: fresh.join(good, "owner_id", "left_semi").unionByName(old.join(judged, "owner_id", "left_semi").join(good, "owner_id", "left_anti"))
-    out = {n: keep(done.tables[n], there[n]) for n in TABLES}
+    out = {n: keep(done.tables[n], there[n]) for n in {*there_is, "LastModified"}}
     out["Member"] = keep(done.media_plan.select("owner_id", "member").distinct(), there["Member"])
     out["State"] = incremental.next_state(there["State"].join(judged, "owner_id", "left_semi"), judged)
     out["Run"] = incremental.keep_runs(there["Run"].join(judged, "owner_id", "left_semi").unionByName(judged.drop("fingerprint")))

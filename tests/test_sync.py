@@ -76,32 +76,44 @@ def run(spark, folder, sources, library, checkpoint):
     return sync.sync(stream, sources, library, checkpoint, timedelta(seconds=30), buckets=4)
 
 
-def story(spark, top, crash):
-    """Two rounds of polls; in a crash the pointer of the first publication can't be written at first."""
-    library = Store(spark, f"{top}/library", sync.LIBRARY, buckets=4)
-    for last in (2, 3):
-        sources = libraries(spark, f"{top}/sources{last}", last)
-        poll(spark, f"{top}/polls", [(o, 1000 * last + s, f"f{o}{last}" if s or o != 4 else "moving") for o in range(6) for s in (0, 40)])
-        # a later poll of another owner lets the others' time pass; owner 4 has changed between its polls
-        poll(spark, f"{top}/polls", [(99, 1000 * last + 65, "z")])
-        if crash and last == 2:
-            point, library._point = library._point, lambda *a: (_ for _ in ()).throw(RuntimeError("killed"))
-            query = run(spark, f"{top}/polls", sources, library, f"{top}/checkpoint")
-            with pytest.raises(Exception, match="killed"):
-                query.awaitTermination(240)
-            assert library.current() == {}
-            library._point = point
-        assert run(spark, f"{top}/polls", sources, library, f"{top}/checkpoint").awaitTermination(240) is not False
-    return library
+def a_round(spark, top, library, last, killed=False):
+    """Polls of all owners, twice; `killed`: the pointer of the publication can't be written at first."""
+    sources = libraries(spark, f"{top}/sources{last}", last)
+    polls = [(o, 1000 * last + s, "moving" if o == 4 and not s else f"f{o}{last}") for o in range(6) for s in (0, 40)]
+    poll(spark, f"{top}/polls", polls)
+    # a later poll of another owner lets the others' time pass; owner 4 has changed between its polls
+    poll(spark, f"{top}/polls", [(99, 1000 * last + 65, "z")])
+    if killed:
+        point, library._point = library._point, lambda *a: (_ for _ in ()).throw(RuntimeError("killed"))
+        with pytest.raises(Exception, match="killed"):
+            run(spark, f"{top}/polls", sources, library, f"{top}/checkpoint").awaitTermination(240)
+        assert library.current() == {} and files(library)
+        library._point = point
+    assert run(spark, f"{top}/polls", sources, library, f"{top}/checkpoint").awaitTermination(240) is not False
+
+
+def names(spark, store, owner):
+    return sorted(r["Name"] for r in store.read()["Tag"].filter(F.col("owner_id") == owner).collect())
 
 
 def test_a_killed_job_ends_with_the_same_tables(spark, tmp_path):
-    one, two = story(spark, (tmp_path / "a").as_uri(), False), story(spark, (tmp_path / "b").as_uri(), True)
+    tops = [(tmp_path / n).as_uri() for n in "ab"]
+    one, two = (Store(spark, f"{top}/library", sync.LIBRARY, buckets=4) for top in tops)
+    a_round(spark, tops[0], one, 2)
+    a_round(spark, tops[1], two, 2, killed=True)
     rows = rows_of(one)
     assert rows == rows_of(two) and len(rows["Tag"]) > 10
+    # owner 5 has one snapshot, owner 99 none; owner 4 changed 25 seconds before the last poll
     state = {r["owner_id"]: r["fingerprint"] for r in one.read()["State"].collect()}
-    # owner 5 has one snapshot, owner 99 none; owner 4 settled on its second poll in no round
-    assert {0, 1, 2, 3} <= set(state) and not {5, 99} & set(state)
-    assert all(state[o] == f"f{o}3" for o in range(4))
-    assert all(r["ok"] and r["missing"] == 0 for r in one.read()["Run"].collect())
-    assert {r["owner_id"] for r in one.read()["Run"].collect()} == set(state) and set(TABLES) <= set(rows)
+    assert state == {o: f"f{o}2" for o in range(4)}
+    # what is published is the base of the next round
+    a_round(spark, tops[1], two, 3)
+    state = {r["owner_id"]: r["fingerprint"] for r in two.read()["State"].collect()}
+    assert {o: state[o] for o in range(4)} == {o: f"f{o}3" for o in range(4)} and not {5, 99} & set(state)
+    found = libraries(spark, f"{tops[1]}/again", 3).read()["Tag"]
+    for o in range(4):
+        both = {r["Name"] for r in found.filter(F.col("owner_id") == o).collect()} | {r.split("Name='")[1].split("'")[0] for r in rows["Tag"] if f"owner_id={o}," in r}
+        assert names(spark, two, o) == sorted(both)
+    runs = two.read()["Run"].collect()
+    assert all(r["ok"] and r["missing"] == 0 for r in runs) and {r["owner_id"] for r in runs} == set(state)
+    assert max(r["at"] for r in runs) > min(r["at"] for r in runs) and set(TABLES) <= set(rows)
