@@ -334,7 +334,7 @@ def scored(grams: DataFrame, totals: DataFrame, words: int) -> DataFrame:
     return grams.join(totals, "lang").withColumn("cut", F.array_min(F.array(*cuts))).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: int = 100, top: int = 2000, block_bytes: int = 10 << 20, share: int = 1 << 15) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: int = 100, top: int = 2000, block_bytes: int = 14 << 20, share: int = 1 << 17) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best `top` phrases of each language.
 
     A phrase goes if a longer one that holds it has `covered` hundredths of its count or more.
