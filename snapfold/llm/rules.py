@@ -241,11 +241,13 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 8192, good_cost: fl
         return Forest(np.zeros((1, len(FEATURES))), np.zeros(len(FEATURES)), 1), float("inf")
     # of all rows: a statistic that only rare rows have must have a spread too
     spread = np.array(stats.agg(*(F.stddev_pop(f) for f in FEATURES)).first(), float)
-    forest = Forest(rows, spread, trees)
     if not supervised:
-        return forest, float("inf")
-    others = [rows[part != k] for k in range(PARTS)]
-    scored = with_scores(labelled, [Forest(x if len(x) else rows, spread, trees) for x in others])
+        return Forest(rows, spread, trees), float("inf")
+    others = [x if len(x) else rows for x in (rows[part != k] for k in range(PARTS))]
+    # trees of as many rows each, since scores depend on that
+    sample = min(256, *map(len, others))
+    forest = Forest(rows, spread, trees, sample)
+    scored = with_scores(labelled, [Forest(x, spread, trees, sample) for x in others])
     return forest, calibrate(scored.filter(~F.col("base_failed")).select("score", "quality"), good_cost)
 
 
