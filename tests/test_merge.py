@@ -28,9 +28,9 @@ def actions(merged):
 
 
 def test_tags(spark):
-    rows = [(0, {"TagId": 1, "Type": 0, "Name": "Favorite"}), (0, {"TagId": 2, "Type": 1, "Name": "sermons"}), (1, {"TagId": 1, "Type": 0, "Name": "Favorite"}), (1, {"TagId": 7, "Type": 1, "Name": "songs"}), (2, {"TagId": 3, "Type": 2, "Name": "songs"})]
+    rows = [(0, {"TagId": 1, "Type": 0, "Name": "Favorite"}), (0, {"TagId": 2, "Type": 1, "Name": "walks"}), (1, {"TagId": 1, "Type": 0, "Name": "Favorite"}), (1, {"TagId": 7, "Type": 1, "Name": "recipes"}), (2, {"TagId": 3, "Type": 2, "Name": "recipes"})]
     done = merge.merge_tags(table(spark, "Tag", rows))
-    assert sorted((r["TagId"], r["Type"], r["Name"]) for r in done.rows.collect()) == [(1, 0, "Favorite"), (2, 1, "sermons"), (3, 1, "songs"), (4, 2, "songs")]
+    assert sorted((r["TagId"], r["Type"], r["Name"]) for r in done.rows.collect()) == [(1, 0, "Favorite"), (2, 1, "walks"), (3, 1, "recipes"), (4, 2, "recipes")]
     assert actions(done) == [(1, 1, "reused"), (1, 7, "added"), (2, 3, "added")]
 
 
