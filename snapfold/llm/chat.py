@@ -12,8 +12,8 @@ takes away again; a line feed in a role is written as "<|nl|>". The loss mask is
 points) of assistant texts in the formatted string.
 
 Edge cases: null texts and roles are empty; turns are in order of their number, then role and text; rows that repeat are
-turns of their own; a record of an unknown layout has null turns and null output, with its fingerprint, so that none is
-lost; an empty table gives an empty result; other columns are ignored. A record is one VARIANT value, which bounds it to
+turns of their own; a record whose array of turns is empty has no turns and an empty output; a record of an
+unknown layout has null turns and null output, with its fingerprint, so that none is lost; an empty table gives an empty result; other columns are ignored. A record is one VARIANT value, which bounds it to
 what Spark stores in one.
 """
 
@@ -24,6 +24,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapfold.llm.common import free_names
+
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -43,7 +45,7 @@ LAYOUTS = (
     ("array", "conversation.turns", "speaker", "text"),
 )
 
-#: Names of roles in other layouts.
+#: Names of roles in layouts whose role field is called otherwise than "role"; a "role" is taken as it is given.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -77,11 +79,12 @@ def field_paths(record: Column) -> Column:
 
 
 def _turn(role: Column, text: Column) -> Column:
-    role = F.coalesce(role, F.lit(""))
-    known = role
-    for other, name in ROLES.items():
-        known = F.when(role == other, name).otherwise(known)
-    return F.struct(known.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _named(role: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, role), role)
 
 
 def _mapped(record: Column, layout: tuple) -> Column:
@@ -90,7 +93,12 @@ def _mapped(record: Column, layout: tuple) -> Column:
         return F.array(*(_turn(F.lit(role), texts(paths)) for role, paths in layout[1]))
     _, path, role, text = layout
     rows = F.try_variant_get(record, f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-    return F.transform(rows, lambda x: _turn(x[role], x[text]))
+    return F.transform(rows, lambda x: _turn(x[role] if role == "role" else _named(x[role]), x[text]))
+
+
+def _empty(record: Column, path: str) -> Column:
+    """Whether a record holds an array without elements where a layout has its turns."""
+    return F.coalesce(F.size(F.try_variant_get(record, f"$.{path}", "array<variant>")) == 0, F.lit(False))
 
 
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple = LAYOUTS) -> DataFrame:
@@ -101,11 +109,14 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple =
     """
     named = sorted({p for x in layouts for p in required(x)})
     own = F.array_intersect(field_paths(F.col(record)), F.array(*map(F.lit, named)))
-    free = next(n for n in (f"paths{i or ''}" for i in range(len(records.columns) + 1)) if n not in records.columns)
+    (free,) = free_names(records, "paths")
     out = records.withColumn(free, own).withColumn("fingerprint", F.sha2(F.array_join(free, ","), 256))
     turns = F.lit(None).cast(TURNS)
     ordered = sorted(layouts, key=lambda x: len(required(x)))
-    # the last condition asked is the first to hold: exact fingerprints, then the layout with the most paths
+    # the last condition asked is the first to hold: exact fingerprints, then the layout with the most paths, then arrays
+    # of no turns, whose elements have no paths
+    for path in dict.fromkeys(x[1] for x in layouts if x[0] == "array"):
+        turns = F.when(_empty(F.col(record), path), F.array().cast(TURNS)).otherwise(turns)
     for x in ordered:
         turns = F.when(F.size(F.array_except(F.array(*map(F.lit, required(x))), F.col(free))) == 0, _mapped(F.col(record), x)).otherwise(turns)
     for x in ordered:
@@ -133,8 +144,9 @@ def formatted(rows: DataFrame) -> DataFrame:
     """Adds formatted (the chat text) and loss_spans (start from 0, length) to rows with turns."""
     parts = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
     tail = F.lit(END + "\n")
-    rows = rows.withColumn("_parts", parts)
-    done = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], tail)), "")
+    (own,) = free_names(rows, "parts")
+    rows = rows.withColumn(own, parts)
+    done = F.array_join(F.transform(own, lambda p: F.concat(p["head"], p["body"], tail)), "")
     # a running position over the turns of one record
     at = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
@@ -143,8 +155,8 @@ def formatted(rows: DataFrame) -> DataFrame:
         span = F.array(F.struct(start.alias("start"), size.alias("length")))
         return F.struct((start + size + F.length(tail)).alias("at"), F.when(p["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    spans = F.aggregate("_parts", at, step)["spans"]
-    return rows.withColumn("formatted", done).withColumn("loss_spans", spans).drop("_parts")
+    spans = F.aggregate(own, at, step)["spans"]
+    return rows.withColumn("formatted", done).withColumn("loss_spans", spans).drop(own)
 
 
 def read_back(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against brute force or an exact round trip, and on nulls, empty texts, repeats, clashing columns."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -256,14 +257,31 @@ def test_layouts_by_fingerprint(spark):
         # paths of two layouts: the one with more
         '{"prompt":"p","response":"r","system":"s"}': [("system", "s"), ("user", "p"), ("assistant", "r")],
         '{"prompt":"p","response":"r","question":"q"}': [("user", "p"), ("assistant", "r")],
+        # roles of "messages" are as given; an array without turns has none
+        '{"messages":[{"role":"human","content":"h"},{"role":"gpt","content":"g"},{"role":"bot","content":"b"}]}': [("human", "h"), ("gpt", "g"), ("bot", "b")],
+        '{"messages":[]}': [],
+        '{"conversation":{"turns":[]}}': [],
         '{"other":1}': None,
         '[]': None,
         '"text"': None,
     }
     rows = spark.createDataFrame(list(enumerate(records)), "id int, j string").selectExpr("id", "parse_json(j) as record", "'mine' as paths")
     got = chat.canonical_turns(rows).orderBy("id").collect()
-    assert [r["turns"] and [tuple(t) for t in r["turns"]] for r in got] == list(records.values())
+    assert [None if r["turns"] is None else [tuple(t) for t in r["turns"]] for r in got] == list(records.values())
     assert {r["paths"] for r in got} == {"mine"}
+    both = chat.digests(chat.formatted(chat.canonical_turns(rows.withColumnsRenamed({"id": "conv_id", "paths": "_parts"}).withColumn("parts", chat.F.lit(1)))))
+    done = {r["conv_id"]: r for r in both.collect()}
+    at = list(records).index('{"messages":[]}')
+    assert (done[at]["n_turns"], done[at]["loss_chars"], done[at]["formatted_chars"]) == (0, 0, 0)
+    given = chat.formatted(chat.canonical_turns(rows.withColumn("_parts", chat.F.lit("own")).withColumn("parts", chat.F.lit(2))))
+    assert {(r["_parts"], r["parts"]) for r in given.collect()} == {("own", 2)}
+
+
+def test_roles_of_rows_are_as_given(spark):
+    rows = [(1, 0, "human", "q"), (1, 1, "gpt", "a"), (1, 2, "assistant", "b")]
+    got = chat.digests(chat.formatted(chat.canonical_turns(chat.records_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).first()
+    assert got["turns_sha256"] == hashlib.sha256(b"human\nq\ngpt\na\nassistant\nb\n").hexdigest()
+    assert got["loss_chars"] == 1 and got["loss_sha256"] == hashlib.sha256(b"b").hexdigest()
 
 
 def test_field_paths(spark):
