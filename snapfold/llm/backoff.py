@@ -253,14 +253,21 @@ def log_scores(block: Block, alpha: float, words: int) -> np.ndarray:
     return sums[ends] - sums[ends - block.sizes]
 
 
-def block_numbers(docs: DataFrame, blocks: int, buckets: int) -> np.ndarray:
-    """Numbers for blocks that Spark's hash deals evenly to buckets."""
+#: Spark takes at most 100,000 buckets; twice as many blocks get numbers from the driver, more than that need none.
+MOST_BUCKETS = 20_000
+
+
+def block_numbers(docs: DataFrame, blocks: int, buckets: int) -> np.ndarray | None:
+    """Numbers for blocks that Spark's hash deals evenly to buckets; none where the blocks of a bucket are so many that
+    plain numbers are dealt evenly enough. The table has at most 80 rows for each of MOST_BUCKETS."""
+    if blocks > 2 * buckets:
+        return None
     spread = docs.sparkSession.range(8 * blocks + 64 * buckets).select("id", F.pmod(F.hash("id"), F.lit(buckets)).alias("bucket")).toPandas()
     nth = spread.groupby("bucket").cumcount()
     return spread.assign(nth=nth).sort_values(["nth", "bucket"])["id"].to_numpy()[:blocks].astype(np.int64)
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, part_bytes: int = 12 << 20) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 8 << 20, part_bytes: int = 12 << 20, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and perplexity of every row."""
     spark = docs.sparkSession
     # the place in the table tells repeated rows apart, so that they are dealt to all blocks
@@ -268,12 +275,13 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_by
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-size // part_bytes))
-    buckets = max(1, -(-blocks // 2))
+    buckets = min(most_buckets, max(1, -(-blocks // 2)))
     numbers = block_numbers(docs, blocks, buckets)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which = numbers[(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(blocks)).astype(np.int64)]
+            which = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+            which = which if numbers is None else numbers[which]
             yield from pack([pa.RecordBatch.from_arrays([pa.array(which), batch.column(1), batch.column(2)], ["block", "doc_id", "text"])])
 
     dealt = rows.select(deal.alias("block"), "doc_id", "text").mapInArrow(number, "block long, part binary")

@@ -523,7 +523,7 @@ def plain_backoff(rows):
 def test_backoff_against_plain_counts(spark, docs, rows):
     a, b = thue_morse(1024)
     odd = [(200, f"{a} {b} x", "s"), (201, f"{a} y x", "s"), (202, f"{b} {b} y", "s"), (203, " ".join(rows[3][1].split()[:9]), "s")]
-    for data, options in ((rows, {}), (rows + odd, {"block_bytes": 2000, "part_bytes": 3000}), (rows[:3], {"block_bytes": 1})):
+    for data, options in ((rows, {}), (rows + odd, {"block_bytes": 2000, "part_bytes": 3000}), (rows[:3], {"block_bytes": 1}), (rows, {"block_bytes": 500, "most_buckets": 3})):
         want, got = plain_backoff(data), Counter()
         for r in backoff.backoff_scores(frame(spark, data), **options).collect():
             got[r["doc_id"]] += round(r["log_score"] * 1e6)
