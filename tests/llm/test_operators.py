@@ -10,10 +10,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snapfold.llm import backoff, chat, licences, mixing, pieces, rules, similar, simhash, tokens, topk, weak
 from snapfold.llm.common import scratch_path
-from snapfold.llm.queries import tokenizer_path
+from snapfold.llm.queries import op6_top_k, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RND = random.Random(7)
@@ -434,6 +435,30 @@ def test_two_vectors_of_one_id_are_two_queries(spark):
     assert sorted(lists.values()) == [[(i, 4096 * x) for i, x in ids] for ids in ([(1, 8), (2, 7), (3, 6)], [(8, 8), (7, 7), (6, 6)])]
 
 
+def test_picked_rows_meet_every_row_but_themselves(spark):
+    """As the contract of op6 says, on rows without id, and rows that repeat an id, a vector or both."""
+    rng = np.random.default_rng(8)
+    data = [(i % 70 if i % 5 else None, (rng.normal(size=4) * 3).round(1).tolist()) for i in range(200)] + [(20, [9.0] * 4), (20, [9.0] * 4), (40, [9.0] * 4), (None, [9.0] * 4), (3, [9.0] * 4), (40, None), (60, [None] * 4)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    good = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in data if v and None not in v]
+    want = []
+    for n, (q, x) in enumerate(good):
+        if q is not None and q % 20 == 0:
+            best = sorted((-int(x @ v), i is None, i or 0) for m, (i, v) in enumerate(good) if m != n)[:20]
+            want.append((q, [(None if no else i, -s) for s, no, i in best]))
+    for options in ({}, {"bits": 2, "block_rows": 16, "query_rows": 3, "group_bytes": 400}):
+        lists = {}
+        for r in sorted(topk.top_k(frame, F.expr("vec_id % 20 = 0"), **options).collect(), key=lambda r: r["rank"]):
+            lists.setdefault((r["query_id"], r["query"]), []).append((r["vec_id"], r["score"]))
+        assert sorted(((q, x) for (q, _), x in lists.items()), key=str) == sorted(want, key=str)
+
+
+def test_op6_as_its_contract(spark, tmp_path):
+    spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (None, [3.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], str(r["vec_id"]), r["score"]) for r in op6_top_k(spark, str(tmp_path)).collect())
+    assert got == sorted((20, n, i, 4096 * s) for x in ([("None", 3), ("20", 2), ("1", 1)], [("None", 6), ("1", 2), ("20", 2)]) for n, (i, s) in enumerate(x, 1))
+
+
 def test_licences(spark):
     texts = {1: "Released under the MIT License.", 2: "mit licensed mit-license", 3: None, 4: "", 5: sentence(50), 6: "x Licensed under CC BY-NC 4.0. y", 7: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge", 8: "GNU General Public License; general public license"}
     got = {r["doc_id"]: r for r in licences.scan_licences(frame(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
