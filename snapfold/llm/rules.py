@@ -168,17 +168,10 @@ def calibrate(labelled: DataFrame, good_cost: float, bins: int = 4096) -> float:
 FOLDS = 2
 
 
-def known_labels(labels: DataFrame, rows: int | None = None, fold: int = 0) -> DataFrame:
-    """doc_id and quality of labels that have both, of one of two folds by id: thresholds are set on fold 0, and fold 1 is held out.
-
-    rows bounds a sample by id.
-    """
+def known_labels(labels: DataFrame, fold: int = 0) -> DataFrame:
+    """doc_id and quality of labels that have both, of one of two folds by id: thresholds are set on fold 0, and fold 1 is held out."""
     own = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) == fold)
-    if rows is None:
-        return own
-    n = own.count()
-    return own if n <= rows else own.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(n)) < rows)
+    return own.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) == fold)
 
 
 def held_out(judged: DataFrame, labels: DataFrame) -> DataFrame:

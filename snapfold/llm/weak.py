@@ -3,9 +3,9 @@
 Each labeller votes good, bad or not at all on the rule statistics of a text. The votes of all rows are counted by
 pattern (at most 3 ** labellers patterns), and expectation-maximisation on those counts estimates how often each labeller
 is right on good and on bad rows, without gold labels; the posterior of a row's votes by those accuracies is its training
-label. A logistic scorer over hashed words and word shapes is trained on about `train_rows` rows and scores every whole
-text. Rows whose score is below a threshold are rejected; it is calibrated on at most about `label_rows` labelled rows of
-one of two folds, a good one rejected weighing `good_cost` bad ones kept (0.5 without any).
+label. A logistic scorer over hashed words and word shapes is trained on all rows, by L-BFGS rounds whose gradients Spark
+sums over the table of features, and scores every whole text. Rows whose score is below a threshold are rejected; it is
+calibrated on all labelled rows of one of two folds, a good one rejected weighing `good_cost` bad ones kept (0.5 without any).
 
 Edge cases: null and blank texts have no features, score 0 and are rejected; repeated rows get equal results;
 labels without id or quality are ignored; an empty table gives an empty result; other columns are ignored.
@@ -13,15 +13,15 @@ labels without id or quality are ignored; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import Words, as_bytes, cut, mix64, slices, text_key
+from snapfold.llm.common import Words, as_bytes, cut, mix64, slices
 from snapfold.llm.rules import BASE, FEATURES, STATS, calibrate, known_labels, statistic_columns
 
 #: name: (votes bad if, votes good if); between the two, and on texts too short for it, a labeller does not vote.
@@ -73,8 +73,11 @@ for _b in b"#*$%&|<>":
     _CLASS[_b] = 5
 
 
-def hashed_features(texts: list[bytes], dims: int) -> Iterator[np.ndarray]:
-    """A (texts, dims) matrix for each run of texts: square roots of the shares of hashed words and word shapes."""
+def hashed_features(texts: list[bytes], dims: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of texts: how many features each has, the features' numbers, and how many words have them.
+
+    Half of the features are hashed words, half word shapes; `values` makes numbers of the counts.
+    """
     for lo, hi in slices(texts):
         w = Words(texts[lo:hi])
         with np.errstate(over="ignore"):
@@ -85,74 +88,182 @@ def hashed_features(texts: list[bytes], dims: int) -> Iterator[np.ndarray]:
         half = np.uint64(dims // 2)
         base = w.text * dims
         at = np.concatenate([base + (w.hash % half).astype(np.int64), base + (half + shape % half).astype(np.int64)])
-        counts = np.bincount(at, minlength=(hi - lo) * dims).reshape(hi - lo, dims)
-        yield np.sqrt(counts / np.maximum(1, w.counts)[:, None]).astype(np.float32)
-
-
-def train(x: np.ndarray, good: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
-    """Logistic weights (last: intercept) for soft labels, both classes weighing the same; Adam on all rows."""
-    weight = np.where(good >= 0.5, 0.5 / max(1e-9, (good >= 0.5).mean()), 0.5 / max(1e-9, (good < 0.5).mean())) / len(good)
-    w, m, v = (np.zeros(x.shape[1] + 1, np.float64) for _ in range(3))
-    for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50)))
-        e = ((p - good) * weight).astype(np.float32)
-        g = np.append(x.T @ e + decay * w[:-1], e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        counts = np.bincount(at, minlength=(hi - lo) * dims)
+        at = np.flatnonzero(counts)
+        yield np.bincount(at // dims, minlength=hi - lo), at % dims, counts[at]
+
+
+@dataclass
+class Rows:
+    """Rows of features: row of each entry, its feature and value; n rows."""
+
+    n: int
+    row: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+
+    @staticmethod
+    def of(size: np.ndarray, at: np.ndarray, counts: np.ndarray) -> Rows:
+        """Square roots of the shares of words that have a feature; each word has two."""
+        row = np.repeat(np.arange(len(size)), size)
+        words = np.bincount(row, weights=counts, minlength=len(size)) / 2
+        return Rows(len(size), row, at, np.sqrt(counts / words[row]))
+
+    def linear(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.x * w[self.at], minlength=self.n) + w[-1]
+
+    def loss(self, good: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Gradient of the summed logistic loss for soft labels, by weight and intercept; then the loss."""
+        z = self.linear(w)
+        e = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - good)
+        g = np.bincount(self.at, weights=e[self.row] * self.x, minlength=len(w) - 1)
+        return np.concatenate([g, [e.sum(), weight @ (np.logaddexp(0, z) - good * z)]])
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """The scorer's probability of good for each row; 0 for one without features."""
+        p = 1 / (1 + np.exp(-np.clip(self.linear(w), -50, 50)))
+        return np.where(np.bincount(self.row, minlength=self.n) > 0, p, 0.0)
+
+
+def minimise(loss: Callable[[np.ndarray], np.ndarray], size: int, decay: float = 1e-4, rounds: int = 200, memory: int = 10, close: float = 1e-6) -> np.ndarray:
+    """L-BFGS on a convex loss (its gradient, then its value) and a penalty on all weights but the last, until a round gains
+    less than `close` of the value."""
+
+    def whole(w: np.ndarray) -> tuple[np.ndarray, float]:
+        g = loss(w)
+        own = np.append(decay * w[:-1], 0.0)
+        return g[:-1] + own, float(g[-1] + own @ w / 2)
+
+    w = np.zeros(size)
+    g, value = whole(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, used = -g, []
+        for s, y in reversed(steps):
+            used.append((s @ d) / (s @ y))
+            d = d - used[-1] * y
+        if steps:
+            s, y = steps[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(steps, reversed(used)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, t = float(g @ d), 1.0
+        if slope > -1e-15:
+            break
+        while True:
+            g2, value2 = whole(w + t * d)
+            if value2 <= value + 1e-4 * t * slope or t < 1e-6:
+                break
+            t /= 2
+        if value2 > value:
+            break
+        if (g2 - g) @ d > 0:
+            steps = [*steps, (t * d, g2 - g)][-memory:]
+        gain, w, g, value = value - value2, w + t * d, g2, value2
+        if gain <= close * abs(value):
+            break
     return w
 
 
+def train(x: np.ndarray, good: np.ndarray, **options) -> np.ndarray:
+    """Logistic weights (last: intercept) for soft labels of rows at hand, both classes weighing the same."""
+    row, at = np.nonzero(x)
+    rows = Rows(len(x), row, at, x[row, at].astype(float))
+    weight = np.where(good >= 0.5, *class_weights((good >= 0.5).sum(), (good < 0.5).sum()))
+    return minimise(lambda w: rows.loss(good, weight, w), x.shape[1] + 1, **options)
+
+
+def class_weights(good: float, bad: float) -> tuple[float, float]:
+    return 0.5 / max(1, good), 0.5 / max(1, bad)
+
+
 def hashed(texts: list[bytes], linear: np.ndarray) -> np.ndarray:
     """The scorer's probability of good for each text; 0 for a text without words."""
-    dims = len(linear) - 1
-    z = np.concatenate([np.where(x.any(axis=1), x @ linear[:-1] + linear[-1], -np.inf) for x in hashed_features(texts, dims)] or [np.zeros(0)])
-    return np.where(z == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(z.astype(float), -50, 50))))
+    return np.concatenate([Rows.of(*f).scores(linear) for f in hashed_features(texts, len(linear) - 1)] or [np.zeros(0)])
 
 
 @dataclass
 class Model:
-    """votes: table of votes by row; posterior: by pattern; accuracy: of each labeller on good and bad rows; linear: scorer."""
+    """votes: table of patterns of votes and features by row; codes, posterior: of the patterns; accuracy: of each labeller
+    on good and bad rows; share: of good rows; counts: rows by pattern."""
 
     votes: DataFrame
-    posterior: dict[tuple, float]
+    codes: np.ndarray
+    posterior: np.ndarray
     accuracy: dict[str, tuple[float, float]]
     share: float
-    linear: np.ndarray
+    counts: np.ndarray
+    dims: int
 
+    def posteriors(self, codes: pa.Array) -> np.ndarray:
+        return self.posterior[np.searchsorted(self.codes, codes.to_numpy(zero_copy_only=False))]
 
-def learn(docs: DataFrame, dims: int = 2048, train_rows: int = 6000) -> Model:
-    """Votes of all rows and the model fitted on them, without labels; about train_rows rows, chosen by hash, train the scorer.
 
-    One pass reads the texts: it takes the statistics of all rows and the features of the chosen ones.
-    """
+def learn(docs: DataFrame, dims: int = 2048) -> Model:
+    """Votes and features of all rows, from one pass over their texts, and the accuracies fitted on all votes without labels."""
     names = list(LABELLERS)
-    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_key()), F.lit(max(1, docs.count()))) < train_rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), chosen.alias("chosen"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, pick = as_bytes(batch.column(3)), batch.column(2).to_pylist()
-            at, x = [None] * len(texts), [None] * len(texts)
-            where = [i for i, c in enumerate(pick) if c]
-            for i, row in zip(where, (r for m in hashed_features([texts[i] for i in where], dims) for r in m)):
-                at[i], x[i] = np.flatnonzero(row).astype(np.uint32).tobytes(), row[row > 0].astype(np.float32).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *statistic_columns(texts), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["doc_id", "text_key", *BASE, *FEATURES, "at", "x"])
-
-    votes = cut(rows.mapInArrow(read, f"{STATS}, at binary, x binary".replace("doc_id long,", "doc_id long, text_key binary,", 1)).select("doc_id", "text_key", "n_words", *vote_columns(), "at", "x"), "votes")
-    patterns = votes.groupBy(*names).count().collect()  # at most 3 ** labellers
+            texts, at, n = as_bytes(batch.column(1)), [], []
+            for size, a, c in hashed_features(texts, dims):
+                ends = np.cumsum(size)
+                for lo, hi in zip(ends - size, ends):
+                    at.append(a[lo:hi].astype("<u4" if dims > 1 << 16 else "<u2").tobytes())
+                    n.append(c[lo:hi].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *statistic_columns(texts), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", *BASE, *FEATURES, "at", "n"])
+
+    code = sum((v + 1) * 3**i for i, v in enumerate(vote_columns())).cast("int").alias("pattern")
+    votes = cut(rows.mapInArrow(read, f"{STATS}, at binary, n binary").select("doc_id", "n_words", code, "at", "n"), "votes")
+    patterns = sorted(votes.groupBy("pattern").count().collect())  # at most 3 ** labellers
+    codes, counts = np.array([r[0] for r in patterns], np.int64), np.array([r[1] for r in patterns], float)
     p, accuracy, share = np.zeros(0), np.zeros((2, len(names))), 0.5
     if patterns:
-        p, accuracy, share = expectation_maximisation(np.array([r[:-1] for r in patterns]), np.array([r[-1] for r in patterns], float))
-    posterior = {tuple(r[:-1]): float(x) for r, x in zip(patterns, p)}
-    # rows that repeat are chosen together and count once
-    sample = sorted(votes.filter("at is not null").select("doc_id", "text_key", *names, "at", "x").distinct().collect(), key=lambda r: (r[0] is None, r[0] or 0, bytes(r[1])))
-    linear = np.zeros(dims + 1)
-    if sample:
-        x = np.zeros((len(sample), dims), np.float32)
-        for i, r in enumerate(sample):
-            x[i, np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["x"], np.float32)
-        linear = train(x, np.array([posterior[tuple(r[2 : 2 + len(names)])] for r in sample]))
-    return Model(votes, posterior, {n: tuple(map(float, a)) for n, a in zip(names, accuracy.T)}, share, linear.astype(np.float32))
+        p, accuracy, share = expectation_maximisation(codes[:, None] // 3 ** np.arange(len(names)) % 3 - 1, counts)
+    return Model(votes, codes, p, {n: tuple(map(float, a)) for n, a in zip(names, accuracy.T)}, share, counts, dims)
+
+
+def features(batch: pa.RecordBatch, dims: int) -> Rows:
+    """Of a batch of `at` and `n`."""
+    at, n = (b"".join(batch.column(c).to_pylist()) for c in ("at", "n"))
+    size = np.array([len(x) for x in batch.column("n").to_pylist()], np.int64) // 4
+    return Rows.of(size, np.frombuffer(at, "<u4" if dims > 1 << 16 else "<u2"), np.frombuffer(n, "<u4"))
+
+
+def fit(model: Model, **options) -> np.ndarray:
+    """The scorer's weights, trained on all rows: each round sums the gradient over the whole table of features, and one sum
+    for each task (as many numbers as weights) passes the driver."""
+    dims, good = model.dims, model.posterior >= 0.5
+    if not model.counts.sum():
+        return np.zeros(dims + 1)
+    weights = class_weights(model.counts[good].sum(), model.counts[~good].sum())
+    rows = model.votes.select("pattern", "at", "n")
+    posteriors = replace(model, votes=None).posteriors
+
+    def loss(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(dims + 2)
+            for batch in batches:
+                p = posteriors(batch.column("pattern"))
+                total += features(batch, dims).loss(p, np.where(p >= 0.5, *weights), w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        return sum(np.frombuffer(r[0]) for r in rows.mapInArrow(run, "total binary").collect())
+
+    return minimise(loss, dims + 1, **options)
+
+
+def scored_rows(model: Model, linear: np.ndarray) -> DataFrame:
+    """doc_id, n_words, posterior and score of every row, from its features."""
+    posteriors, dims = replace(model, votes=None).posteriors, model.dims
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = pa.array(posteriors(batch.column("pattern"))), pa.array(features(batch, dims).scores(linear))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *columns], ["doc_id", "n_words", "posterior", "score"])
+
+    return cut(model.votes.mapInArrow(run, "doc_id long, n_words long, posterior double, score double"), "scores")
 
 
 def least_score(scored: DataFrame, good_cost: float) -> float:
@@ -161,25 +272,18 @@ def least_score(scored: DataFrame, good_cost: float) -> float:
     return 0.5 if top == float("inf") else 1 - top
 
 
-def classify(docs: DataFrame, labels: DataFrame, good_cost: float = 20.0, label_rows: int = 50_000, **options) -> DataFrame:
-    """doc_id, n_words, posterior (of the votes), score (of the scorer, 1: good) and kept of every row."""
+def judged(docs: DataFrame, labels: DataFrame, good_cost: float, **options) -> tuple[DataFrame, np.ndarray, float]:
+    """scored_rows of docs, the scorer's weights, and the score above which rows are kept."""
     model = learn(docs, **options)
-    spark, names, linear = docs.sparkSession, list(LABELLERS), model.linear
-    table = spark.createDataFrame([(*k, p) for k, p in model.posterior.items()], ", ".join([*(f"{n} int" for n in names), "posterior double"]))
-    labelled = model.votes.join(F.broadcast(table), names).select("doc_id", "text_key", "n_words", "posterior")  # at most 3 ** labellers rows
+    linear = fit(model)
+    scored = scored_rows(model, linear)
+    return scored, linear, least_score(scored.join(known_labels(labels), "doc_id"), good_cost)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashed(as_bytes(batch.column(2)), linear))], ["doc_id", "text_key", "score"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
-    scored = cut(texts.mapInArrow(score, "doc_id long, text_key binary, score double"), "scores")
-    known = known_labels(labels, label_rows)
-    least = least_score(scored.join(F.broadcast(known), "doc_id"), good_cost)  # about label_rows rows
-    # rows of one id and text are joined once: equal texts have equal scores
-    by_text = scored.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.min("score").alias("score"))
-    out = labelled.join(by_text, labelled["doc_id"].eqNullSafe(F.col("_id")) & (labelled["text_key"] == F.col("_key")))
-    return out.select("doc_id", "n_words", "posterior", "score", (F.col("score") > F.lit(least)).alias("kept"))
+def classify(docs: DataFrame, labels: DataFrame, good_cost: float = 20.0, **options) -> DataFrame:
+    """doc_id, n_words, posterior (of the votes), score (of the scorer, 1: good) and kept of every row."""
+    scored, _, least = judged(docs, labels, good_cost, **options)
+    return scored.withColumn("kept", F.col("score") > F.lit(least))
 
 
 def labellers(docs: DataFrame, **options) -> DataFrame:
@@ -188,15 +292,12 @@ def labellers(docs: DataFrame, **options) -> DataFrame:
     return docs.sparkSession.createDataFrame([(n, *a) for n, a in model.accuracy.items()], "labeller string, good_accuracy double, bad_accuracy double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, good_cost: float = 20.0, label_rows: int = 50_000, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, good_cost: float = 20.0, **options) -> DataFrame:
     """The rows of docs that the classifier keeps, each judged by its own text where it is read: no row is moved or joined."""
-    linear = learn(docs, **options).linear
+    _, linear, least = judged(docs, labels, good_cost, **options)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(hashed(as_bytes(texts), linear))
 
-    own = score(F.col("text").cast("binary"))
-    known = known_labels(labels, label_rows)
-    least = least_score(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", own.alias("score")), good_cost)  # about label_rows rows
-    return docs.filter(own > F.lit(least))
+    return docs.filter(score(F.col("text").cast("binary")) > F.lit(least))

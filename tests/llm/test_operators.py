@@ -585,6 +585,36 @@ def test_weak_labels_find_planted_junk(spark):
     assert weak.keep_good(frame_, labels).columns == frame_.columns
 
 
+def test_scorer_and_threshold_are_of_all_rows(spark):
+    """The sums over the table give what training on all its rows at hand gives; every label of fold 0 sets the threshold."""
+    data = [(i, sentence(RND.randint(20, 60)) if i % 4 else " ".join(["spam"] * 60), "s") for i in range(9000)]
+    docs = frame(spark, data).repartition(3)
+    model = weak.learn(docs, dims=64)
+    assert model.counts.sum() == len(data)
+    got = weak.fit(model)
+    order = docs.select("doc_id", "text").collect()
+    x = np.zeros((len(order), 64))
+    for k, r in enumerate(order):
+        size, at, n = next(weak.hashed_features([r["text"].encode()], 64))
+        x[k, at] = np.sqrt(n / len(r["text"].split()))
+    posterior = {r["doc_id"]: r["posterior"] for r in weak.scored_rows(model, got).collect()}
+    want = weak.train(x, np.array([posterior[r["doc_id"]] for r in order]))
+    assert np.allclose(got, want, atol=1e-4) and np.abs(want).max() > 1
+    scored, linear, _ = weak.judged(docs, spark.range(60_000).selectExpr("id as doc_id", "1 as quality"), 20.0, dims=64)
+    assert np.array_equal(linear, got) and scored.count() == len(data)
+    assert np.allclose([r["score"] for r in scored.orderBy("doc_id").collect()], weak.hashed([t.encode() for _, t, _ in data], linear))
+    many = spark.range(120_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert rules.known_labels(many).count() > 55_000
+
+
+def test_minimise_finds_the_least():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(40, 8))
+    b = rng.normal(size=40)
+    w = weak.minimise(lambda w: np.append(a.T @ (a @ w - b), ((a @ w - b) ** 2).sum() / 2), 8, decay=0.3, close=1e-12)
+    assert np.allclose(w, np.linalg.solve(a.T @ a + np.diag([0.3] * 7 + [0.0]), a.T @ b), atol=1e-4)
+
+
 def test_empty_tables(spark, none, labels):
     model, tok = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("word_bpe_49k.json")
     path = scratch_path(spark, "records")
