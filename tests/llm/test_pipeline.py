@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from snapfold.llm import similar
+from snapfold.llm import similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RND = random.Random(3)
@@ -63,6 +63,30 @@ def test_near_copies_from_08_are_linked(spark):
     assert similar.keep_one(docs.limit(0)).count() == 0
 
 
+def test_first_links_are_of_the_fingerprint_tree(spark):
+    """The stage's points go through SimHash and the tree of op5 whole; only pairs of similar sets become links."""
+    rows = copies() + [(9200, "a b c d e f"), (9201, "A b  c d e f")]
+    own = similar.numbered_points(similar.keyed(frame(spark, rows)), 5)
+    points = {r["node"]: r for r in own.collect()}
+    for r in points.values():
+        assert r["fp"] == simhash.fingerprint(bytes(r["text"] or b""), 5, 42)
+    pairs = [(r["a"], r["b"]) for r in similar.tree_pairs(own, 3, leaf_rows=16, tree_rows=50).collect()]
+    for linked in (pairs, [(a, b) for a, b in itertools.combinations(points, 2) if ((points[a]["fp"] ^ points[b]["fp"]) & (1 << 64) - 1).bit_count() <= 3]):
+        label = {n: n for n in points}
+        for a, b in linked:
+            if label[a] != label[b]:
+                x, y = label[a], label[b]
+                label = {n: x if v == y else v for n, v in label.items()}
+        groups = {frozenset(n for n in points if label[n] == v) for v in set(label.values())}
+        assert linked is pairs or groups == before
+        before = groups
+    assert any(len(g) > 1 for g in groups)
+    links = {(r["a"], r["b"]) for r in similar.similar_pairs(similar.tree_pairs(own, 3), own, 5, 80).collect()}
+    sets = {n: shingles(bytes(r["text"] or b"").decode()) for n, r in points.items()}
+    assert links and links <= set(map(tuple, itertools.combinations(sorted(points), 2)))
+    assert all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in links)
+
+
 def test_bitmaps_differ_in_no_more_bits_than_sets_do():
     rng, tight = np.random.default_rng(4), 0
     for _ in range(300):
