@@ -26,7 +26,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,7 +124,7 @@ class WordTable:
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text: every distinct word of a run of texts is looked up once and joined back by position."""
         known, segment = self.words.get, self.segment
-        for lo, hi in slices(texts, 2 << 20):
+        for lo, hi in slices(texts):
             # lower-casing ASCII early is safe but for combining marks (lead bytes CC and CD), which may compose with a letter
             w = Words([t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts[lo:hi]])
             first, place = w.distinct()
@@ -171,10 +170,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, s
     # the ids between shards are few numbers, so each row knows its shard without the sampling pass of a range shuffle
     cuts = np.array(shard_cuts(cut(rows.select(at.alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "sizes"), shard_bytes), np.int64)
 
-    @F.pandas_udf("int")
-    def shard(at: pd.Series, spread: pd.Series) -> pd.Series:
-        low, high = np.searchsorted(cuts, at.to_numpy(), "left"), np.searchsorted(cuts, at.to_numpy(), "right")
-        return pd.Series((low + (spread.to_numpy() * (high - low + 1) >> 20)).astype(np.int32))
+    @F.arrow_udf("int")
+    def shard(at: pa.Array, spread: pa.Array) -> pa.Array:
+        low, high = (np.searchsorted(cuts, at.to_numpy(zero_copy_only=False), side) for side in ("left", "right"))
+        return pa.array((low + (spread.to_numpy(zero_copy_only=False) * (high - low + 1) >> 20)).astype(np.int32))
 
     # rows of one id are told apart by text and place in the table, so that an id of any size is cut too
     spread = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20))

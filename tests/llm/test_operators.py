@@ -345,6 +345,14 @@ def test_shards_are_cut_by_size_also_inside_an_id(spark):
     assert len({r["shard"] for r in index if r["doc_id"] is None}) > 2
 
 
+def test_workers_encode_small_runs_of_texts(monkeypatch):
+    """What a worker holds beside its table of words stays within one megabyte of text, and pandas isn't loaded for it."""
+    seen, words = [], tokens.Words
+    monkeypatch.setattr(tokens, "Words", lambda texts: seen.append(sum(map(len, texts))) or words(texts))
+    assert len(list(tokens.WordTable(tokenizer_path("word_bpe_49k.json")).encode([b"ab " * 1000] * 1500))) == 1500
+    assert sum(seen) == 4_500_000 and max(seen) <= 1 << 20 and not hasattr(tokens, "pd")
+
+
 def test_damage_is_found():
     data = tokens.frame(tokens.pack(None, np.array([1, 70000], "<u4"))) + tokens.frame(b"xy")
     assert [tokens.unpack(p)[0] for _, p in itertools.islice(tokens.frames(data), 1)] == [None]
