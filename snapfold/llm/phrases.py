@@ -9,8 +9,9 @@ places where both the first and the last n words are frequent, since no other ca
 words are compared by their bytes, phrases by the numbers of their parts.
 
 A phrase's stripe is split by following word into one part for each `share` of its occurrences, which are known from the
-round before; so a phrase of a third of all rows is many small groups. Parts are dealt in bundles, of which there are as many
-as shares in the number of words: a block sends a row for each bundle, not for each phrase. Only stripes and answers are
+round before; so a phrase of a third of all rows is many small groups. Parts are dealt in bundles, one for each task that
+merges and at most `_BUNDLES`: a block sends a row for each bundle and each `most` counts, so rows grow in proportion to the
+input. All blocks sort a bundle by phrase, so its rows are merged as they pass. Only stripes and answers are
 shuffled; texts are read once. Blocks stay where they are: their tables are bucketed by block, and only answers move. A block
 knows only its own words, and nothing is broadcast.
 
@@ -32,23 +33,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import Words, as_bytes, cut, mix64
+from snapfold.llm.common import Words, as_bytes, cut, mix64, slices
 from snapfold.sources.together import Together
 
 #: Lower case, and one mark for all that ends a piece; blanks and tabs stay.
 _PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bundles of stripes at most; more would leave a block few counts for each.
+_BUNDLES = 1024
 _STATE = "block long, lang string, pos binary, gram binary, last binary, grams array<long>, sizes array<long>, words array<long>"
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32, compressed by byte planes."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def packed(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers, below 2 ** 32 unless kind is longer, compressed by byte planes."""
+    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1 if len(x) else 1).T).tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
 def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +107,27 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """
 
     def row(block: int, lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
-        w = Words([t.translate(_PLAIN) for t in texts])
-        if not len(w.start):
+        numbers: dict[bytes, int] = {}
+        ids, pos, free = [], [], 0
+        for lo, hi in slices(texts):
+            w = Words([t.translate(_PLAIN) for t in texts[lo:hi]])
+            if not len(w.start):
+                continue
+            (first, place), joined = w.distinct(), w.buf.tobytes()
+            own = np.array([numbers.setdefault(joined[i:j], len(numbers)) for i, j in zip(w.start[first].tolist(), w.end[first].tolist())], np.int32)
+            ids.append(own[place])
+            ends = np.searchsorted(np.flatnonzero(w.buf == 10), w.start)
+            pos.append(free + np.arange(len(ends)) + np.cumsum(np.diff(ends, prepend=ends[0]) > 0))
+            free = pos[-1][-1] + 2
+        if not ids:
             return None
-        first, place = w.distinct()
+        place, pos = np.concatenate(ids), np.concatenate(pos)
         counts = np.bincount(place)
         order = np.argsort(-counts, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        ends = np.searchsorted(np.flatnonzero(w.buf == 10), w.start)
-        pos = np.arange(len(ends)) + np.cumsum(np.diff(ends, prepend=ends[0]) > 0)
-        words = [w.word(i) for i in first[order].tolist()]
+        words = list(numbers)
+        words = [words[i] for i in order.tolist()]
         each = [[block], [lang], [words], [counts[order]], [packed(rank[place])], [packed(np.diff(pos, prepend=0))]]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(each, (pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["block", "lang", "words", "counts", "ids", "pos"])
 
@@ -130,11 +143,13 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             size = 0
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= block_bytes:
-                    yield from flush()
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                for lang, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
+                    held.setdefault(lang, []).append(text)
+                    size += len(text)
+                    if size >= block_bytes:
+                        yield from flush()
         yield from flush()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
@@ -152,13 +167,40 @@ def frequent_words(made: DataFrame, least: int) -> DataFrame:
     return cut(each.filter(F.col("a") >= least).select("block", "nth", "gram", "a", "lang", "word"), "phrase-words")
 
 
+def told(words: DataFrame, at_once: int = 500_000) -> DataFrame:
+    """block, and nth, gram and a of its frequent words as packed numbers: a row for each block of some `at_once` rows."""
+
+    def rows(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(batches)
+        block, *each = (numbers(whole, c) for c in ("block", "nth", "gram", "a"))
+        order = np.lexsort((each[0], block))
+        block, nth, gram, a = (x[order] for x in (block, *each))
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(block)]))
+        columns = [[packed(np.diff(nth[i:j], prepend=0)) for i, j in cuts], *([packed(x[i:j], "<u8") for i, j in cuts] for x in (gram, a))]
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), *(pa.array(c, pa.binary()) for c in columns)], ["block", "nth", "gram", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= at_once:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
+
+    return words.select("block", "nth", "gram", "a").mapInArrow(run, "block long, nth binary, gram binary, a binary")
+
+
 def wide(df: DataFrame) -> int:
     """At least as many as a shuffle has partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def state_row(block: int, lang: str, pos, gram, last, grams, sizes, words) -> pa.Table:
-    each = [[block], [lang], [packed(np.diff(pos, prepend=0))], [packed(gram)], [packed(last)], [grams], [sizes], [words]]
+    """last: None where it is the same as gram."""
+    each = [[block], [lang], [packed(np.diff(pos, prepend=0))], [packed(gram)], [None if last is None else packed(last)], [grams], [sizes], [words]]
     kinds = (pa.int64(), pa.string(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 3)
     return pa.table([pa.array(x, t) for x, t in zip(each, kinds)], names=["block", "lang", "pos", "gram", "last", "grams", "sizes", "words"])
 
@@ -170,35 +212,45 @@ def numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
 
+def only(table: pa.Table | pa.RecordBatch, i: int = 0) -> dict:
+    """Row i; its lists are numpy arrays."""
+    row = {c: table.column(c)[i] for c in table.schema.names}
+    return {c: x.values.to_numpy() if isinstance(x, pa.ListScalar) else x.as_py() for c, x in row.items()}
+
+
 def words_placed(block: pa.Table, answers: pa.Table) -> pa.Table:
     """State of a block: the places of frequent words, and which of `grams` (with count `sizes`) and `words` stands there."""
     if not block.num_rows or not answers.num_rows:
         return _NONE
-    row = block.to_pylist()[0]
+    row = only(block)
     ids, pos = unpacked(row["ids"]), np.cumsum(unpacked(row["pos"]))
-    nth, gram, a = (numbers(answers, c) for c in ("nth", "gram", "a"))
+    nth = np.concatenate([np.cumsum(unpacked(x)) for x in answers.column("nth").to_pylist()])
+    gram, a = (np.concatenate([unpacked(x, "<u8") for x in answers.column(c).to_pylist()]) for c in ("gram", "a"))
+    order = np.argsort(nth)
+    nth, gram, a = nth[order], gram[order], a[order]
     new = np.full(int(ids.max()) + 1, -1)
     new[nth] = np.arange(len(nth))
     at = new[ids]
     keep = at >= 0
-    return state_row(row["block"], row["lang"], pos[keep], at[keep], at[keep], gram, a, gram)
+    return state_row(row["block"], row["lang"], pos[keep], at[keep], None, gram, a, gram)
 
 
 def read(state: dict) -> tuple[np.ndarray, ...]:
     """pos, gram and last of a block, and where a frequent phrase starts at this place and at the next."""
     pos = np.cumsum(unpacked(state["pos"]))
-    return pos, unpacked(state["gram"]), unpacked(state["last"]), np.flatnonzero(pos[1:] == pos[:-1] + 1)
+    gram = unpacked(state["gram"])
+    return pos, gram, gram if state["last"] is None else unpacked(state["last"]), np.flatnonzero(pos[1:] == pos[:-1] + 1)
 
 
 def phrases_placed(block: pa.Table, answers: pa.Table) -> pa.Table:
     """The state with phrases of one word more, of which answers has the frequent ones."""
     if not block.num_rows or not answers.num_rows:
         return _NONE
-    row = block.to_pylist()[0]
+    row = only(block)
     pos, gram, last, at = read(row)
-    grams, words = np.array(row["grams"]), np.array(row["words"])
+    grams, words = row["grams"], row["words"]
     by_gram, by_word = np.argsort(grams), np.argsort(words)
-    prefix, after, new, a = (np.concatenate([np.array(x) for x in answers.column(c).to_pylist()]) for c in ("prefix", "after", "gram", "a"))
+    prefix, after, new, a = (np.concatenate([x.flatten().to_numpy() for x in answers.column(c).chunks]) for c in ("prefix", "after", "gram", "a"))
     known = by_gram[np.searchsorted(grams, prefix, sorter=by_gram)] * len(words) + by_word[np.searchsorted(words, after, sorter=by_word)]
     order = np.argsort(known)
     known = known[order]
@@ -208,29 +260,42 @@ def phrases_placed(block: pa.Table, answers: pa.Table) -> pa.Table:
     return state_row(row["block"], row["lang"], pos[at][hit], found[hit], last[at + 1][hit], new[order], a[order], words)
 
 
-def stripes(states: DataFrame, share: int, bundles: int) -> DataFrame:
-    """bundle, block, and of the stripes in it prefix, size (entries) and stripe (following words and counts)."""
+def stripes(states: DataFrame, share: int, bundles: int, most: int = 1_000) -> DataFrame:
+    """bundle, block, and of the stripes in it prefix (ascending), size (entries) and stripe (following words and counts).
+
+    A row holds up to `most` entries; the next rows of a block in a bundle go on from there.
+    """
+
+    def rows(state: dict) -> pa.RecordBatch | None:
+        _, gram, last, at = read(state)
+        grams, sizes, words = (state[c] for c in ("grams", "sizes", "words"))
+        pairs = gram[at] * len(words)
+        pairs += last[at + 1]
+        if not len(pairs):
+            return None
+        pairs.sort()
+        start = np.flatnonzero(np.diff(pairs, prepend=-1))
+        pairs, n = pairs[start], np.diff(np.append(start, len(pairs)))
+        own, after = pairs // len(words), words[pairs % len(words)]
+        prefix = grams[own]
+        part = mix64(after.view(np.uint64)) % (1 + sizes[own] // share).astype(np.uint64)
+        bundle = (mix64(mix64(prefix.view(np.uint64)) + part) % np.uint64(bundles)).astype(np.int64)
+        order = np.lexsort((after, prefix, bundle))
+        bundle, prefix, after, n = (x[order] for x in (bundle, prefix, after, n))
+        begin = np.flatnonzero(np.diff(bundle, prepend=-1))
+        within = np.arange(len(bundle)) - np.repeat(begin, np.diff(np.append(begin, len(bundle))))
+        starts = within % most == 0
+        start = np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | starts)
+        first = np.flatnonzero(starts[start])
+        heads, data = lists(prefix[start], first), stripe_bytes(after, n, start, start[first])
+        size = lists(np.diff(np.append(start, len(after))), first)
+        return pa.RecordBatch.from_arrays([pa.array(bundle[start[first]]), pa.array(np.full(len(first), state["block"])), heads, size, data], ["bundle", "block", "prefix", "size", "stripe"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                _, gram, last, at = read(row)
-                grams, sizes, words = (np.array(row[c], np.int64) for c in ("grams", "sizes", "words"))
-                pairs, n = np.unique(gram[at] * len(words) + last[at + 1], return_counts=True)
-                if not len(pairs):
-                    continue
-                own, after = pairs // len(words), words[pairs % len(words)]
-                prefix = grams[own]
-                part = mix64(after.view(np.uint64)) % (1 + sizes[own] // share).astype(np.uint64)
-                bundle = (mix64(mix64(prefix.view(np.uint64)) + part) % np.uint64(bundles)).astype(np.int64)
-                order = np.lexsort((after, prefix, bundle))
-                bundle, prefix, after, n = (x[order] for x in (bundle, prefix, after, n))
-                start = np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | (np.diff(bundle, prepend=-1) != 0))
-                first = np.flatnonzero(np.diff(bundle[start], prepend=-1))
-                heads, data = lists(prefix[start], first), stripe_bytes(after, n, start, start[first])
-                size = lists(np.diff(np.append(start, len(after))), first)
-                out = pa.RecordBatch.from_arrays([pa.array(bundle[start[first]]), pa.array(np.full(len(first), row["block"])), heads, size, data], ["bundle", "block", "prefix", "size", "stripe"])
-                yield from (out.slice(i, 2_000) for i in range(0, out.num_rows, 2_000))
+            for i in range(batch.num_rows):
+                if (out := rows(only(batch, i))) is not None:
+                    yield from (out.slice(j, 500) for j in range(0, out.num_rows, 500))
 
     return states.mapInArrow(run, "bundle long, block long, prefix array<long>, size array<long>, stripe binary")
 
@@ -238,31 +303,40 @@ def stripes(states: DataFrame, share: int, bundles: int) -> DataFrame:
 MERGED = ("prefix", "after", "gram", "a")
 
 
-def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
+def merged(each: DataFrame, least: int, at_once: int = 500_000, bundles: int | None = None) -> DataFrame:
     """kind, block, and arrays prefix, after, gram, a of merged stripes.
 
     kind 0 tells a block which of its phrases are frequent; 1 are frequent phrases, numbered; 2 are prefixes with their largest
-    extension (a). Bundles are sorted and merged as they pass, some `at_once` counts or one bundle at a time; a row holds what
-    one such step has to say, to one block.
+    extension (a). Rows of a bundle are sorted by their first prefix and merged as they pass, some `at_once` counts at a time: what
+    lies before the next row's first prefix is whole, and the rest waits. A row holds what one such step has to say, to one
+    block.
     """
     fields = ", ".join(["kind long", "block long", *(f"{c} array<long>" for c in MERGED)])
     every = wide(each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = TaskContext.get().partitionId() + 1, 0
+        #: prefix, after, n and block of counts that are not whole yet
+        waits = [np.zeros(0, np.int64)] * 4
 
         def say(kind: int, block: int, *columns: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([block]), *(pa.array([c.astype(np.int64)], pa.list_(pa.int64())) for c in columns)], ["kind", "block", *MERGED])
 
-        def merge(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal number
+        def merge(rows: list[pa.RecordBatch], before: int | None = None) -> Iterator[pa.RecordBatch]:
+            """Of rows and what waits, all prefixes, or only those below `before`."""
+            nonlocal number, waits
             whole = pa.Table.from_batches(rows)
             joined = {c: pa.concat_arrays(whole.column(c).chunks) for c in ("block", "prefix", "size", "stripe")}
             sizes = joined["size"].flatten().to_numpy()
-            stripes_in = joined["prefix"].value_lengths().to_numpy()
             after, n = from_stripes(joined["stripe"], sizes)
             prefix = np.repeat(joined["prefix"].flatten().to_numpy(), sizes)
-            block = np.repeat(np.repeat(joined["block"].to_numpy(), stripes_in), sizes)
+            block = np.repeat(np.repeat(joined["block"].to_numpy(), joined["prefix"].value_lengths().to_numpy()), sizes)
+            prefix, after, n, block = (np.concatenate([x, y]) for x, y in zip(waits, (prefix, after, n, block)))
+            late = prefix >= before if before is not None else np.zeros(len(prefix), bool)
+            waits = [x[late] for x in (prefix, after, n, block)]
+            if late.all():
+                return
+            prefix, after, n, block = (x[~late] for x in (prefix, after, n, block))
             order = np.lexsort((after, prefix))
             prefix, after, block = prefix[order], after[order], block[order]
             start = np.flatnonzero((np.diff(prefix, prepend=-1) != 0) | (np.diff(after, prepend=-1) != 0))
@@ -271,11 +345,11 @@ def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
             gram = np.where(good, (number + np.cumsum(good) - 1) * every + own, 0)
             number += int(good.sum())
             back = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(prefix))))
-            told = np.flatnonzero(good[back])
-            told = told[np.argsort(block[told], kind="stable")]
-            to = np.flatnonzero(np.diff(block[told], prepend=-1))
-            for lo, hi in zip(to, np.append(to[1:], len(told))):
-                at = told[lo:hi]
+            kept = np.flatnonzero(good[back])
+            kept = kept[np.argsort(block[kept], kind="stable")]
+            to = np.flatnonzero(np.diff(block[kept], prepend=-1))
+            for lo, hi in zip(to, np.append(to[1:], len(kept))):
+                at = kept[lo:hi]
                 yield say(0, int(block[at[0]]), prefix[at], after[at], gram[back[at]], a[back[at]])
             won = start[good]
             yield say(1, 0, prefix[won], after[won], gram[good], a[good])
@@ -288,23 +362,24 @@ def merged(each: DataFrame, least: int, at_once: int = 500_000) -> DataFrame:
             if not batch.num_rows:
                 continue
             bundle = batch.column("bundle").to_numpy()
-            if size >= at_once:
-                same = bundle == last
-                end = int(np.argmin(same)) if not same.all() else len(same)
-                rows.append(batch.slice(0, end))
-                batch, bundle = batch.slice(end), bundle[end:]
-                if batch.num_rows:
+            stripes_in = batch.column("size").value_lengths().to_numpy()
+            entries = np.add.reduceat(batch.column("size").flatten().to_numpy(), np.cumsum(stripes_in) - stripes_in)
+            steps = np.cumsum(entries) // at_once
+            cuts = np.flatnonzero((np.diff(bundle, prepend=-1) != 0) | (np.diff(steps, prepend=-1) != 0))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bundle)]):
+                if rows and bundle[lo] != last:
                     yield from merge(rows)
                     rows, size = [], 0
-            if batch.num_rows:
-                rows.append(batch)
-                # an entry takes some three bytes
-                size += batch.column("stripe").nbytes // 3
-                last = bundle[-1]
+                elif size >= at_once:
+                    yield from merge(rows, batch.column("prefix")[lo].values[0].as_py())
+                    rows, size = [], 0
+                rows.append(batch.slice(lo, hi - lo))
+                size, last = size + int(entries[lo:hi].sum()), bundle[lo]
         if rows:
             yield from merge(rows)
 
-    return cut(each.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(run, fields), "phrase-stripes")
+    dealt = each.repartitionById(bundles or every, F.col("bundle").cast("int")).sortWithinPartitions("bundle", F.col("prefix")[0])
+    return cut(dealt.mapInArrow(run, fields), "phrase-stripes")
 
 
 def said(stripe: DataFrame, kind: int) -> DataFrame:
@@ -343,16 +418,16 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: i
     made = home.hold(blocks(docs, block_bytes))
     totals = made.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = frequent_words(made, least)
-    state = home.hold(made.select("block", "lang", "ids", "pos").groupBy("block").cogroup(words.select("block", "nth", "gram", "a").groupBy("block")).applyInArrow(words_placed, _STATE))
+    state = home.hold(made.select("block", "lang", "ids", "pos").groupBy("block").cogroup(told(words).groupBy("block")).applyInArrow(words_placed, _STATE))
     totals = cut(totals, "phrase-totals")
-    # bundles of some `share` counts
-    bundles = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // share
+    # bundles of some four shares at least
+    bundles = min(wide(docs), 1 + (totals.agg(F.sum("n")).first()[0] or 0) // (4 * share), _BUNDLES)
     home.forget([state])
     one = words.groupBy("gram").agg(F.first("lang").alias("lang"), F.first("word").cast("string").alias("phrase"), F.first("a").alias("a"))
     shorter = cut(one.select("gram", F.lit(0).cast("long").alias("prefix"), F.col("gram").alias("after"), "lang", "phrase", F.col("phrase").alias("last"), F.lit(0).cast("long").alias("tail"), "a", F.array("a").alias("lead"), F.array("a").alias("rear")), "phrase-words")
     found = []
     for n in range(2, longest + 1):
-        stripe = merged(stripes(state, share, bundles), least)
+        stripe = merged(stripes(state, share, bundles), least, bundles=bundles)
         shorter = cut(with_parts(said(stripe, 1), shorter, n == 2), "phrases")
         longer_first = said(stripe, 2).groupBy(F.col("prefix").alias("gram")).agg(F.max("a").alias("first"))
         longer_last = shorter.groupBy(F.col("tail").alias("gram")).agg(F.max("a").alias("last_a"))

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,62 @@ def test_numbers_of_any_size_in_seven_bits():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2**40, 2**62])
     data, size = phrases.varints(x)
     assert (phrases.from_varints(data) == x).all() and size.tolist() == [1, 1, 1, 2, 2, 3, 6, 9]
+
+
+def test_rows_of_stripes_grow_as_the_input(spark, monkeypatch):
+    """A block sends no more rows when there are more blocks; a row for each share of all words would be more and more."""
+
+    class Counted(Exception):
+        pass
+
+    def merged(each, *options, **more):
+        raise Counted(max(r["count"] for r in each.groupBy("block").count().collect()))
+
+    monkeypatch.setattr(phrases, "merged", merged)
+    rnd = random.Random(2)
+    texts = [(None, "en", text(rnd, 40)) for _ in range(60)]
+    for times in (1, 4):
+        with pytest.raises(Counted) as rows:
+            phrases.collocations(spark.createDataFrame(texts * times, SCHEMA).repartition(2), least=8, block_bytes=1000, share=60)
+        assert rows.value.args[0] <= phrases.wide(spark.range(1))
+
+
+def test_stripes_are_cut_by_counts_and_merged_as_they_pass(spark):
+    words = np.arange(1, 8) * 10
+    rnd = np.random.default_rng(3)
+    states, want = [], Counter()
+    for block in range(3):
+        gram = rnd.integers(0, 7, 400)
+        states.append(phrases.state_row(block, "en", np.arange(400), gram, None, words, np.full(7, 60), words))
+        want.update(zip(words[gram[:-1]].tolist(), words[gram[1:]].tolist()))
+    given = spark.createDataFrame(pa.concat_tables(states))
+    each = phrases.stripes(given, 1000, 2, 3)
+    assert max(sum(r["size"]) for r in each.collect()) == 3 and each.count() > 3 * 2
+    for at_once in (1, 20, 10**6):
+        got = {(r["prefix"], r["after"]): r["a"] for r in phrases.said(phrases.merged(each, 20, at_once=at_once, bundles=2), 1).collect()}
+        assert got == {k: a for k, a in want.items() if a >= 20}
+
+
+def test_memory_of_a_block(spark, monkeypatch):
+    """Words are told apart in runs of texts, so a block takes a few times its bytes."""
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(phrases, "TaskContext", Task)
+    texts = [b" ".join(b"w%d" % (i * j % 997) for j in range(3_000)) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts, pa.binary())], ["lang", "text"])
+    tracemalloc.start()
+    (block,) = phrases.blocks(Docs(), 1 << 30)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(block.column("counts")[0].as_py()) == 3_000 * len(texts)
+    assert peak < 12 * sum(map(len, texts))
