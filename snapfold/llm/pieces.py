@@ -28,7 +28,7 @@ _CHUNK = re.compile(" +[^ ]*")
 class ChunkTable:
     """Segments texts by one model; `limit` bounds the number of chunks that are kept."""
 
-    def __init__(self, model: str, limit: int = 300_000):
+    def __init__(self, model: str, limit: int = 100_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -91,7 +91,7 @@ def _encoded(batch: pa.RecordBatch, model: str) -> Iterator[tuple[int, str, str]
     table, lo, size = _table(model), 0, 0
     for i, text in enumerate(texts):
         size += len(text)
-        if size > 4_000_000 or i == len(texts) - 1:
+        if size > 1_000_000 or i == len(texts) - 1:
             yield from table.digests(texts[lo : i + 1])
             lo, size = i + 1, 0
 

@@ -13,14 +13,14 @@ quality are ignored; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import as_bytes, cut
+from snapfold.llm.common import cut, each_text
 
 BLANK = bytes([0x20, *range(0x09, 0x0E)])
 NOT_CODE_POINT = BLANK + bytes(range(0x80, 0xC0))
@@ -83,7 +83,7 @@ def statistics(text: bytes) -> tuple:
     return (n, chars, symbols, dup, repeats, chars / n, symbols / n, dup / len(lines), repeats / n, stutter / n, upper / chars, marks / n, float(variety), int(counts.max()) / n)
 
 
-def statistic_columns(texts: list[bytes]) -> list[pa.Array]:
+def statistic_columns(texts: Iterable[bytes]) -> list[pa.Array]:
     columns = list(zip(*map(statistics, texts))) or [[]] * (len(BASE) + len(FEATURES))
     return [pa.array(c, pa.int64() if i < len(BASE) else pa.float64()) for i, c in enumerate(columns)]
 
@@ -93,7 +93,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *statistic_columns(as_bytes(batch.column(1)))], ["doc_id", *BASE, *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *statistic_columns(each_text(batch.column(1)))], ["doc_id", *BASE, *FEATURES])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, STATS)
 
@@ -262,7 +262,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, documents: DataFrame | None =
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
-        base = dict(zip((*BASE, *FEATURES), (c.to_numpy(zero_copy_only=False) for c in statistic_columns(as_bytes(texts)))))
+        base = dict(zip((*BASE, *FEATURES), (c.to_numpy(zero_copy_only=False) for c in statistic_columns(each_text(texts)))))
         failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
         return pa.array(~failed & (forest.scores(np.column_stack([base[f] for f in FEATURES])) < top))
 

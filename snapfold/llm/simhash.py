@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -146,14 +145,14 @@ def shard_edges(points: DataFrame, distance: int, leaf_rows: int, sample_rows: i
                 if len(part):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), leaf, np.int32)), pa.array(part.view(np.int64))], ["leaf", "fp"])
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for members, least in local_groups(rows["fp"].to_numpy().astype(np.int64).view(np.uint64), distance):
+    def search(rows: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for members, least in local_groups(rows["fp"].to_numpy().view(np.uint64), distance):
             a.append(members[members != least].view(np.int64))
             b.append(np.full(len(a[-1]), least, np.uint64).view(np.int64))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return points.select("fp").mapInArrow(deal, "leaf int, fp long").groupBy("leaf").applyInPandas(search, "a long, b long")
+    return points.select("fp").mapInArrow(deal, "leaf int, fp long").groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:

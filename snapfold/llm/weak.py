@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import Words, as_bytes, cut, mix64, slices
+from snapfold.llm.common import Words, as_bytes, cut, mix64, parts, slices
 from snapfold.llm.rules import BASE, FEATURES, STATS, calibrate, known_labels, statistic_columns
 
 #: name: (votes bad if, votes good if); between the two, and on texts too short for it, a labeller does not vote.
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, dims: int = 2048) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, whole.column(1))):
             texts, at, n = as_bytes(batch.column(1)), [], []
             for size, a, c in hashed_features(texts, dims):
                 ends = np.cumsum(size)
@@ -298,6 +298,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, good_cost: float = 20.0, **opt
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(hashed(as_bytes(texts), linear))
+        return pa.array(np.concatenate([np.zeros(0), *(hashed(as_bytes(run), linear) for run in parts(texts, texts))]))
 
     return docs.filter(score(F.col("text").cast("binary")) > F.lit(least))

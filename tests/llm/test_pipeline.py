@@ -2,12 +2,16 @@
 
 import itertools
 import random
+import subprocess
+import sys
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from snapfold.llm import similar, simhash
+from snapfold.llm import common, pieces, similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 RND = random.Random(3)
@@ -188,3 +192,26 @@ def test_all_stages_in_a_row(spark, tmp_path):
     want = sorted((r["doc_id"] is None, r["doc_id"] or 0, [*library.encode(r["text"]), library.eos_id()]) for r in mixed)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, list(r["ids"])) for r in ids) == want
     assert plain(corpus_pipeline.run(spark, str(tmp_path))) == plain(at[-1])
+
+
+def test_workers_hold_short_runs_and_bounded_tables():
+    """A worker's memory: no pandas, no second copy of a whole batch, and a table of chunks of bounded size."""
+    loads = "import sys, snapfold.llm.similar, snapfold.llm.weak, snapfold.llm.mixing, snapfold.llm.pieces; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", loads], check=False).returncode == 0
+    texts = [None, "", "x" * 3_000_000, *(prose(2000) for _ in range(60)), *["a b"] * 3000]
+    column = pa.array([t and t.encode() for t in texts], pa.binary())[1:]
+    runs = list(common.parts(column, column))
+    assert [t for r in runs for t in r.to_pylist()] == column.to_pylist() == list(common.each_text(column))
+    assert all(len(r) <= 1024 and (len(r) == 1 or sum(map(len, r.to_pylist())) <= 1 << 20) for r in runs)
+    assert len(list(common.parts(column[:0], column[:0]))) == 0
+    many = pa.array([b" ".join(b"%d" % (k * i) for k in range(100)) for i in range(60_000)])
+    tracemalloc.start()
+    assert len(next(similar.sets_of(many, 5))) == 1
+    assert tracemalloc.get_traced_memory()[1] < many.nbytes / 2
+    tracemalloc.stop()
+    table = pieces.ChunkTable(corpus_pipeline.tokenizer_path("piece_bpe_32k.model"))
+    lots = [" ".join(f"w{k * 1000 + i}" for i in range(1000)) for k in range(150)]
+    for text, (n, ids, said) in zip(lots, (d for lo in range(0, 150, 10) for d in table.digests(lots[lo : lo + 10]))):
+        want = [*table.sp.encode(text), table.end]
+        assert (n, ids, said) == (len(want), " ".join(map(str, want)), table.sp.decode(want))
+    assert len(table.table) <= 100_000
