@@ -24,10 +24,11 @@ SIMPLE = {
 }
 
 
-def named(rows: DataFrame, table: str, identity: Column, shown: Column) -> DataFrame:
-    """owner_id, seq (0 in merged tables), table, identity (one narrow, null-safe string) and description of each row."""
+def named(rows: DataFrame, table: str, identity: Column, shown: Column, *also: str) -> DataFrame:
+    """owner_id, seq (0 in merged tables), table, identity (one narrow, null-safe string) and description of each row, and the
+    columns of `also`."""
     seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
-    return rows.select("owner_id", seq.cast("int").alias("seq"), F.lit(table).alias("table"), identity.alias("identity"), F.substring(F.coalesce(shown.cast("string"), F.lit("")), 1, 40).alias("description"))
+    return rows.select("owner_id", seq.cast("int").alias("seq"), F.lit(table).alias("table"), identity.alias("identity"), F.substring(F.coalesce(shown.cast("string"), F.lit("")), 1, 40).alias("description"), *also)
 
 
 def not_found(sources: DataFrame, merged: DataFrame) -> DataFrame:
@@ -40,9 +41,9 @@ def not_found(sources: DataFrame, merged: DataFrame) -> DataFrame:
     return both.withColumn("_known", known).filter("_known = 0").drop("_there", "_known")
 
 
-def simple_names(table: str, rows: DataFrame) -> DataFrame:
+def simple_names(table: str, rows: DataFrame, *also: str) -> DataFrame:
     columns, shown = SIMPLE[table]
-    return named(rows, table, key(*columns), F.col(shown))
+    return named(rows, table, key(*columns), F.col(shown), *also)
 
 
 def missing_simple(table: str, sources: DataFrame, merged: DataFrame) -> DataFrame:

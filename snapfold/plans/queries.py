@@ -420,15 +420,17 @@ def _damaged(rows: DataFrame) -> DataFrame:
     return rows.filter("row_ord % 10 > 1")
 
 
-def _with_row(missing: DataFrame, rows: DataFrame, identity) -> DataFrame:
-    return missing.join(rows.select("owner_id", "seq", "row_ord", identity.alias("identity")), ["owner_id", "seq", "identity"]).select("owner_id", "seq", "row_ord", "description")
+def _with_row(missing: DataFrame, rows: DataFrame, table: str) -> DataFrame:
+    """Each row whose identity is missing, once, also where several rows of a snapshot have it."""
+    named = verify.simple_names(table, rows, "row_ord")
+    return named.join(missing, ["owner_id", "seq", "identity"], "left_semi").select("owner_id", "seq", "row_ord", "description")
 
 
 def _simple(name: str, table: str, view: str, ident: str, shown: str):
     @query(name, damaged_sql(view, ident, shown))
     def _(v):
         rows = getattr(v, view)
-        return _with_row(verify.missing_simple(table, rows, _damaged(rows)), rows, keys.key(*verify.SIMPLE[table][0]))
+        return _with_row(verify.missing_simple(table, rows, _damaged(rows)), rows, table)
 
 
 _simple("v1_missing_notes", "Note", "note", "Guid", "Title")
